@@ -8,7 +8,6 @@ itself, whose merging stays near linear there. Tests hold the two against each o
 from __future__ import annotations
 
 import base64
-import functools
 import os
 import re
 
@@ -22,7 +21,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from a text to its list of ids, without added special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
