@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.decontaminate import drop_leaks
+from tidewell.llm.neardup import drop_near_duplicates
 from tidewell.llm.packing import pack_documents, piece_digests
 from tidewell.llm.quality import filter_quality
 from tidewell.llm.secrets import redact
@@ -14,6 +16,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return filter_quality(docs)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs, width=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact(docs)
 
@@ -22,7 +32,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_digests(pack_documents(docs))
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scans), ("packing", packing)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("packing", packing),
+]
 
 #: Tokenisation and near-duplicate components are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

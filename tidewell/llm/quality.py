@@ -145,12 +145,13 @@ def _fences(sketch: DataFrame, keys: list[str], rules: tuple[Rule, ...]) -> Data
 def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:
     """One row for each (lang, source): its fences, from the smallest merged sketch of enough documents."""
     names = [r.metric for r in rules]
-    own = _fences(sketch, ["lang", "source"], rules)
-    lang = _fences(merge_sketches(sketch, "lang"), ["lang"], rules).select(F.col("lang").alias("_l"), F.struct("total", *names).alias("by_lang"))
-    top = _fences(merge_sketches(sketch.withColumn("every", F.lit(1)), "every"), ["every"], rules).select(F.col("every"), F.struct("total", *names).alias("by_all"))
-    joined = own.withColumn("every", F.lit(1)).join(lang, F.col("lang").eqNullSafe(F.col("_l")), "left").join(top, "every", "left")
-    chosen = lambda m: F.when(F.col("total") >= min_docs, F.col(m)).when(F.col("by_lang.total") >= min_docs, F.col(f"by_lang.{m}")).otherwise(F.col(f"by_all.{m}"))
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*[chosen(m).alias(m) for m in names]).alias("f"))
+    key = lambda level: F.struct(F.lit(level).alias("level"), *[F.when(F.lit(level) <= k, F.col(c)).alias(c) for k, c in ((1, "lang"), (0, "source"))])
+    every = sketch.select(F.explode(F.array(*[key(level) for level in range(3)])).alias("key"), "metric", "bucket", "n")
+    fences = _fences(merge_sketches(every, "key"), ["key"], rules).filter((F.col("total") >= min_docs) | (F.col("key.level") == 2))
+    groups = sketch.select("lang", "source").distinct().withColumn("key", F.explode(F.array(*[key(level) for level in range(3)])))
+    joined = groups.join(fences, "key")
+    chosen = F.min_by(F.struct(*names), F.col("key.level")).alias("f")
+    return joined.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(chosen)
 
 
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:

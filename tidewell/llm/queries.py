@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .chat import op2_chat
+from .decontaminate import op6_decontaminate
+from .neardup import op4_neardup
 from .packing import op1_packing
 from .quality import op8_quality
 from .secrets import op5_secrets
 from .sharding import op9_sharding
+from .substrings import op3_substrings
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
+    "op3_substrings": op3_substrings,
+    "op4_neardup": op4_neardup,
     "op5_secrets": op5_secrets,
+    "op6_decontaminate": op6_decontaminate,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
 }
