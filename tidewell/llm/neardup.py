@@ -4,17 +4,17 @@
    band keys of its MinHash signature, and the signature itself cut to the low ``BITS`` bits of each
    (scrambled) minimum and packed as bit planes.
 2. Documents with equal sets are one class, represented by the smallest doc_id; only representatives go on.
-3. Representatives that share a band key are candidates. A bucket of up to ``SMALL`` gives all its pairs;
-   a larger one links each member with its smallest, so a group of n copies costs n candidates.
+3. Representatives that share a band key are candidates. A bucket of up to ``SMALL`` gives all its pairs; in
+   a larger one each member meets PIVOTS fixed members, so a group of n copies costs n candidates a band.
 4. Candidates are thinned by set size and by the collision-corrected estimate from bit counts (a margin of
    more than five standard deviations below the threshold), then confirmed on full shingle sets.
-5. Larger buckets that still hold several components could hide links between their other members.
-   Documents with at least ``SHARED`` such buckets go to an exact search: rare-first prefixes of their sets
-   (two sets of similarity s share an element of these) are joined across components, with no cap.
+5. Larger buckets that still hold several components may hide links between their other members. Their
+   members are bucketed again by the band keys of 2, 3, ... such buckets at once, which part documents that
+   only share a common passage and keep near copies together, and steps 3 and 4 are done on these.
 6. Links become components by large-star and small-star steps.
 
-Bands of 4 rows: a pair of similarity 0.8 shares none of 32 with probability 5e-8 and fewer than three
-with 2e-5, the error that steps 3 and 5 allow.
+No bucket is capped and no candidate left out for a group's size. Bands of 4 rows: a pair of similarity 0.8
+shares none of 32 with probability 5e-8.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; a null doc_id is linked
@@ -36,7 +36,7 @@ from .shared import materialize
 from .shingles import WordHashes, mix, shingle_hashes
 
 HASHES, BANDS, BITS = 128, 32, 4
-SMALL, SHARED = 8, 3
+SMALL, PIVOTS, DEPTH = 8, 4, 5
 MARGIN = 0.2
 SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>"
 
@@ -122,16 +122,41 @@ def estimate(x: Column, y: Column) -> Column:
     return ((HASHES - differ) / HASHES - chance) / (1 - chance)
 
 
-def band_candidates(reps: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) and the members (key, doc_id) of buckets beyond ``small``."""
-    keys = reps.select(F.explode("bands").alias("key"), "doc_id")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("lo")).filter("c > 1")
+def bucket_candidates(keys: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b) of keys(key, doc_id, ...), and the rows of buckets beyond ``small``."""
+    by = lambda salt: F.min_by("doc_id", F.xxhash64("doc_id", F.lit(salt)))
+    pivots = F.array(F.min("doc_id"), F.max("doc_id"), *[by(k) for k in range(PIVOTS - 2)])
+    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), pivots.alias("pivots")).filter("c > 1")
     members = materialize(keys.join(buckets, "key"), "members")
     few = members.filter(F.col("c") <= small).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
     pair = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     all_pairs = few.select(F.explode(pair).alias("p")).select("p.a", "p.b")
-    star = members.filter((F.col("c") > small) & (F.col("doc_id") > F.col("lo"))).select(F.col("lo").alias("a"), F.col("doc_id").alias("b"))
-    return all_pairs.union(star).distinct(), members.filter(F.col("c") > small).select("key", "doc_id")
+    star = members.filter(F.col("c") > small).select("doc_id", F.explode(F.array_distinct("pivots")).alias("p")).filter("doc_id <> p")
+    ordered = star.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
+    return all_pairs.union(ordered).distinct(), members.filter(F.col("c") > small).drop("c", "pivots")
+
+
+def mixed(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of crowded buckets that hold documents of several components."""
+    named = found.withColumnRenamed("node", "doc_id")
+    labelled = crowded.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return labelled.join(several, "key", "left_semi").drop("component")
+
+
+def deeper(open_: DataFrame, depth: int) -> DataFrame:
+    """Keys made of ``depth`` band keys at once, each document's in the order of the bands, one or two apart."""
+    listed = open_.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda x: x["key"]).alias("keys")).filter(F.size("keys") >= depth)
+    take = lambda i, gap: F.xxhash64(F.lit(gap), *[F.get("keys", i + gap * k) for k in range(depth)])
+    made = lambda gap: F.when(F.size("keys") > gap * (depth - 1), F.transform(F.sequence(F.lit(0), F.size("keys") - gap * (depth - 1) - 1), lambda i: take(i, gap))).otherwise(F.array().cast("array<long>"))
+    return listed.select("doc_id", F.explode(F.array_distinct(F.concat(made(1), made(2)))).alias("key"))
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose documents are in different components so far."""
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def thin(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -156,24 +181,6 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return materialize(shingle_sets(wanted, width), "sets")
 
 
-def prefix_candidates(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that share an element of their rare-first prefixes: none of the threshold is missed."""
-    items = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    frequency = items.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
-    # An element of one document only can't be shared, but it counts in the order: such elements come first.
-    shared = items.join(frequency, "s")
-    ordered = shared.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("o"))
-    prefix = ordered.filter(keep > 0).select("doc_id", "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("p")).select("doc_id", "n", F.col("p.s").alias("s"))
-    labelled = materialize(prefix.join(labels, "doc_id"), "prefix")
-    mixed = labelled.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
-    open_ = labelled.join(mixed, "s", "left_semi")
-    left = open_.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = open_.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return left.join(right, "s").filter(fits).select("a", "b").distinct()
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     docs = docs.select("doc_id", "text")
@@ -183,21 +190,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
     reps = materialize(reps.select("doc_id", "n", "bands", "sig"), "reps")
 
-    pairs, crowded = band_candidates(reps)
-    pairs = materialize(thin(pairs, reps, percent), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    links = materialize(confirm(pairs, sets_of(docs, ids, width), percent), "confirmed")
+    pairs, crowded = bucket_candidates(reps.select("doc_id", F.posexplode("bands").alias("band", "key")))
+    pairs, crowded = materialize(thin(pairs, reps, percent), "pairs"), materialize(crowded, "crowded")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("doc_id"))
+    sets = sets_of(docs, ids, width)
+    links = materialize(confirm(pairs, sets, percent), "confirmed")
     found = components(links)
-
-    label = lambda rows: rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = materialize(label(crowded), "crowded")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"), F.min("component").alias("component"))
-    rest = materialize(rest.filter(F.col("shared") >= SHARED).select("doc_id", "component"), "rest")
-    if not rest.isEmpty():
-        sets = sets_of(docs, rest, width)
-        more = materialize(thin(prefix_candidates(sets, rest, percent), reps, percent), "more")
-        found = components(links.union(confirm(more, sets, percent)))
+    for depth in range(2, DEPTH + 1):
+        crowded = materialize(mixed(crowded, found), "mixed")
+        if crowded.isEmpty():
+            break
+        more, _ = bucket_candidates(deeper(crowded, depth))
+        more = materialize(thin(apart(more, found), reps, percent), "more")
+        new = materialize(confirm(more, sets, percent), "confirmed")
+        if not new.isEmpty():
+            links = links.union(new)
+            found = components(links)
 
     final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "d1", "d2").join(final, ["d1", "d2"], "left")
