@@ -26,7 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,10 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-BLOCK, RANK, KEEP = 16, 128, 8
+BLOCK, RANK, KEEP = 16, 128, 10
+#: Places of terms that a passage needs to be compared, and different terms of an item to be its candidate; an
+#: item has KEEP terms or more, unless it is shorter.
+EVIDENCE = 3
 MAX_ITEMS, MAX_TERMS = 50_000, 100_000
 BENCHMARK_WEIGHT = 20
 PUNCTUATION = b".,;:!?\"'()[]{}*_`"
@@ -87,7 +90,7 @@ def passage_counts(docs: DataFrame, index: dict[bytes, int]) -> tuple[np.ndarray
         get, counts, blocks = held.value.get, np.zeros(size, np.int64), 0
         for _, texts in _texts(batches, 0):
             sizes = np.array([len(w) for w in texts], np.int64)
-            ids = np.fromiter((i for w in texts for i in map(get, w, repeat(-1))), np.int32, sizes.sum())
+            ids = np.fromiter(map(get, chain.from_iterable(texts), repeat(-1)), np.int32, sizes.sum())
             block = block_numbers(sizes)
             blocks += int((-(-sizes // BLOCK)).sum())
             known = ids >= 0
@@ -149,7 +152,7 @@ def distributed_gram(docs: DataFrame, index: dict[bytes, int]) -> np.ndarray:
         get = held.value.get
         for _, texts in _texts(batches, 0):
             sizes = np.array([len(w) for w in texts], np.int64)
-            ids = np.fromiter((i for w in texts for i in map(get, w, repeat(-1))), np.int32, sizes.sum())
+            ids = np.fromiter(map(get, chain.from_iterable(texts), repeat(-1)), np.int32, sizes.sum())
             block = block_numbers(sizes)[ids >= 0].astype(np.int32)
             kept = ids[ids >= 0]
             yield pa.RecordBatch.from_arrays([pa.array([kept.tobytes()]), pa.array([block.tobytes()])], names=["ids", "blocks"])
@@ -226,7 +229,7 @@ class Model:
     answer: float
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, max_df: float = 0.002, cosine: float = 0.3, subsequence: float = 0.65, answer: float = 0.5) -> Model:
+def fit(docs: DataFrame, benchmark: DataFrame, max_df: float = 0.0005, cosine: float = 0.3, subsequence: float = 0.65, answer: float = 0.5) -> Model:
     items = read_items(benchmark)
     vocabulary = sorted({w for x in items for w in x.words})
     if len(vocabulary) > MAX_TERMS:
@@ -256,7 +259,7 @@ def leaks(model: Model, texts: list[list[bytes]]) -> list[list[tuple]]:
     """For each text its matches: (item_id, cosine, share of the item's words, of its answer's, first word, last word)."""
     out: list[list[tuple]] = [[] for _ in texts]
     sizes = np.array([len(w) for w in texts], np.int64)
-    ids = np.fromiter((i for w in texts for i in map(model.index.get, w, repeat(-1))), np.int32, sizes.sum())
+    ids = np.fromiter(map(model.index.get, chain.from_iterable(texts), repeat(-1)), np.int32, sizes.sum())
     known = np.flatnonzero(ids >= 0)
     if not len(known) or not model.items:
         return out
@@ -268,18 +271,27 @@ def leaks(model: Model, texts: list[list[bytes]]) -> list[list[tuple]]:
     wanted = np.searchsorted(cuts, np.arange(4000, len(known), 4000))
     bounds = np.unique([0, *cuts[wanted[wanted < len(cuts)]], len(known)]).tolist()
     prepared: dict[int, tuple] = {}
+    own: dict[int, set[int]] = {}
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         starts, sums = passage_sums(model.terms[ids[known[lo:hi]]], block[lo:hi])
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        sums /= np.maximum(norms, 1e-9)
+        _, held = passage_sums(np.ones((hi - lo, 1), np.float32), block[lo:hi])
+        enough = held[:, 0] >= EVIDENCE
+        starts, sums = starts[enough], sums[enough]
+        terms = ids[known[lo:hi]].tolist()
+        begins, ends = np.searchsorted(block[lo:hi], starts).tolist(), np.searchsorted(block[lo:hi], starts + 1, side="right").tolist()
+        text_of = (np.searchsorted(first, starts + 1, side="right") - 1).tolist()
+        sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         for at in range(0, len(model.items), 4096):
             near = sums @ model.vectors[at : at + 4096].T
-            for p, k in zip(*np.nonzero(near >= model.cosine), strict=True):
-                k_all = int(k) + at
-                d = int(np.searchsorted(first, starts[p] + 1, side="right")) - 1
+            for p, k in zip(*(x.tolist() for x in np.nonzero(near >= model.cosine)), strict=True):
+                k_all, d = k + at, text_of[p]
                 if (found := best.get((d, k_all))) and found[2] >= 1:
                     continue
                 item = model.items[k_all]
+                if k_all not in own:
+                    own[k_all] = {i for w in item.words if (i := model.index.get(w)) is not None}
+                if len(own[k_all].intersection(terms[begins[p] : ends[p]])) < min(EVIDENCE, len(own[k_all])):
+                    continue
                 if k_all not in prepared:
                     prepared[k_all] = (*masks_of(item.words), *masks_of(item.answer))
                 masks, ones, answer_masks, answer_ones = prepared[k_all]
