@@ -10,6 +10,7 @@ from .quality import op8_quality
 from .secrets import op5_secrets
 from .sharding import op9_sharding
 from .substrings import op3_substrings
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
