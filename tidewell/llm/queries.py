@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op2_chat
 from .decontaminate import op6_decontaminate
+from .lm import op7_lm_scoring
 from .neardup import op4_neardup
 from .packing import op1_packing
 from .quality import op8_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_neardup": op4_neardup,
     "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
