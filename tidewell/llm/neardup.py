@@ -5,7 +5,7 @@
    (scrambled) minimum and packed as bit planes.
 2. Documents with equal sets are one class, represented by the smallest doc_id; only representatives go on.
 3. Representatives that share a band key are candidates. A bucket of up to ``SMALL`` gives all its pairs; in
-   a larger one each member meets PIVOTS fixed members, so a group of n copies costs n candidates a band.
+   a larger one each member meets a few, the smallest and some by hash, so n copies cost a few n candidates.
 4. Candidates are thinned by set size and by the collision-corrected estimate from bit counts (a margin of
    more than five standard deviations below the threshold), then confirmed on full shingle sets.
 5. Larger buckets that still hold several components may hide links between their other members. Their
@@ -36,7 +36,7 @@ from .shared import materialize
 from .shingles import WordHashes, mix, shingle_hashes
 
 HASHES, BANDS, BITS = 128, 32, 4
-SMALL, PIVOTS, DEPTH = 8, 4, 5
+SMALL, PIVOTS, DEPTH = 8, 3, 5
 MARGIN = 0.2
 SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>"
 
@@ -122,18 +122,19 @@ def estimate(x: Column, y: Column) -> Column:
     return ((HASHES - differ) / HASHES - chance) / (1 - chance)
 
 
-def bucket_candidates(keys: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def bucket_candidates(keys: DataFrame, pivots: int, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a < b) of keys(key, doc_id, ...), and the rows of buckets beyond ``small``."""
-    by = lambda salt: F.min_by("doc_id", F.xxhash64("doc_id", F.lit(salt)))
-    pivots = F.array(F.min("doc_id"), F.max("doc_id"), *[by(k) for k in range(PIVOTS - 2)])
-    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), pivots.alias("pivots")).filter("c > 1")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     members = materialize(keys.join(buckets, "key"), "members")
     few = members.filter(F.col("c") <= small).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
     pair = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     all_pairs = few.select(F.explode(pair).alias("p")).select("p.a", "p.b")
-    star = members.filter(F.col("c") > small).select("doc_id", F.explode(F.array_distinct("pivots")).alias("p")).filter("doc_id <> p")
+    crowded = members.filter(F.col("c") > small).drop("c")
+    by_hash = [F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(k))) for k in range(max(1, pivots - 1))]
+    chosen = crowded.groupBy("key").agg(F.array(*([F.min("doc_id")] if pivots > 1 else []), *by_hash).alias("p"))
+    star = crowded.join(chosen, "key").select("doc_id", F.explode(F.array_distinct("p")).alias("p")).filter("doc_id <> p")
     ordered = star.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
-    return all_pairs.union(ordered).distinct(), members.filter(F.col("c") > small).drop("c", "pivots")
+    return all_pairs.union(ordered).distinct(), crowded
 
 
 def mixed(crowded: DataFrame, found: DataFrame) -> DataFrame:
@@ -190,7 +191,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
     reps = materialize(reps.select("doc_id", "n", "bands", "sig"), "reps")
 
-    pairs, crowded = bucket_candidates(reps.select("doc_id", F.posexplode("bands").alias("band", "key")))
+    pairs, crowded = bucket_candidates(reps.select("doc_id", F.posexplode("bands").alias("band", "key")), PIVOTS)
+    pairs = tested = materialize(pairs, "candidates")
     pairs, crowded = materialize(thin(pairs, reps, percent), "pairs"), materialize(crowded, "crowded")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("doc_id"))
     sets = sets_of(docs, ids, width)
@@ -200,9 +202,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         crowded = materialize(mixed(crowded, found), "mixed")
         if crowded.isEmpty():
             break
-        more, _ = bucket_candidates(deeper(crowded, depth))
-        more = materialize(thin(apart(more, found), reps, percent), "more")
-        new = materialize(confirm(more, sets, percent), "confirmed")
+        more, _ = bucket_candidates(deeper(crowded, depth), 1)
+        more = materialize(apart(more, found).join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = tested.union(more)
+        new = materialize(confirm(thin(more, reps, percent), sets, percent), "confirmed")
         if not new.isEmpty():
             links = links.union(new)
             found = components(links)
