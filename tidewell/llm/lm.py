@@ -45,7 +45,8 @@ VOCABULARY = 50_257
 END, PAD = 50_256, 65_535
 #: The base's end token: no word has a separator in it.
 END_WORD = xxhash.xxh3_64_intdigest(b"\n")
-REMEMBERED = 300_000
+#: Words whose first id a worker remembers (about 150 MB), and counts that it holds before it passes them on.
+REMEMBERED, HELD = 1_000_000, 300_000
 
 
 def remainder(doc_id: Column) -> Column:
@@ -67,12 +68,8 @@ class Subwords(dict):
         return value
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+def hashes_of(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def ids_of(words: list[bytes], known: Subwords) -> np.ndarray:
@@ -191,14 +188,18 @@ def block_log_probs(w: Weights, x: np.ndarray, y: np.ndarray, first: np.ndarray)
     np.exp(np.minimum(s, 60, out=s), out=s)
     o = s @ both[:, :, WIDTH:]
     o /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
-    logits = np.concatenate([e, o.reshape(-1, WIDTH)], axis=1) @ out
-    logits += last
+    inputs = np.empty((n * BLOCK, 2 * WIDTH + 1), np.float32)
+    inputs[:, :WIDTH], inputs[:, WIDTH:-1], inputs[:, -1] = e, o.reshape(-1, WIDTH), 1
+    logits = inputs @ np.concatenate([out, last[None]])
     target = logits[np.arange(len(logits)), y.ravel()]
-    np.exp(np.minimum(logits, 80, out=logits), out=logits)
-    return (target - np.log(logits.sum(axis=1))).reshape(n, BLOCK)
+    if (top := float(logits.max())) > 60:
+        logits -= top - 60  # the largest term of a place that far below does not count
+        target -= top - 60
+    np.exp(logits, out=logits)
+    return (target - np.log(logits.sum(axis=1) + np.float32(1e-37))).reshape(n, BLOCK)
 
 
-def gains(w: Weights, class_of: np.ndarray, log_share: np.ndarray, texts: list[np.ndarray], at_once: int = 1024) -> np.ndarray:
+def gains(w: Weights, class_of: np.ndarray, log_share: np.ndarray, texts: list[np.ndarray], at_once: int = 512) -> np.ndarray:
     """For each text (ids with the end) the sum of ln P(class | context) - ln share of the class."""
     sizes = np.array([len(t) for t in texts])
     blocks = -(-sizes // BLOCK)
@@ -238,7 +239,7 @@ def gather(docs: DataFrame, path: str, stride: int) -> DataFrame:
     """Rows with a word's hash, first id and count, and rows with training windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = Hashes(), Subwords(path)
+        known = Subwords(path)
         counts: Counter[bytes] = Counter()
         seen = texts = 0
 
@@ -248,8 +249,7 @@ def gather(docs: DataFrame, path: str, stride: int) -> DataFrame:
 
         def words_out() -> pa.RecordBatch:
             size = len(counts)
-            keys = np.fromiter(map(hashes.__getitem__, counts), np.uint64, size).view(np.int64)
-            out = rows(keys, np.fromiter(map(known.__getitem__, counts), np.int32, size), np.fromiter(counts.values(), np.int64, size))
+            out = rows(hashes_of(counts), np.fromiter(map(known.__getitem__, counts), np.int32, size), np.fromiter(counts.values(), np.int64, size))
             counts.clear()
             return out
 
@@ -264,7 +264,7 @@ def gather(docs: DataFrame, path: str, stride: int) -> DataFrame:
                     seen += len(ids) // BLOCK + 1
                     texts += 1
                 yield rows(np.zeros(1), np.array([-1]), np.array([sum(len(x) for x in windows)]), np.concatenate(windows).tobytes())
-                if len(counts) > REMEMBERED:
+                if len(counts) > HELD:
                     yield words_out()
         yield words_out()
         yield rows(np.array([END_WORD], np.uint64).view(np.int64), np.array([END]), np.array([texts]))
@@ -326,7 +326,7 @@ def classes_of(mass: np.ndarray, often: np.ndarray, near: np.ndarray, own: list[
     return class_of, np.log(share / share.sum())
 
 
-def fit(windows: DataFrame, log_share: np.ndarray, class_of: np.ndarray, rounds: int = 3, batch: int = 128, least_steps: int = 250, rate: float = 0.01) -> Weights:
+def fit(windows: DataFrame, log_share: np.ndarray, class_of: np.ndarray, rounds: int = 3, batch: int = 128, least_steps: int = 120, rate: float = 0.01) -> Weights:
     """Local Adam on every partition of the windows and weighted averages, round by round."""
     sc = windows.sparkSession.sparkContext
     held, w = sc.broadcast(class_of), Weights.initial(log_share)
@@ -390,14 +390,14 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, stride: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs, w, classes, shares = table.value
-        hashes, known = Hashes(), Subwords(path)
+        known = Subwords(path)
         row = TaskContext.get().partitionId() << 33
         end = np.array([END_WORD], np.uint64).view(np.int64)
         for whole in batches:
             for batch in (whole.slice(at, 64) for at in range(0, whole.num_rows, 64)):
                 lists = [(t.as_py() or b"").lower().split() for t in batch.column(1)]
                 sizes = np.array([len(x) + 1 for x in lists])
-                flat = np.concatenate([np.append(np.fromiter(map(hashes.__getitem__, x), np.uint64, len(x)).view(np.int64), end) for x in lists])
+                flat = np.concatenate([np.append(hashes_of(x), end) for x in lists])
                 at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
                 hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
                 text = np.repeat(np.arange(len(lists)), sizes)
