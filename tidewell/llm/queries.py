@@ -6,6 +6,7 @@ from .chat import op2_chat
 from .decontaminate import op6_decontaminate
 from .lm import op7_lm_scoring
 from .neardup import op4_neardup
+from .oracles import ORACLE_SQL
 from .packing import op1_packing
 from .quality import op8_quality
 from .secrets import op5_secrets
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
