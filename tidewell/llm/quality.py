@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .shared import SPACE, let, materialize, nonnull_text, words_of
 
 GAMMA = 1.05
+#: Groups up to which the table of fences goes to every executor (some 100 bytes each).
+BROADCAST_GROUPS = 20_000
 #: Fixed values of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "[#*$%&|<>]"
@@ -156,7 +158,9 @@ def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int
 
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:
     """Adds base_failed, reasons (metrics beyond their fence) and kept to rows with lang, source and m."""
-    limits = thresholds(sketches(measured, rules), rules, min_docs)
+    limits = materialize(thresholds(sketches(measured, rules), rules, min_docs), "limits")
+    if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)  # else the rows are shuffled by group, and Spark splits a hot one
     base = (F.col("m.n_words") < MIN_WORDS) | (F.col("m.n_repeat_words") * 100 > F.col("m.n_words") * MAX_REPEAT_PERCENT)
     beyond = F.array(*[F.when(F.col(f"m.{r.metric}") > F.col(f"f.{r.metric}"), F.lit(r.metric)) for r in rules])
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
