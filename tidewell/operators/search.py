@@ -8,7 +8,6 @@ in one aggregate over doc_id, where the tree is a column expression. Lengths are
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -199,7 +198,7 @@ class Parser:
             inner.boost = float(self.tokens[self.at]["boost"] or 1)
             self.at += 1
             return sign, inner
-        if m["phrase"] is None and m["word"] is None:
+        if m["phrase"] is None and m["word"] in (None, "+", "-"):
             raise QuerySyntaxError("a clause is missing")
         own = self.named(m["field"]) if m["field"] else (fields or self.default)
         text = m["phrase"] if m["phrase"] is not None else m["word"]
