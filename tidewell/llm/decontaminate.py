@@ -231,6 +231,8 @@ class Model:
 
 def fit(docs: DataFrame, benchmark: DataFrame, max_df: float = 0.0005, cosine: float = 0.3, subsequence: float = 0.65, answer: float = 0.5) -> Model:
     items = read_items(benchmark)
+    if not items:
+        return Model([], {}, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), cosine, subsequence, answer)
     vocabulary = sorted({w for x in items for w in x.words})
     if len(vocabulary) > MAX_TERMS:
         raise ValueError(f"the benchmark has more than {MAX_TERMS} terms")

@@ -39,14 +39,18 @@ from .shared import materialize
 from .tokens import default_vocabulary, encoder
 
 BLOCK, WIDTH, CLASSES, OWN = 16, 16, 112, 80
+#: Weight of the network; the rest is the class's share, so that no token costs more than ln (1 - TRUST).
+TRUST = 0.95
+#: Most times that training goes over the windows of a partition in a round.
+EPOCHS = 6
 #: Times an id must occur in the windows to be clustered; rarer ones share the last class.
 LEAST = 5
 VOCABULARY = 50_257
 END, PAD = 50_256, 65_535
 #: The base's end token: no word has a separator in it.
 END_WORD = xxhash.xxh3_64_intdigest(b"\n")
-#: Words whose first id a worker remembers (about 150 MB), and counts that it holds before it passes them on.
-REMEMBERED, HELD = 1_000_000, 300_000
+#: Words whose first id a worker remembers (about 85 MB), and counts that it holds before it passes them on.
+REMEMBERED, HELD = 500_000, 200_000
 
 
 def remainder(doc_id: Column) -> Column:
@@ -200,7 +204,7 @@ def block_log_probs(w: Weights, x: np.ndarray, y: np.ndarray, first: np.ndarray)
 
 
 def gains(w: Weights, class_of: np.ndarray, log_share: np.ndarray, texts: list[np.ndarray], at_once: int = 512) -> np.ndarray:
-    """For each text (ids with the end) the sum of ln P(class | context) - ln share of the class."""
+    """For each text (ids with the end) the sum of ln P(class | context) - ln share of the class, P being mixed by TRUST."""
     sizes = np.array([len(t) for t in texts])
     blocks = -(-sizes // BLOCK)
     begin = np.cumsum(blocks) - blocks
@@ -222,7 +226,8 @@ def gains(w: Weights, class_of: np.ndarray, log_share: np.ndarray, texts: list[n
         lo = max(0, a - 1)  # the block before is context; a text's first block needs none
         part = block_log_probs(w, x[lo : a + at_once], np.minimum(y[lo : a + at_once], CLASSES - 1), first[lo : a + at_once] | (np.arange(lo, min(total, a + at_once)) == lo))
         out[a : a + at_once] = part[a - lo :]
-    return np.add.reduceat(out.ravel()[place] - log_share[classes], np.cumsum(sizes) - sizes)
+    gain = np.log(TRUST * np.exp(np.minimum(out.ravel()[place] - log_share[classes], 60)) + (1 - TRUST))
+    return np.add.reduceat(gain, np.cumsum(sizes) - sizes)
 
 
 # ---------------------------------------------------------------- gathering and training
@@ -346,7 +351,8 @@ def fit(windows: DataFrame, log_share: np.ndarray, class_of: np.ndarray, rounds:
             if not len(rows):
                 return
             c = held.value[rows[np.random.default_rng(turn).permutation(len(rows))]]
-            done = train(start.value, c[:, :-1], c[:, BLOCK + 1 :], max(least_steps, -(-len(c) // batch)), batch, rate)
+            once = -(-len(c) // batch)
+            done = train(start.value, c[:, :-1], c[:, BLOCK + 1 :], max(min(least_steps, EPOCHS * once), once), batch, rate)
             yield pa.RecordBatch.from_arrays([pa.array([float(len(c))]), pa.array([done.to_bytes(len(c))], pa.binary())], names=["weight", "flat"])
 
         local = windows.mapInArrow(run, "weight double, flat binary").withColumn("salt", F.spark_partition_id() % 64)
