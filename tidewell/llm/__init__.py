@@ -1,10 +1 @@
-"""Operators for training-data pipelines. Nothing else in the library imports this subpackage.
-
-Functions for Python workers are sent by value, so executors need not have the package installed.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
