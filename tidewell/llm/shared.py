@@ -6,6 +6,8 @@ executors share, so that a lost executor costs a re-read and not a re-computatio
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,17 +21,17 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a local session without one gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder for intermediate tables; a session on one machine without one gets a temporary folder."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+    if context.master.startswith("local-cluster") or not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
-    spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", own)
-    spark.conf.set("spark.checkpoint.dir", own) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    _LOCAL.setdefault(spark.sparkContext.applicationId, own)
-    return _LOCAL[spark.sparkContext.applicationId]
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = own = tempfile.mkdtemp(prefix="tidewell-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{_LOCAL[context.applicationId]}"
 
 
 _LOCAL: dict[str, str] = {}

@@ -122,10 +122,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs, with spans cut from the texts that an earlier document (smaller doc_id) holds."""
     cut = repeated_spans(docs, min_words).filter("duplicate AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(cut, docs["doc_id"] == F.col("_id"), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"))
+    joined = rows.join(cut, "_id", "left")
     spans = F.transform("_spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
-    text = F.when(F.col("_spans").isNotNull(), redacted(docs["text"], spans, "")).otherwise(docs["text"])
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(F.col("_spans").isNotNull(), redacted(F.col("row.text"), spans, "")).otherwise(F.col("row.text"))
+    return joined.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
