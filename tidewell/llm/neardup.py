@@ -5,7 +5,7 @@
    (scrambled) minimum and packed as bit planes.
 2. Documents with equal sets are one class, represented by the smallest doc_id; only representatives go on.
 3. Representatives that share a band key are candidates. A bucket of up to ``SMALL`` gives all its pairs; in
-   a larger one each member meets a few, the smallest and some by hash, so n copies cost a few n candidates.
+   a larger one each member meets two, the smallest and one by hash, so n copies cost 2 n candidates.
 4. Candidates are thinned by set size and by the collision-corrected estimate from bit counts (a margin of
    more than five standard deviations below the threshold), then confirmed on full shingle sets.
 5. Larger buckets that still hold several components may hide links between their other members. Their
@@ -36,7 +36,7 @@ from .shared import materialize
 from .shingles import WordHashes, mix, shingle_hashes
 
 HASHES, BANDS, BITS = 128, 32, 4
-SMALL, PIVOTS, DEPTH = 8, 3, 5
+SMALL, PIVOTS, DEPTH = 8, 2, 4
 MARGIN = 0.2
 SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>"
 
@@ -146,11 +146,11 @@ def mixed(crowded: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def deeper(open_: DataFrame, depth: int) -> DataFrame:
-    """Keys made of ``depth`` band keys at once, each document's in the order of the bands, one or two apart."""
+    """Keys made of ``depth`` band keys at once, each document's in the order of the bands (pairs also two apart)."""
     listed = open_.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda x: x["key"]).alias("keys")).filter(F.size("keys") >= depth)
     take = lambda i, gap: F.xxhash64(F.lit(gap), *[F.get("keys", i + gap * k) for k in range(depth)])
     made = lambda gap: F.when(F.size("keys") > gap * (depth - 1), F.transform(F.sequence(F.lit(0), F.size("keys") - gap * (depth - 1) - 1), lambda i: take(i, gap))).otherwise(F.array().cast("array<long>"))
-    return listed.select("doc_id", F.explode(F.array_distinct(F.concat(made(1), made(2)))).alias("key"))
+    return listed.select("doc_id", F.explode(F.array_distinct(F.concat(*[made(gap) for gap in ((1, 2) if depth == 2 else (1,))]))).alias("key"))
 
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:

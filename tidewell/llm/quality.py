@@ -175,10 +175,13 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: in
 
 
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
+    """The rows of docs that the rules keep, with the columns of docs.
+
+    Metrics are computed twice, for the sketches and for the verdicts: that is cheaper than keeping all texts once more.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     measured = metrics(docs.select(row, F.col("text"), F.col("lang"), F.col("source"))).drop("text")
-    return judge(materialize(measured, "quality"), rules, min_docs).filter("kept").select("row.*")
+    return judge(measured, rules, min_docs).filter("kept").select("row.*")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
