@@ -346,7 +346,7 @@ def test_windows_score_each_token_once():
     class_of[lm.PAD] = lm.CLASSES
     share = np.log(np.full(lm.CLASSES, 1 / lm.CLASSES))
     texts = [rng.integers(0, 1000, n).astype(np.uint16) for n in (1, 15, 16, 17, 100, 5)]
-    together = lm.gains(w, class_of, share, texts, at_once=3)
+    together = lm.gains(w, class_of, share, np.concatenate(texts), np.array([len(t) for t in texts]), at_once=3)
     for t, got in zip(texts, together, strict=True):
         seq = [lm.CLASSES] * (2 * lm.BLOCK) + class_of[t].tolist()
         want = 0.0
@@ -367,6 +367,17 @@ def test_windows_score_each_token_once():
         assert abs(want - got) < 1e-2 * max(1, len(t) / 10)
 
 
+def test_training_windows():
+    known = {b"%d" % i: i for i in range(100)}
+    for n in (0, 1, 15, 16, 17, 40, 99):
+        words = [b"%d" % i for i in range(n)]
+        padded = np.concatenate([np.full(lm.BLOCK + 1, lm.PAD), np.arange(n), [lm.END], np.full(lm.BLOCK, lm.PAD)])
+        for stride in (1, 2, 3):
+            got = lm.training_windows(words, known, 1, stride)
+            starts = range((1 % stride) * lm.BLOCK, n + 1, stride * lm.BLOCK)
+            assert got.tolist() == [padded[a : a + 2 * lm.BLOCK + 1].tolist() for a in starts]
+
+
 def test_scores(spark):
     rng = random.Random(15)
     dialect = lambda k, n: " ".join(rng.choice(["the", "of", "and"] if k else ["der", "und", "die"]) if rng.random() < 0.5 else f"w{k}{rng.randrange(40)}" for _ in range(n))

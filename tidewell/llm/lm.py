@@ -76,10 +76,6 @@ def hashes_of(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
-def ids_of(words: list[bytes], known: Subwords) -> np.ndarray:
-    return np.append(np.fromiter(map(known.__getitem__, words), np.uint16, len(words)), np.uint16(END))
-
-
 # ---------------------------------------------------------------- the model
 
 
@@ -203,15 +199,13 @@ def block_log_probs(w: Weights, x: np.ndarray, y: np.ndarray, first: np.ndarray)
     return (target - np.log(logits.sum(axis=1) + np.float32(1e-37))).reshape(n, BLOCK)
 
 
-def gains(w: Weights, class_of: np.ndarray, log_share: np.ndarray, texts: list[np.ndarray], at_once: int = 512) -> np.ndarray:
-    """For each text (ids with the end) the sum of ln P(class | context) - ln share of the class, P being mixed by TRUST."""
-    sizes = np.array([len(t) for t in texts])
+def gains(w: Weights, class_of: np.ndarray, log_share: np.ndarray, flat: np.ndarray, sizes: np.ndarray, at_once: int = 512) -> np.ndarray:
+    """For each text (``flat`` has their ids with the ends, ``sizes`` how many) the sum of ln P(class | context) - ln share of the class, P being mixed by TRUST."""
     blocks = -(-sizes // BLOCK)
     begin = np.cumsum(blocks) - blocks
     total = int(blocks.sum())
     y = np.full(total * BLOCK, CLASSES, np.int64)
     x = np.full(total * BLOCK, CLASSES, np.int64)
-    flat = np.concatenate(texts)
     place = np.repeat(begin * BLOCK, sizes) + np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     classes = class_of[flat]
     y[place] = classes
@@ -233,11 +227,18 @@ def gains(w: Weights, class_of: np.ndarray, log_share: np.ndarray, texts: list[n
 # ---------------------------------------------------------------- gathering and training
 
 
-def training_windows(ids: np.ndarray, offset: int, stride: int) -> np.ndarray:
-    """Every stride-th block with the block before and the target after: rows of 2 BLOCK + 1 ids."""
-    padded = np.concatenate([np.full(BLOCK + 1, PAD, np.uint16), ids, np.full(-len(ids) % BLOCK, PAD, np.uint16)])
-    starts = np.arange(offset % stride, (len(padded) - 1) // BLOCK - 1, stride) * BLOCK
-    return padded[starts[:, None] + np.arange(2 * BLOCK + 1)]
+def training_windows(words: list[bytes], known: Subwords, offset: int, stride: int) -> np.ndarray:
+    """Every stride-th block with the block before and the target after: rows of 2 BLOCK + 1 ids.
+
+    Only the words of these blocks are turned into ids.
+    """
+    n = len(words) + 1
+    starts = np.arange(offset % stride, -(-n // BLOCK), stride) * BLOCK
+    place = starts[:, None] + np.arange(2 * BLOCK + 1) - (BLOCK + 1)
+    real = (place >= 0) & (place < n)
+    out = np.full(place.shape, PAD, np.uint16)
+    out[real] = [known[words[i]] if i < n - 1 else END for i in place[real].tolist()]
+    return out
 
 
 def gather(docs: DataFrame, path: str, stride: int) -> DataFrame:
@@ -264,9 +265,8 @@ def gather(docs: DataFrame, path: str, stride: int) -> DataFrame:
                 for text in batch.column(0):
                     words = (text.as_py() or b"").lower().split()
                     counts.update(words)
-                    ids = ids_of(words, known)
-                    windows.append(training_windows(ids, -seen, stride))
-                    seen += len(ids) // BLOCK + 1
+                    windows.append(training_windows(words, known, -seen, stride))
+                    seen += (len(words) + 1) // BLOCK + 1
                     texts += 1
                 yield rows(np.zeros(1), np.array([-1]), np.array([sum(len(x) for x in windows)]), np.concatenate(windows).tobytes())
                 if len(counts) > HELD:
@@ -381,7 +381,6 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, stride: int
     windows = gathered.filter("id < 0 AND n > 0").select("windows")
     class_of, log_share = classes_of(mass, *neighbours(windows, own), own)
     weights = fit(windows, log_share, class_of, **options)
-    counts = counts.drop("id")
 
     denominator = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
     # The least count with which at most ``frequent`` words go to the workers.
@@ -392,10 +391,10 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, stride: int
             break
         least = b
     common = counts.filter(F.floor(F.log2("c") * 4) >= least).toPandas().sort_values("key")
-    table = sc.broadcast((common["key"].to_numpy(np.int64).copy(), np.log10(common["c"].to_numpy(np.float64) + 0.5), weights, class_of.astype(np.int16), log_share))
+    table = sc.broadcast((common["key"].to_numpy(np.int64).copy(), np.log10(common["c"].to_numpy(np.float64) + 0.5), common["id"].to_numpy(np.int64), weights, class_of.astype(np.int16), log_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, w, classes, shares = table.value
+        keys, logs, first, w, classes, shares = table.value
         known = Subwords(path)
         row = TaskContext.get().partitionId() << 33
         end = np.array([END_WORD], np.uint64).view(np.int64)
@@ -411,13 +410,16 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, stride: int
                 n_hit = np.bincount(text[hit], minlength=len(lists))
                 ends = np.append(0, np.cumsum(np.bincount(text[~hit], minlength=len(lists)))).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[~hit]))
-                gain = gains(w, classes, shares, [ids_of(x, known) for x in lists]) / np.log(10)
+                ids = first[at] if len(keys) else np.zeros(len(flat), np.int64)
+                words = [word for x in lists for word in (*x, None)]
+                ids[~hit] = [END if words[i] is None else known[words[i]] for i in np.flatnonzero(~hit).tolist()]
+                gain = gains(w, classes, shares, ids, sizes) / np.log(10)
                 columns = [pa.array(row + np.arange(len(lists))), batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(base), rare, pa.array(gain)]
                 row += len(lists)
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "n_hit", "base", "rare", "gain"])
 
     scored = materialize(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_hit long, base double, rare array<long>, gain double"), "scored")
-    rare = scored.select("row", F.explode("rare").alias("key")).join(counts, "key", "left")
+    rare = scored.select("row", F.explode("rare").alias("key")).join(counts.drop("id"), "key", "left")
     summed = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("n_more"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * denominator
     return (
