@@ -431,8 +431,9 @@ def test_quality(spark):
 def test_sketches_merge(spark):
     rng = random.Random(17)
     df = quality.metrics(frame(spark, [prose(rng, 30) + " |" * rng.randrange(6) for _ in range(100)]))
-    whole = quality.sketches(df)
-    halves = quality.sketches(df.filter("doc_id < 40")).unionByName(quality.sketches(df.filter("doc_id >= 40")))
+    sketch = lambda rows: quality.sketches(rows, quality.buckets_of(F.col("m")))
+    whole = sketch(df)
+    halves = sketch(df.filter("doc_id < 40")).unionByName(sketch(df.filter("doc_id >= 40")))
     as_set = lambda x: {tuple(r) for r in x.collect()}
     assert as_set(quality.merge_sketches(halves, "lang", "source")) == as_set(whole.select("lang", "source", "metric", "bucket", "n"))
 

@@ -130,11 +130,12 @@ def bucket_candidates(keys: DataFrame, pivots: int, small: int = SMALL) -> tuple
     pair = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     all_pairs = few.select(F.explode(pair).alias("p")).select("p.a", "p.b")
     crowded = members.filter(F.col("c") > small).drop("c")
-    by_hash = [F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(k))) for k in range(max(1, pivots - 1))]
-    chosen = crowded.groupBy("key").agg(F.array(*([F.min("doc_id")] if pivots > 1 else []), *by_hash).alias("p"))
-    star = crowded.join(chosen, "key").select("doc_id", F.explode(F.array_distinct("p")).alias("p")).filter("doc_id <> p")
-    ordered = star.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
-    return all_pairs.union(ordered).distinct(), crowded
+    chosen = crowded.groupBy("key").agg(F.min("doc_id").alias("p"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("q"))
+    star = crowded.join(chosen, "key").filter("doc_id <> q OR doc_id <> p")
+    pairs = all_pairs
+    for pivot in ("p", "q")[2 - pivots :]:
+        pairs = pairs.union(star.filter(f"doc_id <> {pivot}").select(F.least("doc_id", pivot).alias("a"), F.greatest("doc_id", pivot).alias("b")))
+    return pairs.distinct(), crowded
 
 
 def mixed(crowded: DataFrame, found: DataFrame) -> DataFrame:

@@ -78,37 +78,42 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) <= window, F.lit(0)).otherwise(found).cast("long")
 
 
-def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds a struct column ``m`` with the counts and metrics of each whole text."""
-    t = nonnull_text(F.col(text))
-    chars = lambda pattern: (F.length("_t") - F.length(F.regexp_replace("_t", f"{pattern}+", ""))).cast("long")
+def measure(text: Column) -> Column:
+    """The struct of counts and metrics of a whole text, as one expression that computes each part once."""
+    chars = lambda t, pattern: (F.length(t) - F.length(F.regexp_replace(t, f"{pattern}+", ""))).cast("long")
 
-    def counts(words: Column, lines: Column) -> Column:
+    def counts(t: Column, words: Column, lines: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            chars(SYMBOLS).alias("n_symbols"),
+            chars(t, SYMBOLS).alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
             F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))).cast("long").alias("n_stutters"),
-            chars(r"\p{Lu}").alias("n_caps"),
-            chars(r"[!?#*$%&|<>=~^_{}\[\]\\]").alias("n_marks"),
+            chars(t, r"\p{Lu}").alias("n_caps"),
+            chars(t, r"[!?#*$%&|<>=~^_{}\[\]\\]").alias("n_marks"),
         )
 
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.withColumn("_t", t).withColumn("_c", let(words_of(F.col("_t")), lambda w: let(lines, lambda n: counts(w, n)))).drop("_t")
-    share = lambda part, whole: F.floor(F.col(f"_c.{part}") * 10000 / F.greatest(F.col(f"_c.{whole}"), F.lit(1))).cast("long")
-    named = [F.col(f"_c.{c}") for c in METRICS]
-    shares = [
-        share("n_symbols", "word_chars").alias("symbols_bp"),
-        share("n_dup_lines", "n_lines").alias("dup_lines_bp"),
-        share("n_repeat_words", "n_words").alias("repeat_bp"),
-        share("n_stutters", "n_words").alias("stutter_bp"),
-        share("n_caps", "word_chars").alias("caps_bp"),
-        share("n_marks", "word_chars").alias("marks_bp"),
-    ]
-    return counted.withColumn("m", F.struct(*named, *shares)).drop("_c")
+    def shares(c: Column) -> Column:
+        share = lambda part, whole: F.floor(c[part] * 10000 / F.greatest(c[whole], F.lit(1))).cast("long")
+        return F.struct(
+            *[c[name].alias(name) for name in METRICS],
+            share("n_symbols", "word_chars").alias("symbols_bp"),
+            share("n_dup_lines", "n_lines").alias("dup_lines_bp"),
+            share("n_repeat_words", "n_words").alias("repeat_bp"),
+            share("n_stutters", "n_words").alias("stutter_bp"),
+            share("n_caps", "word_chars").alias("caps_bp"),
+            share("n_marks", "word_chars").alias("marks_bp"),
+        )
+
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(nonnull_text(text), lambda t: let(words_of(t), lambda w: let(lines(t), lambda n: let(counts(t, w, n), shares))))
+
+
+def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds a struct column ``m`` with the counts and metrics of each whole text."""
+    return docs.withColumn("m", measure(F.col(text)))
 
 
 def bucket(value: Column) -> Column:
@@ -121,11 +126,16 @@ def upper_value(b: Column) -> Column:
     return F.when(b <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), b.cast("double")))
 
 
-def sketches(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def buckets_of(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """array<struct<metric,bucket>> of a struct of metrics; null for a text without words."""
+    pairs = F.array(*[F.struct(F.lit(r.metric).alias("metric"), bucket(m[r.metric]).alias("bucket")) for r in rules])
+    return F.when(m["n_words"] > 0, pairs)
+
+
+def sketches(rows: DataFrame, buckets: Column) -> DataFrame:
     """One row for each group, metric and bucket with the count of documents that have words."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(r.metric).alias("metric"), bucket(F.col(f"m.{r.metric}")).alias("bucket")) for r in rules]))
-    rows = measured.filter(F.col("m.n_words") > 0).select("lang", "source", pairs.alias("p"))
-    return rows.groupBy("lang", "source", "p.metric", "p.bucket").agg(F.count("*").alias("n"))
+    each = rows.select("lang", "source", F.explode(buckets).alias("p"))
+    return each.groupBy("lang", "source", "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
 
 def merge_sketches(sketch: DataFrame, *keys: str) -> DataFrame:
@@ -156,22 +166,26 @@ def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int
     return joined.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(chosen)
 
 
-def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:
-    """Adds base_failed, reasons (metrics beyond their fence) and kept to rows with lang, source and m."""
-    limits = materialize(thresholds(sketches(measured, rules), rules, min_docs), "limits")
+def verdict(m: Column, fences: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """struct<base_failed,reasons,kept> of a struct of metrics; reasons are the metrics beyond their fence."""
+    base = (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT_PERCENT)
+    beyond = F.array_compact(F.array(*[F.when(m[r.metric] > fences[r.metric], F.lit(r.metric)) for r in rules]))
+    return F.struct(base.alias("base_failed"), beyond.alias("reasons"), (~base & (F.size(beyond) == 0)).alias("kept"))
+
+
+def with_fences(rows: DataFrame, sketch: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:
+    """Adds the struct ``f`` of the fences of a row's lang and source."""
+    limits = materialize(thresholds(sketch, rules, min_docs), "limits")
     if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)  # else the rows are shuffled by group, and Spark splits a hot one
-    base = (F.col("m.n_words") < MIN_WORDS) | (F.col("m.n_repeat_words") * 100 > F.col("m.n_words") * MAX_REPEAT_PERCENT)
-    beyond = F.array(*[F.when(F.col(f"m.{r.metric}") > F.col(f"f.{r.metric}"), F.lit(r.metric)) for r in rules])
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    judged = joined.withColumn("base_failed", base).withColumn("reasons", F.array_compact(beyond))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop("_lang", "_source", "f")
+    return rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
 
 
 def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:
     """doc_id, lang, source, m, base_failed, reasons and kept for each row of docs."""
-    measured = metrics(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    return judge(materialize(measured, "quality"), rules, min_docs)
+    measured = materialize(metrics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
+    judged = with_fences(measured, sketches(measured, buckets_of(F.col("m"), rules)), rules, min_docs).withColumn("v", verdict(F.col("m"), F.col("f"), rules))
+    return judged.select("doc_id", "lang", "source", "m", "v.*")
 
 
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:
@@ -180,8 +194,9 @@ def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: i
     Metrics are computed twice, for the sketches and for the verdicts: that is cheaper than keeping all texts once more.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    measured = metrics(docs.select(row, F.col("text"), F.col("lang"), F.col("source"))).drop("text")
-    return judge(measured, rules, min_docs).filter("kept").select("row.*")
+    sketch = sketches(docs.select("text", "lang", "source"), let(measure(F.col("text")), lambda m: buckets_of(m, rules)))
+    rows = with_fences(docs.select(row, "text", "lang", "source"), sketch, rules, min_docs)
+    return rows.filter(let(measure(F.col("text")), lambda m: verdict(m, F.col("f"), rules)["kept"])).select("row.*")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
