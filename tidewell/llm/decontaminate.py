@@ -130,18 +130,25 @@ def passage_sums(values: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.
     return starts, out
 
 
+def parts_of(block: np.ndarray, places: int = 2000) -> list[int]:
+    """Bounds of parts of about so many places, cut only where a block is missing, as one is after each text."""
+    cuts = np.flatnonzero(np.diff(block) > 1) + 1
+    wanted = np.searchsorted(cuts, np.arange(places, len(block), places))
+    return np.unique([0, *cuts[wanted[wanted < len(cuts)]], len(block)]).tolist()
+
+
 def signs(terms: int, rank: int = RANK) -> np.ndarray:
     return np.random.default_rng(20240503).integers(0, 2, (terms, rank)).astype(np.float32) * 2 - 1
 
 
 def gram_product(ids: np.ndarray, block: np.ndarray, s: np.ndarray, into: np.ndarray) -> None:
-    """Adds T'TS of some passages to into."""
+    """Adds T'TS of some passages to into; sums of these few passages are whole numbers that float32 holds exactly."""
     starts, z = passage_sums(s[ids], block)
-    z = z.astype(np.float64)
     both = z[np.searchsorted(starts, block - 1)] + z[np.searchsorted(starts, block)]
     order = np.argsort(ids, kind="stable")
-    seen, at = np.unique(ids[order], return_index=True)
-    into[seen] += np.add.reduceat(both[order], at, axis=0)
+    ranked = ids[order]
+    at = np.flatnonzero(np.diff(ranked, prepend=-1))
+    into[ranked[at]] += np.add.reduceat(both[order], at, axis=0)
 
 
 def distributed_gram(docs: DataFrame, index: dict[bytes, int]) -> np.ndarray:
@@ -162,8 +169,9 @@ def distributed_gram(docs: DataFrame, index: dict[bytes, int]) -> np.ndarray:
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
                 ids, block = np.frombuffer(a.as_py(), np.int32), np.frombuffer(b.as_py(), np.int32).astype(np.int64)
-                for at in range(0, len(ids), 20_000) if len(ids) else ():
-                    gram_product(ids[at : at + 20_000], block[at : at + 20_000], s, total)
+                bounds = parts_of(block)
+                for lo, hi in zip(bounds, bounds[1:], strict=False):
+                    gram_product(ids[lo:hi], block[lo:hi], s, total)
         seen = np.flatnonzero(total.any(axis=1))
         for at in range(0, len(seen), 64):
             part = seen[at : at + 64]
@@ -268,10 +276,7 @@ def leaks(model: Model, texts: list[list[bytes]]) -> list[list[tuple]]:
     block = block_numbers(sizes)[known]
     first = np.cumsum(-(-sizes // BLOCK) + 1) - (-(-sizes // BLOCK) + 1)
     best: dict[tuple[int, int], tuple] = {}
-    # A few thousand places at a time, cut only where a block is missing, as it is after each text.
-    cuts = np.flatnonzero(np.diff(block) > 1) + 1
-    wanted = np.searchsorted(cuts, np.arange(4000, len(known), 4000))
-    bounds = np.unique([0, *cuts[wanted[wanted < len(cuts)]], len(known)]).tolist()
+    bounds = parts_of(block)
     prepared: dict[int, tuple] = {}
     own: dict[int, set[int]] = {}
     for lo, hi in zip(bounds, bounds[1:], strict=False):
