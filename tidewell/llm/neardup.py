@@ -11,7 +11,11 @@
 5. Larger buckets that still hold several components may hide links between their other members. Their
    members are bucketed again by the band keys of 2, 3, ... such buckets at once, which part documents that
    only share a common passage and keep near copies together, and steps 3 and 4 are done on these.
-6. Links become components by large-star and small-star steps.
+6. Documents of first buckets that hold several components even then go to an exact search: a missed link would
+   join two components of such a bucket. Rare-first prefixes of their sets (two sets of similarity s share an
+   element of these) are joined across components, with the bound that the place of an element gives for what
+   two sets can share. Elements of many documents are joined in blocks of SALTED by SALTED.
+7. Links become components by large-star and small-star steps.
 
 No bucket is capped and no candidate left out for a group's size. Bands of 4 rows: a pair of similarity 0.8
 shares none of 32 with probability 5e-8.
@@ -38,6 +42,8 @@ from .shingles import WordHashes, mix, shingle_hashes
 HASHES, BANDS, BITS = 128, 32, 4
 SMALL, PIVOTS, DEPTH = 8, 2, 4
 MARGIN = 0.2
+#: Rows of an element that meet in one group of a join.
+SALTED = 1000
 SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>"
 
 _A = np.random.default_rng(20240501).integers(1, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -183,6 +189,37 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return materialize(shingle_sets(wanted, width), "sets")
 
 
+def prefix_candidates(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of labels(doc_id, component) across components that share an element of their rare-first prefixes.
+
+    ``rest`` is how much of a set is left at an element's place, so at the first that two sets share it bounds
+    what they share; no pair of the threshold is missed.
+    """
+    items = sets.join(labels, "doc_id", "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    frequency = items.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    # An element of one document only can't be shared, but it counts in the order: such elements come first.
+    ordered = items.join(frequency, "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
+    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("o"))
+    placed = F.transform(F.slice("o", F.lit(1), keep.cast("int")), lambda x, i: F.struct(x["s"].alias("s"), (F.size("o") - i).alias("rest")))
+    prefix = ordered.filter(keep > 0).select("doc_id", "n", F.explode(placed).alias("p")).select("doc_id", "n", "p.s", "p.rest")
+    labelled = materialize(prefix.join(labels, "doc_id"), "prefix")
+
+    enough = lambda rest, both: F.col(rest) * (100 + percent) >= both * percent
+    several = labelled.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("rest").alias("most"), F.count("*").alias("c")).filter("lo <> hi")
+    # A row that not even the shortest set and the largest rest of its element could match goes no further.
+    fits = enough("rest", F.col("n") + F.col("least")) & enough("most", F.col("n") + F.col("least"))
+    open_ = labelled.join(several.drop("lo", "hi"), "s").filter(fits).select("s", "doc_id", "n", "rest", "component", F.ceil(F.col("c") / SALTED).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j")))
+    salted = open_.withColumn("own", own).withColumn("m", F.explode(met)).select("s", "m.i", "m.j", "own", "doc_id", "n", "rest", "component")
+    side = lambda c: salted.select("s", "i", "j", *[F.col(x).alias(f"{x}{c}") for x in ("own", "doc_id", "n", "rest", "component")])
+    # Both of one block meet in that block's own group only.
+    once = (F.col("doc_ida") < F.col("doc_idb")) & (F.col("componenta") != F.col("componentb")) & ((F.col("owna") != F.col("ownb")) | (F.col("i") == F.col("j")))
+    both = F.col("na") + F.col("nb")
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return side("a").join(side("b"), ["s", "i", "j"]).filter(once & sizes & enough("resta", both) & enough("restb", both)).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     docs = docs.select("doc_id", "text")
@@ -210,6 +247,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if not new.isEmpty():
             links = links.union(new)
             found = components(links)
+    crowded = mixed(crowded, found).select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rest = materialize(crowded.select("doc_id", F.coalesce("component", "doc_id").alias("component")), "rest")
+    if not rest.isEmpty():
+        more = materialize(prefix_candidates(sets, rest, percent).join(tested, ["a", "b"], "left_anti"), "candidates")
+        new = materialize(confirm(thin(more, reps, percent), sets, percent), "confirmed")
+        if not new.isEmpty():
+            found = components(links.union(new))
 
     final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "d1", "d2").join(final, ["d1", "d2"], "left")
