@@ -5,8 +5,9 @@ ends where the hash is the strict maximum of REACH positions on each side, which
 alone: after an insertion the next ends fall on the same bytes again, and chunk lengths stay between
 REACH and a few times that. A stretch without maxima (one that repeats itself, mostly) is cut every LONGEST
 bytes after the last end. Chunks are deduplicated by a 64-bit digest; a chunk is repeated when its digest
-occurs in another document, and neighbouring repeated chunks form a span. Spans of at least ``min_words`` words are reported, so a chance hit of one
-chunk does nothing.
+occurs in another document, and neighbouring repeated chunks form a run. Runs of at least ``min_words`` words are
+reported, so a chance hit of one chunk does nothing; a run is reported as one span for each stretch of chunks
+that the same document holds first, for only what an earlier document holds may be cut.
 
 One row per chunk is shuffled, twice: pre-aggregated to find repeated digests, and in a join that Spark
 splits when one digest is very common. No group of equal chunks is ever collected.
@@ -102,7 +103,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per span: doc_id, start and end (code points), n_words, n_chunks, first_doc_id, copies, duplicate.
 
     ``copies`` is the largest number of occurrences of a chunk in the span; ``duplicate`` is false where the
-    document is the first (the smallest doc_id) to hold it, which deduplication keeps.
+    document is the first (the smallest doc_id) to hold it, which deduplication keeps. All chunks of a span have
+    the same first document; ``min_words`` holds for the run of neighbouring spans.
     """
     made = materialize(chunks(docs.select("doc_id", "text")), "chunks")
     counted = made.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
@@ -113,9 +115,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = made.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode(row).alias("c")).select("row", "doc_id", "c.*")
     found = rows.join(again, "digest")
     w = Window.partitionBy("row").orderBy("i")
-    runs = found.withColumn("run", F.col("i") - F.row_number().over(w)).groupBy("row", "doc_id", "run")
-    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.min("first").alias("first_doc_id"), F.max("copies").alias("copies"))
-    kept = spans.filter(F.col("n_words") >= min_words).withColumn("duplicate", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    same = Window.partitionBy("row", "first").orderBy("i")
+    runs = found.withColumn("run", F.col("i") - F.row_number().over(w)).withColumn("part", F.col("i") - F.row_number().over(same)).groupBy("row", "doc_id", "run", "first", "part")
+    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.max("copies").alias("copies")).withColumnRenamed("first", "first_doc_id")
+    long = spans.withColumn("whole", F.sum("n_words").over(Window.partitionBy("row", "run"))).filter(F.col("whole") >= min_words)
+    kept = long.withColumn("duplicate", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
     return kept.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_words", "n_chunks", "first_doc_id", "copies", "duplicate")
 
 
