@@ -2,7 +2,7 @@
 
 1. Terms are the words of the benchmark (lower-cased, punctuation dropped). One pass over all documents
    counts the passages (windows of two blocks of BLOCK words) that hold each; terms of more than ``max_df``
-   of all passages are left out, but every item keeps its KEEP rarest.
+   of all passages are left out, but every item keeps its KEEP rarest, a long one an eighth of its length.
 2. A second pass keeps, for each document, the places of these terms: a compact table.
 3. Randomised SVD of the TF-IDF passages, distributed: with random signs S, every partition sums T'TS over
    its passages (T: term counts; whole numbers, so the sum is the same in any order). The driver adds the
@@ -10,7 +10,9 @@
    eigenvectors are the latent space. Only matrices of benchmark terms by RANK meet there.
 4. A last pass projects all passages of all documents and compares them, in blocks, with all items. Pairs of
    cosine at least ``cosine`` are candidates, confirmed by the longest common subsequence of words, for the
-   item and for its answer (its last sentence).
+   item and for its answer (its last sentence). A passage is shorter than many items, so items of which a
+   document holds enough terms are also compared with regions of their own length, laid where the terms'
+   places in document and item agree.
 
 The benchmark is a fixed evaluation set; more than MAX_ITEMS items or MAX_TERMS terms raise an error, so
 what goes to the workers is bounded. Nothing else depends on the number of documents.
@@ -37,9 +39,12 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 BLOCK, RANK, KEEP = 16, 128, 10
-#: Places of terms that a passage needs to be compared, and different terms of an item to be its candidate; an
-#: item has KEEP terms or more, unless it is shorter.
+#: Places of terms that a passage needs to be compared, and different terms of an item that a passage or a region
+#: needs to be its candidate; an item has KEEP terms or more, unless it is shorter, and one of fewer than EVIDENCE
+#: needs all of them.
 EVIDENCE = 3
+#: Rows of documents' terms by items that are counted at once.
+COUNTED = 2_000_000
 MAX_ITEMS, MAX_TERMS = 50_000, 100_000
 BENCHMARK_WEIGHT = 20
 PUNCTUATION = b".,;:!?\"'()[]{}*_`"
@@ -236,6 +241,20 @@ class Model:
     subsequence: float
     answer: float
 
+    def __post_init__(self) -> None:
+        """The places of the terms of each item, the terms it needs, and the items of each term (``holders`` from ``ends``)."""
+        self.places: list[dict[int, list[int]]] = []
+        for x in self.items:
+            at: dict[int, list[int]] = {}
+            for i, w in enumerate(x.words):
+                if (t := self.index.get(w)) is not None:
+                    at.setdefault(t, []).append(i)
+            self.places.append(at)
+        self.need = np.array([max(1, min(EVIDENCE, len(at))) for at in self.places], np.int64)
+        terms = np.array([t for at in self.places for t in at], np.int64)
+        self.holders = np.repeat(np.arange(len(self.items)), np.array([len(at) for at in self.places], np.int64))[np.argsort(terms, kind="stable")]
+        self.ends = np.append(0, np.cumsum(np.bincount(terms, minlength=len(self.index))))
+
 
 def fit(docs: DataFrame, benchmark: DataFrame, max_df: float = 0.0005, cosine: float = 0.3, subsequence: float = 0.65, answer: float = 0.5) -> Model:
     items = read_items(benchmark)
@@ -248,7 +267,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, max_df: float = 0.0005, cosine: f
     of = dict(zip(vocabulary, counts.tolist(), strict=True))
     kept = {w for w, n in of.items() if n <= max_df * total + 1}
     for x in items:
-        kept.update(sorted(set(x.words), key=lambda w: (of[w], w))[:KEEP])
+        kept.update(sorted(set(x.words), key=lambda w: (of[w], w))[: max(KEEP, len(x.words) // 8)])
     index = {w: i for i, w in enumerate(sorted(kept))}
     n = np.array([of[w] for w in sorted(kept)], np.float64)
     idf = np.log((total + 1) / (n + 1)) + 1
@@ -311,11 +330,65 @@ def leaks(model: Model, texts: list[list[bytes]]) -> list[list[tuple]]:
                 answer = common_subsequence(answer_masks, answer_ones, region) / max(1, len(item.answer))
                 if answer >= model.answer:
                     best[d, k_all] = (item.item_id, float(near[p, k]), share, answer, a, b)
+    for key, match in long_matches(model, texts, ids, known, np.repeat(np.arange(len(texts)), sizes)[known], best):
+        best[key] = match
     for (d, _), match in sorted(best.items()):
         out[d].append(match)
     return out
 
 
+def held_items(model: Model, terms: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Text and item wherever a text holds as many different terms of an item as it needs, by way of the items of each term."""
+    pairs = np.unique(text * len(model.index) + terms)
+    d, t = pairs // len(model.index), pairs % len(model.index)
+    sizes = model.ends[t + 1] - model.ends[t]
+    cuts = np.flatnonzero(np.diff(d)) + 1  # between texts
+    total = np.append(0, np.cumsum(sizes))
+    lo = 0
+    while lo < len(d):
+        fit_in = cuts[(cuts > lo) & (total[cuts] - total[lo] <= COUNTED)]
+        after = cuts[cuts > lo]
+        hi = len(d) if total[-1] - total[lo] <= COUNTED or not len(after) else int(fit_in[-1] if len(fit_in) else after[0])
+        n = sizes[lo:hi]
+        k = model.holders[np.repeat(model.ends[t[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        keys, count = np.unique(np.repeat(d[lo:hi], n) * len(model.items) + k, return_counts=True)
+        for key in keys[count >= model.need[keys % len(model.items)]].tolist():
+            yield divmod(key, len(model.items))
+        lo = hi
+
+
+def long_matches(model: Model, texts: list[list[bytes]], ids: np.ndarray, known: np.ndarray, text: np.ndarray, found: dict) -> Iterator[tuple[tuple[int, int], tuple]]:
+    """Matches in regions of the items' own lengths, for texts and items that have none in found."""
+    begin = np.cumsum([0, *map(len, texts)])
+    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+    for d, k in held_items(model, ids[known].astype(np.int64), text):
+        if (d, k) in found:
+            continue
+        item, own, length = model.items[k], model.places[k], len(model.items[k].words)
+        terms = ids[known[bounds[d] : bounds[d + 1]]]
+        at = known[bounds[d] : bounds[d + 1]] - begin[d]
+        held = [(p, t) for p, t in zip(at.tolist(), terms.tolist(), strict=True) if t in own]
+        slack, best, masks = length // 4 + BLOCK, None, None
+        for start in sorted({(p - o) // BLOCK * BLOCK for p, t in held for o in own[t]}):
+            a, b = max(0, start - slack), min(len(texts[d]), start + BLOCK + length + slack)
+            if len({t for p, t in held if a <= p < b}) < model.need[k]:
+                continue
+            lo, hi = np.searchsorted(at, [start, start + BLOCK + length])
+            vector = model.terms[terms[lo:hi]].sum(axis=0)
+            near = float(vector @ model.vectors[k]) / max(float(np.linalg.norm(vector)), 1e-9)
+            if near < model.cosine:
+                continue
+            masks = masks or (masks_of(item.words), masks_of(item.answer))
+            share = common_subsequence(*masks[0], texts[d][a:b]) / length
+            if share < model.subsequence or (best and share <= best[2]):
+                continue
+            answer = common_subsequence(*masks[1], texts[d][a:b]) / max(1, len(item.answer))
+            if answer >= model.answer:
+                best = (item.item_id, near, share, answer, a, b)
+        if best:
+            yield (d, k), best
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, cosine, subsequence, answer, first_word, last_word."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, benchmark, **options))
