@@ -1,0 +1,16 @@
+"""What the network of op7 is trained on."""
+
+import random
+
+from tidewell.llm import lm
+
+from .test_operators import frame
+
+
+def test_every_token_is_a_target_by_default(spark, monkeypatch):
+    rng, seen = random.Random(38), []
+    neighbours = lm.neighbours
+    monkeypatch.setattr(lm, "neighbours", lambda windows, own: seen.append(lm.read_windows([b for b in windows.toArrow().to_batches()])) or neighbours(windows, own))
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 3, 15, 16, 200]))) for _ in range(40)]
+    rows = lm.score_documents(frame(spark, texts)).collect()
+    assert int((seen[0][:, lm.BLOCK + 1 :] != lm.PAD).sum()) == rows[0].train_tokens

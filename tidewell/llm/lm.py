@@ -10,8 +10,8 @@ The model has one attention layer: a query at each place, keys and values of the
 block of BLOCK places and in the block before, with a learned bias for each distance. Windows of two blocks
 overlap by one, so each token is scored once, with at least BLOCK places of context, in batched masked products.
 
-1. One pass over the training documents gathers word counts and training windows (one block of every ``stride``
-   of each document, evenly; both grow with the input).
+1. One pass over the training documents gathers word counts and training windows (every block of each document,
+   or one of every ``stride``, evenly; both grow with the input).
 2. Training: in each round every partition of the windows runs Adam from the shared weights, and the weights
    are averaged by their windows.
 3. One pass scores all documents. For the base, counts of the ``frequent`` most common words go to the workers (a
@@ -237,7 +237,11 @@ def training_windows(words: list[bytes], known: Subwords, offset: int, stride: i
     place = starts[:, None] + np.arange(2 * BLOCK + 1) - (BLOCK + 1)
     real = (place >= 0) & (place < n)
     out = np.full(place.shape, PAD, np.uint16)
-    out[real] = [known[words[i]] if i < n - 1 else END for i in place[real].tolist()]
+    if stride == 1:  # every word is in two windows
+        ids = np.fromiter(map(known.__getitem__, words), np.uint16, n - 1)
+        out[real] = np.append(ids, np.uint16(END))[place[real]]
+    else:
+        out[real] = [known[words[i]] if i < n - 1 else END for i in place[real].tolist()]
     return out
 
 
@@ -290,7 +294,7 @@ def neighbours(windows: DataFrame, own: list[int]) -> tuple[np.ndarray, np.ndarr
     held = windows.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((VOCABULARY, size + 1), np.int32)
+        total = np.zeros((VOCABULARY, size + 1), np.int64)
         for batch in batches:
             rows = read_windows(iter([batch]))
             for at in range(0, len(rows), 20_000):
@@ -299,7 +303,7 @@ def neighbours(windows: DataFrame, own: list[int]) -> tuple[np.ndarray, np.ndarr
                 for shift in (1, 2, 3, 5):
                     a, b = part[:, shift:].ravel(), at_own[:, :-shift].ravel()
                     good = a != PAD
-                    total += np.bincount(a[good] * (size + 1) + b[good], minlength=total.size).reshape(total.shape).astype(np.int32)
+                    total += np.bincount(a[good] * (size + 1) + b[good], minlength=total.size).reshape(total.shape)
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j].astype(np.int64))], names=["id", "j", "n"])
 
@@ -366,7 +370,7 @@ def fit(windows: DataFrame, log_share: np.ndarray, class_of: np.ndarray, rounds:
 # ---------------------------------------------------------------- scoring
 
 
-def score_documents(docs: DataFrame, vocabulary: str | None = None, stride: int = 16, frequent: int = 200_000, **options) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: str | None = None, stride: int = 1, frequent: int = 200_000, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     path = vocabulary or default_vocabulary()
     sc = docs.sparkSession.sparkContext
