@@ -2,11 +2,43 @@
 
 import random
 
+import numpy as np
+
 from tidewell.llm import lm
 
 from .test_operators import frame
 
 
+def test_padded_targets_count_for_nothing():
+    rng = np.random.default_rng(34)
+    w = lm.Weights([p.astype(np.float64) for p in lm.Weights.initial(np.zeros(lm.CLASSES)).parts])
+    x, y = rng.integers(0, lm.CLASSES + 1, (3, 2 * lm.BLOCK)), rng.integers(0, lm.CLASSES, (3, lm.BLOCK))
+    y[0, 5:] = y[2, 1:] = lm.CLASSES
+    loss, grads = lm.gradients(w, x, y)
+    one = lambda i, k: lm.gradients(w, x[[i]], np.where(np.arange(lm.BLOCK) == k, y[[i]], lm.CLASSES))
+    alone = [one(i, k) for i in range(3) for k in range(lm.BLOCK) if y[i, k] != lm.CLASSES]
+    assert len(alone) == 22 and abs(loss - np.mean([x[0] for x in alone])) < 1e-9
+    for at, g in enumerate(grads):
+        assert np.allclose(g, np.mean([x[1][at] for x in alone], axis=0), atol=1e-6)
+    for p, g in zip(w.parts, grads, strict=True):
+        for _ in range(4):
+            i = tuple(rng.integers(0, s) for s in p.shape)
+            p[i] += 1e-4
+            a, _ = lm.gradients(w, x, y)
+            p[i] -= 2e-4
+            b, _ = lm.gradients(w, x, y)
+            p[i] += 1e-4
+            assert abs((a - b) / 2e-4 - g[i]) < 1e-5
+
+
+def test_short_texts_are_trained_on(spark):
+    rng = random.Random(35)
+    texts = [f"the {rng.choice('abcd')} of {rng.choice('efgh')}" for _ in range(400)]
+    rows = lm.score_documents(frame(spark, texts), stride=1).collect()
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.2
+
+
 def test_every_token_is_a_target_by_default(spark, monkeypatch):
     rng, seen = random.Random(38), []
     neighbours = lm.neighbours

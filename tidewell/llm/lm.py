@@ -13,7 +13,7 @@ overlap by one, so each token is scored once, with at least BLOCK places of cont
 1. One pass over the training documents gathers word counts and training windows (every block of each document,
    or one of every ``stride``, evenly; both grow with the input).
 2. Training: in each round every partition of the windows runs Adam from the shared weights, and the weights
-   are averaged by their windows.
+   are averaged by their targets; the padding after a text's end is no target.
 3. One pass scores all documents. For the base, counts of the ``frequent`` most common words go to the workers (a
    bounded table); the other words are joined with the table of all counts.
 
@@ -119,7 +119,10 @@ def attention_bias(bias: np.ndarray) -> np.ndarray:
 
 
 def gradients(w: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean loss and gradients for windows x (n, 2 BLOCK) of classes and the targets y (n, BLOCK) of their last halves."""
+    """Mean loss and gradients for windows x (n, 2 BLOCK) of classes and the targets y (n, BLOCK) of their last halves.
+
+    Targets of CLASSES are padding and count for nothing.
+    """
     embed, qkv, bias, out, last = w.parts
     n, scale = len(x), np.float32(1 / np.sqrt(WIDTH))
     e = embed[x]
@@ -134,11 +137,14 @@ def gradients(w: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.
     logits -= logits.max(axis=1, keepdims=True)
     g = np.exp(logits)
     total = g.sum(axis=1, keepdims=True)
-    rows, flat = np.arange(len(h)), y.ravel()
-    loss = float((np.log(total[:, 0]) - logits[rows, flat]).mean())
+    rows = np.flatnonzero(y.ravel() != CLASSES)
+    flat = y.ravel()[rows]
+    loss = float((np.log(total[rows, 0]) - logits[rows, flat]).mean()) if len(rows) else 0.0
     g /= total
     g[rows, flat] -= 1
-    g /= len(h)
+    if len(rows) < len(h):
+        g[y.ravel() == CLASSES] = 0
+    g /= max(1, len(rows))
     d_out, d_last = h.T @ g, g.sum(axis=0)
     dh = (g @ out.T).reshape(n, BLOCK, 2 * WIDTH)
     do = dh[:, :, WIDTH:]
@@ -351,13 +357,13 @@ def fit(windows: DataFrame, log_share: np.ndarray, class_of: np.ndarray, rounds:
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
             rows = read_windows(batches)[turn::rounds]
-            rows = rows[(rows[:, BLOCK + 1 :] != PAD).all(axis=1)]
             if not len(rows):
                 return
             c = held.value[rows[np.random.default_rng(turn).permutation(len(rows))]]
             once = -(-len(c) // batch)
             done = train(start.value, c[:, :-1], c[:, BLOCK + 1 :], max(min(least_steps, EPOCHS * once), once), batch, rate)
-            yield pa.RecordBatch.from_arrays([pa.array([float(len(c))]), pa.array([done.to_bytes(len(c))], pa.binary())], names=["weight", "flat"])
+            targets = int((c[:, BLOCK + 1 :] != CLASSES).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([float(targets)]), pa.array([done.to_bytes(targets)], pa.binary())], names=["weight", "flat"])
 
         local = windows.mapInArrow(run, "weight double, flat binary").withColumn("salt", F.spark_partition_id() % 64)
         summed = local.groupBy("salt").applyInPandas(averaged, "weight double, flat binary").collect()  # at most 64 sets of weights
