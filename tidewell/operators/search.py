@@ -137,6 +137,8 @@ class Parser:
             m = _TOKEN.match(text, at)
             if not m or m.end() == at:
                 raise QuerySyntaxError(f"at {text[at : at + 20]!r}")
+            if (m["word"] or "").startswith(("[", "{")):
+                raise QuerySyntaxError(f"ranges are not built: {text[at : at + 20]!r}")
             self.tokens.append(m)
             at = m.end()
         self.at = 0
