@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -25,8 +26,11 @@ def frame(spark, texts, **more):
 # ------------------------------------------------------------------ 1 packing
 
 
+PIECES = st.text(st.sampled_from(list("ab'stre \n\t.,é漢😀0\x1c\x85 <|>")) | st.characters(codec="utf-8"), max_size=60)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.text(st.sampled_from(list("ab'stre \n\t.,é漢😀0\x1c\x85 <|>")) | st.characters(), max_size=60))
+@given(PIECES)
 def test_ids_equal_the_library(text):
     from tokenizers import Tokenizer
 
@@ -38,6 +42,33 @@ def test_ids_equal_the_library(text):
         assert fast(t) == slow.encode(t, add_special_tokens=False).ids
 
 
+@settings(max_examples=25, deadline=None)
+@given(PIECES, st.text(st.sampled_from(list("aé漢😀9'/")), min_size=1, max_size=6), st.integers(1990, 2010), PIECES)
+def test_ids_of_long_runs_equal_the_library(before, unit, length, after):
+    """Around the length of a run at which the other of the two encoders is used."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_vocabulary()
+    if not hasattr(test_ids_equal_the_library, "both"):
+        test_ids_equal_the_library.both = (Tokenizer.from_file(path), tokens.encoder(path))
+    slow, fast = test_ids_equal_the_library.both
+    text = f"{before} {(unit * length)[:length]} {after}"
+    assert fast(text) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_a_whole_table_equal_the_library():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    found = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(found):
+        pytest.skip("no tables")
+    path = tokens.default_vocabulary()
+    slow, fast = Tokenizer.from_file(path), tokens.encoder(path)
+    for text in pq.read_table(found, columns=["text"])["text"].to_pylist():
+        assert fast(text or "") == slow.encode(text or "", add_special_tokens=False).ids
+
+
 def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
@@ -320,83 +351,6 @@ def test_gram_and_space():
     assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-4)
 
 
-# ------------------------------------------------------------------ 7 language model
-
-
-def test_gradients():
-    rng = np.random.default_rng(13)
-    w = lm.Weights([p.astype(np.float64) for p in lm.Weights.initial(np.zeros(lm.CLASSES)).parts])
-    x, y = rng.integers(0, lm.CLASSES + 1, (3, 2 * lm.BLOCK)), rng.integers(0, lm.CLASSES, (3, lm.BLOCK))
-    _, grads = lm.gradients(w, x, y)
-    for p, g in zip(w.parts, grads, strict=True):
-        for _ in range(4):
-            i = tuple(rng.integers(0, s) for s in p.shape)
-            p[i] += 1e-4
-            a, _ = lm.gradients(w, x, y)
-            p[i] -= 2e-4
-            b, _ = lm.gradients(w, x, y)
-            p[i] += 1e-4
-            assert abs((a - b) / 2e-4 - g[i]) < 1e-5
-
-
-def test_windows_score_each_token_once():
-    rng = np.random.default_rng(14)
-    w = lm.Weights.initial(np.zeros(lm.CLASSES))
-    class_of = np.arange(lm.PAD + 1) % lm.CLASSES
-    class_of[lm.PAD] = lm.CLASSES
-    share = np.log(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    texts = [rng.integers(0, 1000, n).astype(np.uint16) for n in (1, 15, 16, 17, 100, 5)]
-    together = lm.gains(w, class_of, share, np.concatenate(texts), np.array([len(t) for t in texts]), at_once=3)
-    for t, got in zip(texts, together, strict=True):
-        seq = [lm.CLASSES] * (2 * lm.BLOCK) + class_of[t].tolist()
-        want = 0.0
-        for b in range(0, len(t), lm.BLOCK):
-            x = np.array([seq[b + lm.BLOCK - 1 + 0 : b + 3 * lm.BLOCK - 1]])
-            x = np.concatenate([x, np.full((1, 2 * lm.BLOCK - x.shape[1]), lm.CLASSES, int)], axis=1)
-            for k in range(min(lm.BLOCK, len(t) - b)):
-                y = np.zeros((1, lm.BLOCK), int)
-                embed, qkv, bias, out, last = w.parts
-                e = embed[x[0]]
-                p = e @ qkv
-                q, keys, v = p[lm.BLOCK + k, : lm.WIDTH], p[: lm.BLOCK + k + 1, lm.WIDTH : 2 * lm.WIDTH], p[: lm.BLOCK + k + 1, 2 * lm.WIDTH :]
-                s = keys @ q / math.sqrt(lm.WIDTH) + bias[np.arange(lm.BLOCK + k, -1, -1)]
-                a = np.exp(s - s.max())
-                logits = np.concatenate([e[lm.BLOCK + k], (a / a.sum()) @ v]) @ out + last
-                want += np.log(lm.TRUST * np.exp(logits[class_of[t[b + k]]] - np.log(np.exp(logits).sum()) - share[0]) + 1 - lm.TRUST)
-                assert y.shape
-        assert abs(want - got) < 1e-2 * max(1, len(t) / 10)
-
-
-def test_training_windows():
-    known = {b"%d" % i: i for i in range(100)}
-    for n in (0, 1, 15, 16, 17, 40, 99):
-        words = [b"%d" % i for i in range(n)]
-        padded = np.concatenate([np.full(lm.BLOCK + 1, lm.PAD), np.arange(n), [lm.END], np.full(lm.BLOCK, lm.PAD)])
-        for stride in (1, 2, 3):
-            got = lm.training_windows(words, known, 1, stride)
-            starts = range((1 % stride) * lm.BLOCK, n + 1, stride * lm.BLOCK)
-            assert got.tolist() == [padded[a : a + 2 * lm.BLOCK + 1].tolist() for a in starts]
-
-
-def test_scores(spark):
-    rng = random.Random(15)
-    dialect = lambda k, n: " ".join(rng.choice(["the", "of", "and"] if k else ["der", "und", "die"]) if rng.random() < 0.5 else f"w{k}{rng.randrange(40)}" for _ in range(n))
-    texts = [dialect(i % 2, 150) for i in range(80)] + ["", None]
-    rows = lm.score_documents(frame(spark, texts), frequent=30, stride=1).collect()
-    counts = collections.Counter()
-    for i, t in enumerate(texts):
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            counts.update([*(t or "").lower().split(), None])
-    total, v = sum(counts.values()), len(counts)
-    for r in rows:
-        words = [*(texts[r.doc_id] or "").lower().split(), None]
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) and (r.n_tokens, r.train_tokens) == (len(words), total)
-        assert r.n_known == sum(counts[x] > 0 for x in words)
-        assert abs(r.base_score - sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (v + 1))) for x in words)) < 1e-6
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
 # ------------------------------------------------------------------ 8 quality
 
 

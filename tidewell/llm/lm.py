@@ -1,21 +1,25 @@
 """Language-model scoring: a causal self-attention model on subword ids, trained and run in numpy.
 
-A text is its words (A-Z lower-cased), then an end; each word is seen as the byte-level BPE id that begins it. Ids
-fall into CLASSES classes: the OWN most frequent have one each, the others are clustered by the frequent ids they
-stand near. The network gives P(class | context); P(word | class) is the word's smoothed share of its class over
-all training documents. So the score is the unigram base plus, for each token, the log of P(class | context) over
-the class's share: what the context tells.
+A text is its words (A-Z lower-cased), then an end. Each word is all the byte-level BPE ids of a space and the word,
+so a text is one stream of ids, of which some begin a word. The network gives P(id | ids before) as
+P(class | ids before) * P(id | class): ids fall into classes of ids that begin a word and of ids that go on
+with one (the most frequent have a class each, the others are clustered by the ids that they follow), and the second
+factor is the id's smoothed share of its class over all training documents.
+
+The probability of a word is a mixture of two. The first is that of all its ids, given that a word begins, and that
+the next one begins after them. The second, of weight 1 - ``trust``, is P(class of its first id | ids before) times the
+word's smoothed share of all words whose first id is of that class. The score is the sum of logs over words and end.
 
 The model has one attention layer: a query at each place, keys and values of the places before it in its own
 block of BLOCK places and in the block before, with a learned bias for each distance. Windows of two blocks
-overlap by one, so each token is scored once, with at least BLOCK places of context, in batched masked products.
+overlap by one, so each id is scored once, with at least BLOCK places of context, in batched masked products.
 
-1. One pass over the training documents gathers word counts and training windows (every block of each document,
-   or one of every ``stride``, evenly; both grow with the input).
-2. Training: in each round every partition of the windows runs Adam from the shared weights, and the weights
-   are averaged by their targets; the padding after a text's end is no target.
-3. One pass scores all documents. For the base, counts of the ``frequent`` most common words go to the workers (a
-   bounded table); the other words are joined with the table of all counts.
+1. One pass over the training documents gathers word counts and the streams of ids (2 bytes an id).
+2. Training: every block of every stream is a window once; in each round every partition runs Adam from the shared
+   weights over its share of the windows, and the weights are averaged by their targets, in a tree. A partition of
+   few windows goes over them up to EPOCHS times. The padding after a text's end is no target.
+3. One pass scores all documents. Counts of the ``frequent`` most common words go to the workers (a bounded
+   table); the other words are joined with the table of all counts, with their probabilities by the network.
 
 Defined results: a null or empty text has the end only; a null doc_id is a training document; repeated rows are
 scored alike and counted each; without training documents counts are 0; further columns are ignored.
@@ -38,19 +42,23 @@ from pyspark.sql import functions as F
 from .shared import materialize
 from .tokens import default_vocabulary, encoder
 
-BLOCK, WIDTH, CLASSES, OWN = 16, 16, 112, 80
-#: Weight of the network; the rest is the class's share, so that no token costs more than ln (1 - TRUST).
-TRUST = 0.95
-#: Most times that training goes over the windows of a partition in a round.
-EPOCHS = 6
-#: Times an id must occur in the windows to be clustered; rarer ones share the last class.
-LEAST = 5
-VOCABULARY = 50_257
-END, PAD = 50_256, 65_535
+BLOCK, WIDTH = 16, 24
+#: Classes of ids that begin words, of which so many are of one id, and of those that go on with one.
+STARTS, OWN_STARTS, CONTS, OWN_CONTS = 64, 48, 160, 112
+CLASSES = STARTS + CONTS
+#: Weight of the probability of a word by its ids; the rest goes by its share among the words of its class.
+TRUST = 0.3
+#: Most times that training goes over the windows of a partition in a round, and windows that are shuffled together.
+EPOCHS, SHUFFLED = 40, 65_536
+#: Sets of weights that one task sums up.
+FAN = 64
+#: Ids of the vocabulary, and the id of a text's end, which no text has.
+VOCABULARY = 50_258
+END = VOCABULARY - 1
 #: The base's end token: no word has a separator in it.
 END_WORD = xxhash.xxh3_64_intdigest(b"\n")
-#: Words whose first id a worker remembers (about 85 MB), and counts that it holds before it passes them on.
-REMEMBERED, HELD = 500_000, 200_000
+#: Word counts that a worker holds before it passes them on.
+HELD = 200_000
 
 
 def remainder(doc_id: Column) -> Column:
@@ -58,22 +66,40 @@ def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
-class Subwords(dict):
-    """The id that begins a word after a space, remembered."""
+def hashes_of(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
-    def __init__(self, path: str) -> None:
-        super().__init__()
-        self.encode = encoder(path)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = self.encode(" " + word.decode(errors="replace"))[0]
-        return value
+# ---------------------------------------------------------------- subwords
 
 
-def hashes_of(words) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+def begins_word(path: str) -> np.ndarray:
+    """For each id whether its first byte is a space; the end begins a word of its own."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(path).get_vocab()
+    out = np.zeros(VOCABULARY, bool)
+    out[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+    out[END] = True
+    return out
+
+
+class Subwords:
+    """Turns the words of a text into ids: all ids of a space and each word, then the end."""
+
+    def __init__(self, path: str) -> None:
+        self.encode, self.begins = encoder(path), begins_word(path)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and where each word (and the end) begins in them."""
+        ids = np.array([*self.encode((b" " + b" ".join(words)).decode(errors="replace") if words else ""), END], np.uint16)
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) == len(words) + 1:
+            return ids, at
+        # Rare: a word with separators of other alphabets, which the vocabulary joins with the space.
+        each = [self.encode(" " + w.decode(errors="replace")) for w in words]
+        sizes = [len(x) for x in each]
+        return np.array([*(i for x in each for i in x), END], np.uint16), np.cumsum([0, *sizes])
 
 
 # ---------------------------------------------------------------- the model
@@ -81,20 +107,25 @@ def hashes_of(words) -> np.ndarray:
 
 @dataclass
 class Weights:
-    """embed (CLASSES + 1, WIDTH), qkv (WIDTH, 3 WIDTH), bias (2 BLOCK) by distance, out (2 WIDTH, CLASSES), last (CLASSES)."""
+    """embed (CLASSES + 1, WIDTH), qkv (WIDTH, 3 WIDTH), bias (2 BLOCK) by distance, out (2 WIDTH + 1, CLASSES + 1).
+
+    The output is a tree of two levels: its last column decides whether a word begins, the others are the classes of
+    ids that begin words, or of those that do not. Its last row is added to every place.
+    """
 
     parts: list[np.ndarray]
 
     @staticmethod
     def shapes() -> list[tuple[int, ...]]:
-        return [(CLASSES + 1, WIDTH), (WIDTH, 3 * WIDTH), (2 * BLOCK,), (2 * WIDTH, CLASSES), (CLASSES,)]
+        return [(CLASSES + 1, WIDTH), (WIDTH, 3 * WIDTH), (2 * BLOCK,), (2 * WIDTH + 1, CLASSES + 1)]
 
     @classmethod
     def initial(cls, log_share: np.ndarray) -> Weights:
         rng = np.random.default_rng(20240504)
         parts = [rng.normal(0, 0.3, s).astype(np.float32) for s in cls.shapes()]
         parts[2][:] = 0
-        parts[4][:] = log_share
+        starts = np.exp(log_share[:STARTS]).sum() + 1e-9
+        parts[3][-1] = np.append(log_share, np.log(starts / max(1 - starts, 1e-9)))
         return cls(parts)
 
     def to_bytes(self, scale: float = 1.0) -> bytes:
@@ -118,69 +149,115 @@ def attention_bias(bias: np.ndarray) -> np.ndarray:
     return np.where(_SEEN, bias[np.maximum(_FAR, 0)], np.float32(-1e9)).astype(np.float32)
 
 
+def blocks_of(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs x and targets y (n, BLOCK), which blocks are a text's first, and the place of each id in y.
+
+    The input of a place is the class before it in the text; CLASSES stands before a text and for padding.
+    """
+    blocks = -(-sizes // BLOCK)
+    begin = np.cumsum(blocks) - blocks
+    ends = np.cumsum(sizes)
+    total = int(blocks.sum())
+    place = np.arange(len(classes)) + np.repeat(begin * BLOCK - (ends - sizes), sizes)
+    x, y = np.full(total * BLOCK, CLASSES, np.int64), np.full(total * BLOCK, CLASSES, np.int64)
+    y[place] = classes
+    x[1:] = y[:-1]
+    x[begin * BLOCK] = CLASSES
+    x[y == CLASSES] = CLASSES
+    first = np.zeros(total, bool)
+    first[begin] = True
+    return x.reshape(-1, BLOCK), y.reshape(-1, BLOCK), first, place
+
+
+def groups(y: np.ndarray) -> list[tuple[np.ndarray, slice]]:
+    """The places of the targets that begin words and of those that go on with one, and the classes of each kind."""
+    flat = y.ravel()
+    return [(np.flatnonzero(flat < STARTS), slice(0, STARTS)), (np.flatnonzero((flat >= STARTS) & (flat < CLASSES)), slice(STARTS, CLASSES))]
+
+
 def gradients(w: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean loss and gradients for windows x (n, 2 BLOCK) of classes and the targets y (n, BLOCK) of their last halves.
 
     Targets of CLASSES are padding and count for nothing.
     """
-    embed, qkv, bias, out, last = w.parts
-    n, scale = len(x), np.float32(1 / np.sqrt(WIDTH))
+    embed, qkv, bias, out = w.parts
+    n, scale, kind = len(x), embed.dtype.type(1 / np.sqrt(WIDTH)), embed.dtype
     e = embed[x]
-    p = e.reshape(-1, WIDTH) @ qkv
-    p = p.reshape(n, 2 * BLOCK, 3 * WIDTH)
+    p = (e.reshape(-1, WIDTH) @ qkv).reshape(n, 2 * BLOCK, 3 * WIDTH)
     q, k, v = p[:, BLOCK:, :WIDTH], p[:, :, WIDTH : 2 * WIDTH], p[:, :, 2 * WIDTH :]
-    s = q @ k.transpose(0, 2, 1) * scale + attention_bias(bias)
-    a = np.exp(s - s.max(axis=2, keepdims=True))
+    a = (q * scale) @ k.transpose(0, 2, 1)
+    a += attention_bias(bias)
+    np.exp(np.minimum(a, 60, out=a), out=a)
     a /= a.sum(axis=2, keepdims=True)
-    h = np.concatenate([e[:, BLOCK:], a @ v], axis=2).reshape(-1, 2 * WIDTH)
-    logits = h @ out + last
-    logits -= logits.max(axis=1, keepdims=True)
-    g = np.exp(logits)
-    total = g.sum(axis=1, keepdims=True)
-    rows = np.flatnonzero(y.ravel() != CLASSES)
-    flat = y.ravel()[rows]
-    loss = float((np.log(total[rows, 0]) - logits[rows, flat]).mean()) if len(rows) else 0.0
-    g /= total
-    g[rows, flat] -= 1
-    if len(rows) < len(h):
-        g[y.ravel() == CLASSES] = 0
-    g /= max(1, len(rows))
-    d_out, d_last = h.T @ g, g.sum(axis=0)
-    dh = (g @ out.T).reshape(n, BLOCK, 2 * WIDTH)
+    h = np.empty((n * BLOCK, 2 * WIDTH + 1), kind)
+    h[:, :WIDTH], h[:, WIDTH:-1], h[:, -1] = e[:, BLOCK:].reshape(-1, WIDTH), (a @ v).reshape(-1, WIDTH), 1
+
+    flat, d_out, dh, loss = y.ravel(), np.zeros_like(out), np.zeros_like(h), 0.0
+    targets = max(1, int((flat < CLASSES).sum()))
+    begins = 1 / (1 + np.exp(-np.clip(h @ out[:, -1], -60, 60)))
+    error = (begins - (flat < STARTS)) * (flat < CLASSES) / targets
+    d_out[:, -1] = h.T @ error
+    dh += error[:, None].astype(kind) * out[:, -1]
+    for (rows, cut), sign in zip(groups(y), (1, -1), strict=True):
+        own = h[rows]
+        g = own @ out[:, cut]
+        np.minimum(g, 60, out=g)
+        target = np.arange(len(rows)), flat[rows].astype(np.int64) - cut.start
+        chosen = g[target]
+        np.exp(g, out=g)
+        total = g.sum(axis=1)
+        chance = begins[rows] if sign > 0 else 1 - begins[rows]
+        loss += float((np.log(total) - chosen - np.log(chance)).sum()) / targets
+        g *= (1 / (total * targets))[:, None].astype(kind)
+        g[target] -= kind.type(1 / targets)
+        d_out[:, cut] = own.T @ g
+        dh[rows] += g @ out[:, cut].T
+
+    dh = dh[:, :-1].reshape(n, BLOCK, 2 * WIDTH)
     do = dh[:, :, WIDTH:]
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= np.einsum("nqk,nqk->nq", ds, a)[:, :, None]
+    ds *= a
     dp = np.zeros_like(p)
     dp[:, BLOCK:, :WIDTH] = ds @ k * scale
-    dp[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q * scale
+    dp[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ (q * scale)
     dp[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ do
     d_bias = np.bincount(np.maximum(_FAR, 0).ravel(), weights=(ds.sum(axis=0) * _SEEN).ravel(), minlength=2 * BLOCK)
     flat_p = dp.reshape(-1, 3 * WIDTH)
     de = (flat_p @ qkv.T).reshape(n, 2 * BLOCK, WIDTH)
     de[:, BLOCK:] += dh[:, :, :WIDTH]
-    one = np.zeros((x.size, CLASSES + 1), np.float32)
-    one[np.arange(x.size), x.ravel()] = 1
-    return loss, [one.T @ de.reshape(-1, WIDTH), e.reshape(-1, WIDTH).T @ flat_p, d_bias.astype(np.float32), d_out, d_last]
-
-
-def train(w: Weights, x: np.ndarray, y: np.ndarray, steps: int, batch: int, rate: float) -> Weights:
-    """Adam over batches in order, from the start again when the windows are used up; the rate falls to a tenth."""
-    parts = [p.copy() for p in w.parts]
-    m, v = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    for t in range(1, steps + 1):
-        rows = np.arange((t - 1) * batch, t * batch) % len(x)
-        _, grads = gradients(Weights(parts), x[rows], y[rows])
-        now = rate * (1 - 0.9 * t / steps)
-        for p, g, a, b in zip(parts, grads, m, v, strict=True):
+    order = np.argsort(x.ravel(), kind="stable")
+    ranked = x.ravel()[order]
+    at = np.flatnonzero(np.diff(ranked.astype(np.int64), prepend=-1))
+    d_embed = np.zeros_like(embed)
+    d_embed[ranked[at]] = np.add.reduceat(de.reshape(-1, WIDTH)[order], at, axis=0)
+    return loss, [d_embed, e.reshape(-1, WIDTH).T @ flat_p, d_bias.astype(kind), d_out]
+
+
+class Adam:
+    """Weights that are trained batch by batch; the rate falls to a tenth over ``steps``."""
+
+    def __init__(self, w: Weights, steps: int, rate: float) -> None:
+        self.parts = [p.copy() for p in w.parts]
+        self.m, self.v = [np.zeros_like(p) for p in self.parts], [np.zeros_like(p) for p in self.parts]
+        self.t, self.steps, self.rate = 0, max(1, steps), rate
+
+    def step(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.t += 1
+        _, grads = gradients(Weights(self.parts), x, y)
+        now = self.rate * (1 - 0.9 * min(1, self.t / self.steps))
+        for p, g, a, b in zip(self.parts, grads, self.m, self.v, strict=True):
             a += np.float32(0.1) * (g - a)
             b += np.float32(0.01) * (g * g - b)
-            p -= np.float32(now / (1 - 0.9**t)) * a / (np.sqrt(b / np.float32(1 - 0.99**t)) + np.float32(1e-8))
-    return Weights(parts)
+            p -= np.float32(now / (1 - 0.9**self.t)) * a / (np.sqrt(b / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
+
 
+def block_log_probs(w: Weights, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For blocks x (n, BLOCK) in the order of the texts: ln P(class y | context), and ln P(a word begins | context).
 
-def block_log_probs(w: Weights, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Natural log P(class y | context) for blocks x (n, BLOCK) in the order of the texts; first marks a text's first block."""
-    embed, qkv, bias, out, last = w.parts
+    ``first`` marks a text's first block; where y is CLASSES, for padding, the former is 0.
+    """
+    embed, qkv, bias, out = w.parts
     n, scale = len(x), np.float32(1 / np.sqrt(WIDTH))
     e = embed[x].reshape(-1, WIDTH)
     p = (e @ qkv).reshape(n, BLOCK, 3 * WIDTH)
@@ -194,205 +271,287 @@ def block_log_probs(w: Weights, x: np.ndarray, y: np.ndarray, first: np.ndarray)
     np.exp(np.minimum(s, 60, out=s), out=s)
     o = s @ both[:, :, WIDTH:]
     o /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
-    inputs = np.empty((n * BLOCK, 2 * WIDTH + 1), np.float32)
-    inputs[:, :WIDTH], inputs[:, WIDTH:-1], inputs[:, -1] = e, o.reshape(-1, WIDTH), 1
-    logits = inputs @ np.concatenate([out, last[None]])
-    target = logits[np.arange(len(logits)), y.ravel()]
-    if (top := float(logits.max())) > 60:
-        logits -= top - 60  # the largest term of a place that far below does not count
-        target -= top - 60
-    np.exp(logits, out=logits)
-    return (target - np.log(logits.sum(axis=1) + np.float32(1e-37))).reshape(n, BLOCK)
-
-
-def gains(w: Weights, class_of: np.ndarray, log_share: np.ndarray, flat: np.ndarray, sizes: np.ndarray, at_once: int = 512) -> np.ndarray:
-    """For each text (``flat`` has their ids with the ends, ``sizes`` how many) the sum of ln P(class | context) - ln share of the class, P being mixed by TRUST."""
-    blocks = -(-sizes // BLOCK)
-    begin = np.cumsum(blocks) - blocks
-    total = int(blocks.sum())
-    y = np.full(total * BLOCK, CLASSES, np.int64)
-    x = np.full(total * BLOCK, CLASSES, np.int64)
-    place = np.repeat(begin * BLOCK, sizes) + np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    classes = class_of[flat]
-    y[place] = classes
-    follows = np.ones(len(flat), bool)
-    follows[np.cumsum(sizes) - sizes] = False
-    x[place[follows]] = classes[np.flatnonzero(follows) - 1]
-    first = np.zeros(total, bool)
-    first[begin] = True
-    x, y = x.reshape(-1, BLOCK), y.reshape(-1, BLOCK)
-    out = np.empty((total, BLOCK))
-    for a in range(0, total, at_once):
-        lo = max(0, a - 1)  # the block before is context; a text's first block needs none
-        part = block_log_probs(w, x[lo : a + at_once], np.minimum(y[lo : a + at_once], CLASSES - 1), first[lo : a + at_once] | (np.arange(lo, min(total, a + at_once)) == lo))
-        out[a : a + at_once] = part[a - lo :]
-    gain = np.log(TRUST * np.exp(np.minimum(out.ravel()[place] - log_share[classes], 60)) + (1 - TRUST))
-    return np.add.reduceat(gain, np.cumsum(sizes) - sizes)
+    h = np.empty((n * BLOCK, 2 * WIDTH + 1), np.float32)
+    h[:, :WIDTH], h[:, WIDTH:-1], h[:, -1] = e, o.reshape(-1, WIDTH), 1
+    begins = np.clip(h @ out[:, -1], -60, 60)
+    starts = -np.log1p(np.exp(-begins))
+    chosen, flat = np.zeros(len(h), np.float32), y.ravel()
+    for (rows, cut), chance in zip(groups(y), (starts, starts - begins), strict=True):
+        logits = h[rows] @ out[:, cut]
+        np.minimum(logits, 60, out=logits)
+        target = logits[np.arange(len(rows)), flat[rows] - cut.start]
+        np.exp(logits, out=logits)
+        chosen[rows] = target - np.log(logits.sum(axis=1) + np.float32(1e-37)) + chance[rows]
+    return chosen.reshape(n, BLOCK), starts.reshape(n, BLOCK)
 
 
-# ---------------------------------------------------------------- gathering and training
+@dataclass
+class Classes:
+    """Class of each id, ln of an id's share of its class, and ln of a class's share of all ids."""
+
+    of: np.ndarray
+    within: np.ndarray
+    share: np.ndarray
 
 
-def training_windows(words: list[bytes], known: Subwords, offset: int, stride: int) -> np.ndarray:
-    """Every stride-th block with the block before and the target after: rows of 2 BLOCK + 1 ids.
+def id_log_probs(w: Weights, classes: Classes, flat: np.ndarray, sizes: np.ndarray, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """For the ids of some texts (``sizes`` each): ln P(id | context), and ln P(a word begins | context) at each place."""
+    kinds = classes.of[flat]
+    x, y, first, place = blocks_of(kinds, sizes)
+    chosen, starts = np.empty(x.shape, np.float32), np.empty(x.shape, np.float32)
+    for a in range(0, len(x), at_once):
+        lo = max(0, a - 1)  # the block before is context; a text's first block needs none
+        begins = first[lo : a + at_once] | (np.arange(lo, min(len(x), a + at_once)) == lo)
+        part = block_log_probs(w, x[lo : a + at_once], y[lo : a + at_once], begins)
+        chosen[a : a + at_once], starts[a : a + at_once] = part[0][a - lo :], part[1][a - lo :]
+    return chosen.ravel()[place] + classes.within[flat], starts.ravel()[place]
+
 
-    Only the words of these blocks are turned into ids.
+def word_log_probs(w: Weights, classes: Classes, flat: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word and end of some texts, whose ids begin at ``begins`` in flat: ln P(its ids) and ln P(class of its first id).
+
+    Both are given what stands before and that a word begins at their place; after the ids a word must begin, unless
+    the text is over.
     """
-    n = len(words) + 1
-    starts = np.arange(offset % stride, -(-n // BLOCK), stride) * BLOCK
-    place = starts[:, None] + np.arange(2 * BLOCK + 1) - (BLOCK + 1)
-    real = (place >= 0) & (place < n)
-    out = np.full(place.shape, PAD, np.uint16)
-    if stride == 1:  # every word is in two windows
-        ids = np.fromiter(map(known.__getitem__, words), np.uint16, n - 1)
-        out[real] = np.append(ids, np.uint16(END))[place[real]]
-    else:
-        out[real] = [known[words[i]] if i < n - 1 else END for i in place[real].tolist()]
-    return out
+    log_probs, starts = id_log_probs(w, classes, flat, sizes)
+    after = np.append(starts[begins[1:]], 0)
+    after[np.searchsorted(begins, np.cumsum(sizes)) - 1] = 0
+    whole = np.add.reduceat(log_probs.astype(np.float64), begins) - starts[begins] + after
+    return np.minimum(whole, 0), np.minimum(log_probs[begins] - classes.within[flat[begins]] - starts[begins], 0)
+
+
+# ---------------------------------------------------------------- gathering and training
 
 
-def gather(docs: DataFrame, path: str, stride: int) -> DataFrame:
-    """Rows with a word's hash, first id and count, and rows with training windows."""
+def gather(docs: DataFrame, path: str) -> DataFrame:
+    """Rows with a word's hash, first id and count, and rows with the streams of ids of some texts and their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Subwords(path)
+        subwords = Subwords(path)
         counts: Counter[bytes] = Counter()
-        seen = texts = 0
+        first: dict[bytes, int] = {}
+        texts = 0
 
-        def rows(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, windows: bytes | None = None) -> pa.RecordBatch:
-            columns = [pa.array(keys.astype(np.int64)), pa.array(ids.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array([windows] * len(keys), pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "windows"])
+        def rows(keys: np.ndarray, n: np.ndarray, id_: np.ndarray, ids: bytes | None = None, sizes: bytes | None = None) -> pa.RecordBatch:
+            columns = [pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(id_.astype(np.int32)), *[pa.array([x] * len(keys), pa.binary()) for x in (ids, sizes)]]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "n", "id", "ids", "sizes"])
 
         def words_out() -> pa.RecordBatch:
             size = len(counts)
-            out = rows(hashes_of(counts), np.fromiter(map(known.__getitem__, counts), np.int32, size), np.fromiter(counts.values(), np.int64, size))
-            counts.clear()
+            out = rows(hashes_of(counts), np.fromiter(counts.values(), np.int64, size), np.fromiter(map(first.__getitem__, counts), np.int32, size))
+            counts.clear(), first.clear()
             return out
 
         for whole in batches:
             for batch in (whole.slice(at, 200) for at in range(0, whole.num_rows, 200)):
-                windows = []
+                streams = []
                 for text in batch.column(0):
                     words = (text.as_py() or b"").lower().split()
+                    ids, at = subwords(words)
                     counts.update(words)
-                    windows.append(training_windows(words, known, -seen, stride))
-                    seen += (len(words) + 1) // BLOCK + 1
-                    texts += 1
-                yield rows(np.zeros(1), np.array([-1]), np.array([sum(len(x) for x in windows)]), np.concatenate(windows).tobytes())
+                    first.update(zip(words, ids[at].tolist(), strict=False))
+                    streams.append(ids)
+                texts += len(streams)
+                yield rows(np.zeros(1), np.zeros(1), np.zeros(1), np.concatenate(streams).tobytes(), np.array([len(x) for x in streams], np.int64).tobytes())
                 if len(counts) > HELD:
                     yield words_out()
         yield words_out()
-        yield rows(np.array([END_WORD], np.uint64).view(np.int64), np.array([END]), np.array([texts]))
+        yield rows(np.array([END_WORD], np.uint64).view(np.int64), np.array([texts]), np.array([END]))
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "key long, n long, id int, ids binary, sizes binary")
+
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "key long, id int, n long, windows binary")
+def read_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and sizes of the texts of each row."""
+    for batch in batches:
+        for ids, sizes in zip(batch.column(0), batch.column(1), strict=True):
+            yield np.frombuffer(ids.as_py(), np.uint16), np.frombuffer(sizes.as_py(), np.int64)
 
 
-def read_windows(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    parts = [np.frombuffer(x.as_py(), np.uint16) for b in batches for x in b.column(0)]
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint16)).reshape(-1, 2 * BLOCK + 1)
+def id_counts(streams: DataFrame) -> np.ndarray:
+    """How often each id occurs in all streams."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(VOCABULARY, np.int64)
+        for ids, _ in read_streams(batches):
+            total += np.bincount(ids, minlength=VOCABULARY)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
+
+    out = np.zeros(VOCABULARY, np.int64)
+    for i, n in streams.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # a row for each id
+        out[i] = n
+    return out
 
-def neighbours(windows: DataFrame, own: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """How often each id stands in a window, and with which of the frequent ids: (VOCABULARY,) and (VOCABULARY, len(own))."""
+
+def followed(streams: DataFrame, own: np.ndarray) -> np.ndarray:
+    """How often each id stands right after each of the ids ``own``, in its text: (VOCABULARY, len(own))."""
     size = len(own)
-    place = np.full(PAD + 1, size, np.int64)
+    place = np.full(VOCABULARY, size, np.int64)
     place[own] = np.arange(size)
-    held = windows.sparkSession.sparkContext.broadcast(place)
+    held = streams.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((VOCABULARY, size + 1), np.int64)
-        for batch in batches:
-            rows = read_windows(iter([batch]))
-            for at in range(0, len(rows), 20_000):
-                part = rows[at : at + 20_000, BLOCK + 1 :].astype(np.int64)
-                at_own = held.value[part]
-                for shift in (1, 2, 3, 5):
-                    a, b = part[:, shift:].ravel(), at_own[:, :-shift].ravel()
-                    good = a != PAD
-                    total += np.bincount(a[good] * (size + 1) + b[good], minlength=total.size).reshape(total.shape)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j].astype(np.int64))], names=["id", "j", "n"])
-
-    out = np.zeros((VOCABULARY, size + 1))
-    summed = windows.mapInArrow(run, "id long, j long, n long").groupBy("id", "j").agg(F.sum("n").alias("n"))
-    found = summed.toPandas().to_numpy(np.int64)  # a row for each id and frequent id at most
+        total = np.zeros(VOCABULARY * (size + 1), np.int64)
+        waiting: list[np.ndarray] = []
+
+        def add() -> None:
+            np.add(total, np.bincount(np.concatenate(waiting), minlength=len(total)), out=total)
+            waiting.clear()
+
+        for ids, sizes in read_streams(batches):
+            pairs = ids[1:].astype(np.int64) * (size + 1) + held.value[ids[:-1]]
+            inside = np.ones(len(pairs), bool)
+            inside[np.cumsum(sizes)[:-1] - 1] = False
+            waiting.append(pairs[inside])
+            if sum(map(len, waiting)) > 2_000_000:
+                add()
+        if waiting:
+            add()
+        seen = np.flatnonzero(total)
+        i, j = np.divmod(seen, size + 1)
+        keep = j < size
+        yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(j[keep]), pa.array(total[seen[keep]])], names=["id", "j", "n"])
+
+    out = np.zeros((VOCABULARY, size))
+    summed = streams.mapInArrow(run, "id long, j long, n long").groupBy("id", "j").agg(F.sum("n").alias("n"))
+    found = summed.toPandas().to_numpy(np.int64)  # a row for each id and each of own at most
     out[found[:, 0], found[:, 1]] = found[:, 2]
-    return out.sum(axis=1), out[:, :size]
-
-
-def classes_of(mass: np.ndarray, often: np.ndarray, near: np.ndarray, own: list[int], steps: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id and ln share of each class; ids without their own are clustered by k-means on what they stand near."""
-    class_of = np.full(PAD + 1, CLASSES - 1, np.int64)
-    class_of[PAD] = CLASSES
-    rest = np.setdiff1d(np.flatnonzero(often >= LEAST), own)
-    k = CLASSES - 1 - OWN
-    if len(rest):
-        x = np.sqrt(near[rest] / np.maximum(near[rest].sum(axis=1, keepdims=True), 1))
-        weight = often[rest]
-        centre = x[np.argsort(-weight, kind="stable")[np.linspace(0, min(len(rest), 4 * k) - 1, k).astype(np.int64)]]
-        for _ in range(steps):
-            group = np.argmax(x @ centre.T - 0.5 * (centre**2).sum(axis=1), axis=1)
-            sums = np.stack([np.bincount(group, weights=weight * x[:, c], minlength=k) for c in range(x.shape[1])], axis=1)
-            total = np.bincount(group, weights=weight, minlength=k)
-            centre = np.where(total[:, None] > 0, sums / np.maximum(total, 1)[:, None], centre)
-        class_of[rest] = OWN + group
-    class_of[own] = np.arange(len(own))
-    share = np.bincount(class_of[:VOCABULARY], weights=mass, minlength=CLASSES)[:CLASSES] + 0.5
-    return class_of, np.log(share / share.sum())
-
-
-def fit(windows: DataFrame, log_share: np.ndarray, class_of: np.ndarray, rounds: int = 3, batch: int = 128, least_steps: int = 120, rate: float = 0.01) -> Weights:
-    """Local Adam on every partition of the windows and weighted averages, round by round."""
-    sc = windows.sparkSession.sparkContext
-    held, w = sc.broadcast(class_of), Weights.initial(log_share)
-
-    def averaged(group: pd.DataFrame) -> pd.DataFrame:
+    return out
+
+
+def clusters(near: np.ndarray, weight: np.ndarray, k: int, steps: int = 15) -> np.ndarray:
+    """Weighted k-means of the square roots of the shares in each row of near, from the heaviest rows."""
+    x = np.sqrt(near / np.maximum(near.sum(axis=1, keepdims=True), 1))
+    centre = x[np.argsort(-weight, kind="stable")[np.linspace(0, min(len(x), 4 * k) - 1, k).astype(np.int64)]]
+    group = np.zeros(len(x), np.int64)
+    for _ in range(steps):
+        group = np.argmax(x @ centre.T - 0.5 * (centre**2).sum(axis=1), axis=1)
+        sums = np.stack([np.bincount(group, weights=weight * x[:, c], minlength=k) for c in range(x.shape[1])], axis=1)
+        total = np.bincount(group, weights=weight, minlength=k)
+        centre = np.where(total[:, None] > 0, sums / np.maximum(total, 1)[:, None], centre)
+    return group
+
+
+def own_ids(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with a class of their own: the most frequent that begin words (and the end), and that go on with one."""
+    ranked = np.argsort(-counts, kind="stable")
+    starts = [END, *[i for i in ranked[begins[ranked]].tolist() if i != END][: OWN_STARTS - 1]]
+    return np.array(starts), ranked[~begins[ranked]][:OWN_CONTS]
+
+
+def classes_of(counts: np.ndarray, near: np.ndarray, begins: np.ndarray) -> Classes:
+    """Classes of starts come first, those of own ids before the clusters; ids that never occur are clustered too."""
+    of, at = np.zeros(VOCABULARY, np.int64), 0
+    for own, kind, k in zip(own_ids(counts, begins), (begins, ~begins), (STARTS - OWN_STARTS, CONTS - OWN_CONTS), strict=True):
+        rest = np.setdiff1d(np.flatnonzero(kind), own)
+        of[own] = at + np.arange(len(own))
+        of[rest] = at + len(own) + clusters(near[rest], counts[rest] + 0.5, k)
+        at += len(own) + k
+    mass = counts + 0.5
+    share = np.bincount(of, weights=mass, minlength=CLASSES)
+    return Classes(of, np.log(mass / share[of]).astype(np.float32), np.log(np.maximum(share, 0.5) / share.sum()))
+
+
+def windows(streams: Iterator[tuple[np.ndarray, np.ndarray]], of: np.ndarray, turn: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The round's share of the windows: x of two blocks and the targets y of the second, some SHUFFLED at a time."""
+    none = np.full((1, BLOCK), CLASSES, np.int64)
+    xs: list[np.ndarray] = []
+    ys: list[np.ndarray] = []
+    seen = 0
+
+    def mixed() -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        order = np.random.default_rng(turn).permutation(len(x))
+        xs.clear(), ys.clear()
+        return x[order], y[order]
+
+    for ids, sizes in streams:
+        x, y, first, _ = blocks_of(of[ids], sizes)
+        before = np.concatenate([none, x[:-1]])
+        before[first] = CLASSES
+        own = np.arange((turn - seen) % rounds, len(x), rounds)
+        seen += len(x)
+        xs.append(np.concatenate([before[own], x[own]], axis=1).astype(np.uint8))
+        ys.append(y[own].astype(np.uint8))
+        if sum(map(len, xs)) >= SHUFFLED:
+            yield mixed()
+    if sum(map(len, xs)):
+        yield mixed()
+
+
+def train(start: Weights, streams: Iterator[tuple[np.ndarray, np.ndarray]], of: np.ndarray, turn: int, rounds: int, batch: int, least_steps: int, rate: float) -> tuple[Weights, int]:
+    """Adam over the round's windows of a partition, and the number of targets; few windows are gone over again."""
+    adam, targets = None, 0
+    for x, y in windows(streams, of, turn, rounds):
+        once = -(-len(x) // batch)
+        adam = adam or Adam(start, max(min(least_steps, EPOCHS * once), once), rate)
+        targets += int((y != CLASSES).sum())
+        for t in range(once):
+            adam.step(x[t * batch : (t + 1) * batch], y[t * batch : (t + 1) * batch])
+    while adam and adam.t < adam.steps:  # all windows of a partition so small came in one part
+        rows = np.arange(adam.t * batch, (adam.t + 1) * batch) % len(x)
+        adam.step(x[rows], y[rows])
+    return Weights(adam.parts) if adam else start, targets
+
+
+def average(local: DataFrame, partitions: int) -> Weights | None:
+    """The mean of (part, weight, flat) by weight, summed up FAN at a time, so that no task gets more than that."""
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(np.frombuffer(group["flat"].iloc[0])))
-        for x in group["flat"]:
+        for _, x in sorted(zip(group["part"], group["flat"], strict=True), key=lambda r: r[0]):
             total += np.frombuffer(x)
-        return pd.DataFrame({"weight": [float(group["weight"].sum())], "flat": [total.tobytes()]})
-
+        return pd.DataFrame({"part": [int(group["part"].min())], "weight": [float(group["weight"].sum())], "flat": [total.tobytes()]})
+
+    while partitions > FAN:
+        local = local.withColumn("part", (F.col("part") / FAN).cast("long")).groupBy("part").applyInPandas(summed, local.schema)
+        partitions = -(-partitions // FAN)
+    rows = sorted(local.collect(), key=lambda r: r["part"])  # at most FAN sets of weights
+    if not rows:
+        return None
+    return Weights.from_array(sum(np.frombuffer(r["flat"]) for r in rows) / sum(r["weight"] for r in rows))
+
+
+def fit(streams: DataFrame, classes: Classes, rounds: int = 3, batch: int = 128, least_steps: int = 120, rate: float = 0.01) -> Weights:
+    """Local Adam on every partition of the streams and weighted averages, round by round."""
+    sc = streams.sparkSession.sparkContext
+    held, w = sc.broadcast(classes.of), Weights.initial(classes.share)
+    partitions = streams.rdd.getNumPartitions()
     for turn in range(rounds):
         start = sc.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
-            rows = read_windows(batches)[turn::rounds]
-            if not len(rows):
-                return
-            c = held.value[rows[np.random.default_rng(turn).permutation(len(rows))]]
-            once = -(-len(c) // batch)
-            done = train(start.value, c[:, :-1], c[:, BLOCK + 1 :], max(min(least_steps, EPOCHS * once), once), batch, rate)
-            targets = int((c[:, BLOCK + 1 :] != CLASSES).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([float(targets)]), pa.array([done.to_bytes(targets)], pa.binary())], names=["weight", "flat"])
-
-        local = windows.mapInArrow(run, "weight double, flat binary").withColumn("salt", F.spark_partition_id() % 64)
-        summed = local.groupBy("salt").applyInPandas(averaged, "weight double, flat binary").collect()  # at most 64 sets of weights
-        if summed:
-            flat = sum(np.frombuffer(r["flat"]) for r in sorted(summed, key=lambda r: r["flat"]))
-            w = Weights.from_array(flat / sum(r["weight"] for r in summed))
+            done, targets = train(start.value, read_streams(batches), held.value, turn, rounds, batch, least_steps, rate)
+            if targets:
+                columns = [pa.array([TaskContext.get().partitionId()]), pa.array([float(targets)]), pa.array([done.to_bytes(targets)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "weight", "flat"])
+
+        w = average(streams.mapInArrow(run, "part long, weight double, flat binary"), partitions) or w
     return w
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def score_documents(docs: DataFrame, vocabulary: str | None = None, stride: int = 1, frequent: int = 200_000, **options) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: str | None = None, frequent: int = 200_000, trust: float = TRUST, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     path = vocabulary or default_vocabulary()
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    gathered = materialize(gather(docs.filter(remainder(F.col("doc_id")) != 1), path, stride), "gathered")
-    counts = materialize(gathered.filter("id >= 0 AND n > 0").groupBy("key").agg(F.sum("n").alias("c"), F.max("id").alias("id")), "counts")
+    gathered = materialize(gather(docs.filter(remainder(F.col("doc_id")) != 1), path), "gathered")
+    counts = materialize(gathered.filter("n > 0").groupBy("key").agg(F.sum("n").alias("c"), F.max("id").alias("id")), "counts")
     n_all, n_distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    mass = np.zeros(VOCABULARY)
-    for i, c, n in counts.groupBy("id").agg(F.sum("c"), F.count("*")).collect():  # a row for each id
-        mass[i] = c + 0.5 * n
-    own = [END, *[i for i in np.argsort(-mass, kind="stable")[:OWN].tolist() if i != END][: OWN - 1]]
-    windows = gathered.filter("id < 0 AND n > 0").select("windows")
-    class_of, log_share = classes_of(mass, *neighbours(windows, own), own)
-    weights = fit(windows, log_share, class_of, **options)
+    streams, begins = gathered.filter("ids IS NOT NULL").select("ids", "sizes"), begins_word(path)
+    often = id_counts(streams)
+    classes = classes_of(often, followed(streams, np.concatenate(own_ids(often, begins))), begins)
+    weights = fit(streams, classes, **options)
 
-    denominator = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
+    denominator = n_all + 0.5 * (n_distinct + 1)
+    mass = np.full(STARTS, 0.5)
+    for i, c, n in counts.groupBy("id").agg(F.sum("c"), F.count("*")).collect():  # a row for each id
+        mass[min(classes.of[i], STARTS - 1)] += c + 0.5 * n
+    word_share = np.log(mass / mass.sum())  # of the words of each class
     # The least count with which at most ``frequent`` words go to the workers.
     steps = [(r["b"], r["n"]) for r in counts.groupBy(F.floor(F.log2("c") * 4).alias("b")).agg(F.count("*").alias("n")).collect()]
     least, total = 1 << 62, 0
@@ -401,37 +560,42 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, stride: int
             break
         least = b
     common = counts.filter(F.floor(F.log2("c") * 4) >= least).toPandas().sort_values("key")
-    table = sc.broadcast((common["key"].to_numpy(np.int64).copy(), np.log10(common["c"].to_numpy(np.float64) + 0.5), common["id"].to_numpy(np.int64), weights, class_of.astype(np.int16), log_share))
+    table = sc.broadcast((common["key"].to_numpy(np.int64).copy(), common["c"].to_numpy(np.float64) + 0.5, weights, classes, word_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, first, w, classes, shares = table.value
-        known = Subwords(path)
+        keys, known, w, kinds, shares = table.value
+        logs, unigram = np.log10(known), np.log((1 - trust) * known / denominator)
+        subwords = Subwords(path)
         row = TaskContext.get().partitionId() << 33
         end = np.array([END_WORD], np.uint64).view(np.int64)
         for whole in batches:
             for batch in (whole.slice(at, 64) for at in range(0, whole.num_rows, 64)):
                 lists = [(t.as_py() or b"").lower().split() for t in batch.column(1)]
-                sizes = np.array([len(x) + 1 for x in lists])
+                ids = [subwords(x) for x in lists]
+                sizes = np.array([len(x) for x, _ in ids])
+                begins = np.concatenate([at + shift for (_, at), shift in zip(ids, np.cumsum(sizes) - sizes, strict=True)])
+                every = np.concatenate([x for x, _ in ids])
+                net, gain = word_log_probs(w, kinds, every, sizes, begins)
+                net, gain = net + np.log(trust), gain - shares[np.minimum(kinds.of[every[begins]], STARTS - 1)]
+                words = np.array([len(x) + 1 for x in lists])
                 flat = np.concatenate([np.append(hashes_of(x), end) for x in lists])
                 at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
                 hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-                text = np.repeat(np.arange(len(lists)), sizes)
-                base = np.bincount(text[hit], weights=logs[at[hit]], minlength=len(lists)) if hit.any() else np.zeros(len(lists))
-                n_hit = np.bincount(text[hit], minlength=len(lists))
+                text = np.repeat(np.arange(len(lists)), words)
+                mixed = np.logaddexp(net[hit], gain[hit] + unigram[at[hit]]) / np.log(10)
+                sums = [np.bincount(text[hit], weights=x, minlength=len(lists)).astype(np.float64) for x in (None, logs[at[hit]], mixed)]
                 ends = np.append(0, np.cumsum(np.bincount(text[~hit], minlength=len(lists)))).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[~hit]))
-                ids = first[at] if len(keys) else np.zeros(len(flat), np.int64)
-                words = [word for x in lists for word in (*x, None)]
-                ids[~hit] = [END if words[i] is None else known[words[i]] for i in np.flatnonzero(~hit).tolist()]
-                gain = gains(w, classes, shares, ids, sizes) / np.log(10)
-                columns = [pa.array(row + np.arange(len(lists))), batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(base), rare, pa.array(gain)]
+                rare = pa.StructArray.from_arrays([pa.array(flat[~hit]), *[pa.array(x[~hit].astype(np.float32)) for x in (net, gain)]], names=["key", "net", "gain"])
+                columns = [pa.array(row + np.arange(len(lists))), batch.column(0), pa.array(words.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(ends), rare)]
                 row += len(lists)
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "n_hit", "base", "rare", "gain"])
-
-    scored = materialize(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_hit long, base double, rare array<long>, gain double"), "scored")
-    rare = scored.select("row", F.explode("rare").alias("key")).join(counts.drop("id"), "key", "left")
-    summed = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("n_more"))
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * denominator
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "n_hit", "base", "mixed", "rare"])
+
+    kind = "row long, doc_id long, n_tokens long, n_hit long, base double, mixed double, rare array<struct<key:long,net:float,gain:float>>"
+    scored = materialize(docs.mapInArrow(run, kind), "scored")
+    rare = scored.select("row", F.inline("rare")).join(counts.drop("id"), "key", "left").withColumn("k", F.coalesce("c", F.lit(0)) + 0.5)
+    mixture = F.log10(F.exp(F.col("net").cast("double")) + F.exp(F.col("gain").cast("double")) * F.col("k") * ((1 - trust) / denominator))
+    summed = rare.groupBy("row").agg(F.sum(F.log10("k")).alias("more"), F.sum(mixture).alias("more_mixed"), F.count("c").alias("n_more"))
+    zero = F.lit(0.0)
     return (
         scored.drop("rare")
         .join(summed, "row", "left")
@@ -441,8 +605,8 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, stride: int
             "n_tokens",
             (F.col("n_hit") + F.coalesce("n_more", F.lit(0))).alias("n_known"),
             F.lit(n_all).cast("long").alias("train_tokens"),
-            base.alias("base_score"),
-            (base + F.col("gain")).alias("score"),
+            (F.col("base") + F.coalesce("more", zero) - F.col("n_tokens") * float(np.log10(denominator))).alias("base_score"),
+            (F.col("mixed") + F.coalesce("more_mixed", zero)).alias("score"),
         )
     )
 
