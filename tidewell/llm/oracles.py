@@ -71,26 +71,29 @@ def _op5(window: int = secrets.WINDOW) -> str:
     assign = "(" + keyword + r")[" + "\"''" + r"]?\x20*[:=]\x20*[" + "\"''" + r"]?([A-Za-z0-9+/_.=-]+)"
     candidate = secrets.CANDIDATE % window
 
-    def found(kind: int, pattern: str, keep: str) -> str:
+    def found(kind: int, pattern: str, keep: str, table: str = "d") -> str:
         second = f"regexp_extract_all(t, '{pattern}', 2)" if kind == 0 else "CAST([] AS VARCHAR[])"
         return f"""SELECT doc_id, {kind} AS kind, m[i] AS s, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
-  FROM (SELECT doc_id, m, p, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, {second} AS g, string_split_regex(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE {keep}"""
-
-    # RE2 has no back references; runs of one character are found by their places instead.
-    forms = [*secrets.ALLOWED[:-1], secrets.ALLOWED[-1].removesuffix(r"|(.)\1{5}")]
-    allowed = " AND ".join(f"NOT regexp_matches(s, '{f}')" for f in forms)
-    is_hex = f"regexp_matches(s, '{secrets.CLASSES[0][1]}')"
-    bits = f"CASE WHEN {is_hex} THEN {secrets.CLASSES[0][3]} ELSE {secrets.CLASSES[1][3]} END"
+  FROM (SELECT doc_id, m, p, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, {second} AS g, string_split_regex(t, '{pattern}') AS p FROM {table} WHERE regexp_matches(t, '{pattern}'))) WHERE {keep}"""
+
+    # RE2 has no possessive repetition, nor back references: runs are listed by character instead.
+    allowed = " AND ".join(f"NOT regexp_matches(s, '{f.replace('*+', '*')}')" for f in secrets.ALLOWED)
+    of_class = lambda n: "CASE " + " ".join(f"WHEN regexp_matches(s, '{c[1]}') THEN {c[3] if n else 3 + k}" for k, c in enumerate(secrets.CLASSES)) + " END"
+    run = "|".join(f"{chr(92) if c == '+' else ''}{c}{{{secrets.FILLER}}}" for c in secrets.CLASSES[-1][2])
+    masked = "t"
+    for length, form in (secrets.HARMLESS | {secrets.FILLER * 100: run}).items():
+        either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in form) if length < 100 else form
+        masked = f"regexp_replace({masked}, '{either}', '{' ' * (length if length < 100 else secrets.FILLER)}', 'g')"
     names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
     count = lambda k: f"count(*) FILTER (WHERE kind = {k}) AS n_{secrets.KINDS[k]}"
     return f"""
 WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents),
+bare AS (SELECT doc_id, {masked} AS t FROM d),
 base AS ({found(0, assign, f"length(g[i]) >= {secrets.MIN_ASSIGN}")} UNION ALL {found(1, "AKIA[A-Z0-9]+", f"length(m[i]) >= {secrets.MIN_ACCESS}")} UNION ALL {found(2, "[0-9a-f]+", f"length(m[i]) >= {secrets.MIN_HEX}")}),
-cand AS (SELECT row_number() OVER () AS c, * FROM ({found(9, candidate, "true")}) WHERE regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, '[0-9]') AND {allowed}),
-good AS (SELECT * FROM cand WHERE len(list_filter(range(1, length(s) - 4), lambda k: len(list_distinct(string_split(substr(lower(s), k, 6), ''))) = 1)) = 0),
-ch AS (SELECT c, k, substr(s, CAST(k + o AS BIGINT), 1) AS x FROM (SELECT c, s, unnest(range(1, length(s) - {window} + 2)) AS k FROM good), range(0, {window}) AS r(o)),
+cand AS (SELECT row_number() OVER () AS c, * FROM ({found(9, candidate, "true", "bare")}) WHERE regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, '[0-9]') AND {allowed}),
+ch AS (SELECT c, k, substr(s, CAST(k + o AS BIGINT), 1) AS x FROM (SELECT c, s, unnest(range(1, length(s) - {window} + 2)) AS k FROM cand), range(0, {window}) AS r(o)),
 win AS (SELECT c, k, sum(n * log2(n)) AS w FROM (SELECT c, k, x, count(*) AS n FROM ch GROUP BY ALL) GROUP BY ALL),
-hot AS (SELECT g.doc_id, CASE WHEN {is_hex} THEN 3 ELSE 4 END AS kind, g.a + min(k) - 1 AS a, g.a + max(k) - 1 + {window} AS b FROM win JOIN good g USING (c) WHERE w <= (log2({window}) - {bits}) * {window} + 1e-9 GROUP BY g.doc_id, g.c, g.s, g.a),
+hot AS (SELECT g.doc_id, {of_class(0)} AS kind, g.a + min(k) - 1 AS a, g.a + max(k) - 1 + {window} AS b FROM win JOIN cand g USING (c) WHERE w <= (log2({window}) - {of_class(1)}) * {window} + 1e-9 GROUP BY g.doc_id, g.c, g.s, g.a),
 spans AS (SELECT doc_id, kind, a, a + length(s) AS b FROM base UNION ALL SELECT doc_id, kind, a, b FROM hot),
 txt AS (SELECT *, {names}[kind + 1] || ':' || a || ':' || b AS x FROM spans),
 g AS (SELECT doc_id, {count(0)}, {count(1)}, {count(2)}, coalesce(string_agg(x, ',' ORDER BY a, kind, b) FILTER (WHERE kind < 3), '') AS base, string_agg(x, ',' ORDER BY a, kind, b) AS spans FROM txt GROUP BY doc_id)

@@ -5,7 +5,8 @@ Three patterns give the base spans. The entropy method adds spans: candidate str
 character class, and a window slides over each while counts of its characters are kept up incrementally
 (one character in, one out, and the sum of c * log2 c with them). Where the entropy of some window
 reaches the threshold of the class, the stretch from the first to the last such window is a span.
-An allow-list drops candidates that are identifiers or examples by form; base spans stay always.
+An allow-list suppresses candidates that are identifiers by form, and cuts examples and fillers out of candidates,
+so that what stands beside them is judged by itself; base spans stay always.
 
 Everything is native: expressions over one row, no shuffle, so a plan is one scan with a projection.
 
@@ -33,16 +34,20 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 #: Class of a candidate: its name, the pattern of the whole candidate, alphabet, bits that a window must reach.
 CLASSES = (
     ("entropy_hex", r"^[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 2.9),
+    ("entropy_alnum", r"^[0-9A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.7),
     ("entropy_base64", r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
 )
-#: Forms of harmless candidates (UUIDs, dates, plain snake or kebab words, paths, examples, fillers).
+#: Forms of harmless candidates (UUIDs, dates, plain snake or kebab words, paths). Java matches repeated
+#: groups by recursion unless they are possessive, and candidates may be very long.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9T_-]*$",
-    r"^/?([A-Za-z]+[0-9]{0,4}[/_=-])*[A-Za-z]*[0-9]{0,4}$",
-    r"(?i)example|placeholder|sample|dummy|changeme|your[_-]",
-    r"(?i)0123456789|abcdefgh|(.)\1{5}",
+    r"^/?(?:[A-Za-z]+[0-9]{0,4}[/_=-])*+[A-Za-z]*[0-9]{0,4}$",
 )
+#: Examples and fillers, whose characters are no candidate; letters match in either case. By length.
+HARMLESS = {5: "dummy|your[_-]", 6: "sample", 7: "example", 8: "changeme|abcdefgh", 10: "0123456789", 11: "placeholder"}
+#: A run of one character that counts as a filler.
+FILLER = 6
 
 
 def matches(text: Column, pattern: str, guard: str, keep=None) -> Column:
@@ -107,10 +112,20 @@ def hot_stretch(candidate: Column, alphabet: str, bits: float, window: int = WIN
     return let(F.filter(codes, lambda c: c >= 0), over)
 
 
+def without_harmless(text: Column) -> Column:
+    """The text with spaces in place of examples and fillers, so that all places stay."""
+    out, run = text, r"([A-Za-z0-9+/_=-])\1{%d}" % (FILLER - 1)
+    for length, form in HARMLESS.items():
+        out = F.regexp_replace(out, f"(?i:{form})", " " * length)
+    out = F.regexp_replace(out, run, " " * FILLER)
+    return F.when(text.rlike(f"(?i:{'|'.join(HARMLESS.values())})|{run}"), out).otherwise(text)
+
+
 def entropy_spans(text: Column, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> Column:
     """array<struct<start,kind,end>> that the entropy method adds; kinds are numbered after the base kinds."""
-    pattern = CANDIDATE % window
-    spans = matches(text, pattern, f"[A-Za-z0-9+/_=-]{{{window}}}", lambda every: F.transform(every(0), plausible(allowed)))
+    guard = f"[A-Za-z0-9+/_=-]{{{window}}}"
+    test = lambda every: F.transform(every(0), plausible(allowed))
+    spans = F.when(text.rlike(guard), let(without_harmless(text), lambda t: matches(t, CANDIDATE % window, guard, test))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
     def judged(s: Column) -> Column:
         def body(c: Column) -> Column:
