@@ -4,17 +4,18 @@ A gear hash rolls over the bytes of a text (h = 2h + G[byte], 32 bits, so it dep
 ends where the hash is the strict maximum of REACH positions on each side, which depends on the content
 alone: after an insertion the next ends fall on the same bytes again, and chunk lengths stay between
 REACH and a few times that. A stretch without maxima (one that repeats itself, mostly) is cut every LONGEST
-bytes after the last end. Chunks are deduplicated by a 64-bit digest; a chunk is repeated when its digest
-occurs in another document, and neighbouring repeated chunks form a run. Runs of at least ``min_words`` words are
-reported, so a chance hit of one chunk does nothing; a run is reported as one span for each stretch of chunks
-that the same document holds first, for only what an earlier document holds may be cut.
+bytes after the last end. Chunks are deduplicated by a 128-bit digest; a chunk is repeated when its digest
+occurs in another document, or again in its own, and neighbouring repeated chunks form a run. Runs of at least
+``min_words`` words are reported, so a chance hit of one chunk does nothing; a run is reported as one span for each
+stretch of chunks that the same document holds first and that are all first occurrences or all later ones, for
+only what stands earlier may be cut.
 
 One row per chunk is shuffled, twice: pre-aggregated to find repeated digests, and in a join that Spark
 splits when one digest is very common. No group of equal chunks is ever collected.
 
-Defined results: null and empty texts have no chunks; a null doc_id is no other document; rows that repeat
-a doc_id are one document; an empty table gives an empty result; further columns are
-ignored by ``repeated_spans`` and passed through by ``drop_repeats``.
+Defined results: null and empty texts have no chunks; a null doc_id is no other document, and nothing is cut from
+it; rows that repeat a doc_id are one document, none of which is earlier than another; an empty table gives an empty
+result; further columns are ignored by ``repeated_spans`` and passed through by ``drop_repeats``.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,67 +71,79 @@ def chunk_ends(data: np.ndarray, reach: int = REACH, longest: int = LONGEST) ->
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
-def chunk_rows(text: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Digests, ends in code points, and the count of words that start in each chunk."""
+def chunk_rows(text: bytes) -> tuple[list[bytes], list[bool], np.ndarray, np.ndarray]:
+    """128-bit digests, whether a chunk stood in the text before, ends in code points, and the words that start in each chunk."""
     data = np.frombuffer(text, dtype=np.uint8)
     ends = chunk_ends(data)
-    view, at, digests = memoryview(text), 0, []
+    view, at, digests, again, seen = memoryview(text), 0, [], [], set()
     for e in ends.tolist():
-        digests.append(xxhash.xxh3_64_intdigest(view[at:e]))
+        digests.append(d := xxhash.xxh3_128_digest(view[at:e]))
+        again.append(d in seen)
+        seen.add(d)
         at = e
     points = np.cumsum((data & 0xC0) != 0x80)[ends - 1]
     space = _SPACE[data]
     starts = ~space
     starts[1:] &= space[:-1]
-    return digests, points.astype(np.int32), np.diff(np.cumsum(starts)[ends - 1], prepend=0).astype(np.int32)
+    return digests, again, points.astype(np.int32), np.diff(np.cumsum(starts)[ends - 1], prepend=0).astype(np.int32)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, digests, ends (code points) and words of the chunks of each text with any."""
+    """A number of its own for each row, doc_id and a hash of the text; digests (hi and lo), again, ends and words of its chunks."""
+    none = ([], [], np.empty(0, np.int32), np.empty(0, np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
-                rows = [chunk_rows(t) if (t := x.as_py()) else ([], np.empty(0, np.int32), np.empty(0, np.int32)) for x in batch.column(1)]
+                rows = [chunk_rows(t) if (t := x.as_py()) else none for x in batch.column(2)]
                 ends = pa.array(np.cumsum([0, *[len(r[0]) for r in rows]]).astype(np.int32))
-                lists = [np.array([d for r in rows for d in r[0]], dtype=np.uint64).view(np.int64), *[np.concatenate([np.empty(0, np.int32), *[r[k] for r in rows]]) for k in (1, 2)]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(ends, pa.array(v)) for v in lists]], names=["doc_id", "digests", "ends", "words"])
-
-    kind = "doc_id long, digests array<long>, ends array<int>, words array<int>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, kind)
+                halves = np.frombuffer(b"".join(d for r in rows for d in r[0]), dtype=np.int64).reshape(-1, 2)
+                lists = [halves[:, 0], halves[:, 1], np.array([x for r in rows for x in r[1]], bool), *[np.concatenate([np.empty(0, np.int32), *[r[k] for r in rows]]) for k in (2, 3)]]
+                columns = [pa.array(number + np.arange(batch.num_rows)), batch.column(0), batch.column(1), *[pa.ListArray.from_arrays(ends, pa.array(v)) for v in lists]]
+                number += batch.num_rows
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_hash", "hi", "lo", "again", "ends", "words"])
+
+    kind = "row long, doc_id long, text_hash long, hi array<long>, lo array<long>, again array<boolean>, ends array<int>, words array<int>"
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(run, kind)
+
+
+def spans_of(made: DataFrame, min_words: int) -> DataFrame:
+    """One row per span of the materialised chunks: row, doc_id, start, end, n_words, n_chunks, first_doc_id, copies, duplicate."""
+    start = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0)).alias("start")
+    each = lambda *more: F.inline(F.transform("hi", lambda h, i: F.struct(h.alias("hi"), F.get("lo", i).alias("lo"), F.get("again", i).alias("again"), *[f(i) for f in more])))
+    counted = made.select("doc_id", each()).groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("inside"))
+    repeated = counted.filter("first < last OR inside").select("hi", "lo", "copies", "first")
+    rows = made.select("row", "doc_id", each(lambda i: i.alias("i"), start, lambda i: F.get("ends", i).alias("end"), lambda i: F.get("words", i).alias("words")))
+    found = rows.join(repeated, ["hi", "lo"]).withColumn("later", F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first")))
+    w = Window.partitionBy("row").orderBy("i")
+    same = Window.partitionBy("row", "first", "later").orderBy("i")
+    runs = found.withColumn("run", F.col("i") - F.row_number().over(w)).withColumn("part", F.col("i") - F.row_number().over(same)).groupBy("row", "doc_id", "run", "first", "later", "part")
+    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.max("copies").alias("copies"))
+    long = spans.withColumn("whole", F.sum("n_words").over(Window.partitionBy("row", "run"))).filter(F.col("whole") >= min_words)
+    return long.select("row", "doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_words", "n_chunks", F.col("first").alias("first_doc_id"), "copies", F.col("later").alias("duplicate"))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per span: doc_id, start and end (code points), n_words, n_chunks, first_doc_id, copies, duplicate.
 
-    ``copies`` is the largest number of occurrences of a chunk in the span; ``duplicate`` is false where the
-    document is the first (the smallest doc_id) to hold it, which deduplication keeps. All chunks of a span have
-    the same first document; ``min_words`` holds for the run of neighbouring spans.
+    ``copies`` is the largest number of occurrences of a chunk in the span; ``duplicate`` is false where the chunks
+    stand first (in the smallest doc_id, at their first place in it), which deduplication keeps. All chunks of a span
+    have the same first document; ``min_words`` holds for the run of neighbouring spans.
     """
-    made = materialize(chunks(docs.select("doc_id", "text")), "chunks")
-    counted = made.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    again = counted.filter("first < last").drop("last")
-    start = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
-    row = F.transform("digests", lambda d, i: F.struct(d.alias("digest"), i.alias("i"), start(i).alias("start"), F.get("ends", i).alias("end"), F.get("words", i).alias("words")))
-    # A row of its own for each table row, in case rows repeat a doc_id.
-    rows = made.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode(row).alias("c")).select("row", "doc_id", "c.*")
-    found = rows.join(again, "digest")
-    w = Window.partitionBy("row").orderBy("i")
-    same = Window.partitionBy("row", "first").orderBy("i")
-    runs = found.withColumn("run", F.col("i") - F.row_number().over(w)).withColumn("part", F.col("i") - F.row_number().over(same)).groupBy("row", "doc_id", "run", "first", "part")
-    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.max("copies").alias("copies")).withColumnRenamed("first", "first_doc_id")
-    long = spans.withColumn("whole", F.sum("n_words").over(Window.partitionBy("row", "run"))).filter(F.col("whole") >= min_words)
-    kept = long.withColumn("duplicate", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
-    return kept.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_words", "n_chunks", "first_doc_id", "copies", "duplicate")
+    return spans_of(materialize(chunks(docs.select("doc_id", "text")), "chunks"), min_words).drop("row")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs, with spans cut from the texts that an earlier document (smaller doc_id) holds."""
-    cut = repeated_spans(docs, min_words).filter("duplicate AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"))
-    joined = rows.join(cut, "_id", "left")
-    spans = F.transform("_spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
-    text = F.when(F.col("_spans").isNotNull(), redacted(F.col("row.text"), spans, "")).otherwise(F.col("row.text"))
+    """The rows of docs, with the spans cut from the texts that stand earlier: in a smaller doc_id or further up in the text."""
+    made = materialize(chunks(docs.select("doc_id", "text")), "chunks")
+    cut = spans_of(made, min_words).filter("duplicate AND doc_id IS NOT NULL").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("_spans"))
+    # Equal rows have equal spans, so one of them stands for all.
+    cut = made.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(cut, "row").drop("row").dropDuplicates(["_id", "_hash"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    joined = rows.join(cut, ["_id", "_hash"], "left")
+    text = F.when(F.col("_spans").isNotNull(), redacted(F.col("row.text"), F.col("_spans"), "")).otherwise(F.col("row.text"))
     return joined.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
