@@ -111,24 +111,55 @@ def test_packing(spark):
 
 
 def model_fold(events):
-    """A list of [id, role, text, alive], by replaying the log."""
-    out = []
-    for _, kind, key, role, text in events:
-        at = next((i for i, m in enumerate(out) if m[0] == key), None)
-        if at is None:
-            out.append([key, role, "", True])
-            at = len(out) - 1
-        m = out[at]
+    """(id, role, text) of the final messages, by replaying the log."""
+    place, role, text, alive = {}, {}, {}, {}
+    for n, kind, key, named, said in events:
+        if key not in place or kind == "message":
+            place[key], role[key], text[key], alive[key] = n, "", "", kind != "delete"
+        role[key] = named or role[key]
         if kind == "delta":
-            m[2] += text
+            text[key] += said or ""
+        elif kind == "delete":
+            alive[key] = False
         else:
-            m[2] = text
-            m[3] = kind != "delete"
-        m[1] = m[1] or role
+            text[key] = said or ""
         if kind == "regenerate":
-            for later in out[at + 1 :]:
-                later[4:] = [True]
-    return out
+            alive[key] = True
+            for other in place:
+                alive[other] = alive[other] and place[other] <= place[key]
+    return [(k, role[k], text[k]) for k in sorted(place, key=place.get) if alive[k]]
+
+
+LOGS = st.lists(st.lists(st.tuples(st.sampled_from(["message", "delta", "edit", "regenerate", "delete"]), st.sampled_from("abcde"), st.sampled_from(["user", "assistant", "", None]), st.sampled_from(["x", "yz", "", None])), max_size=14), min_size=40, max_size=40)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(LOGS)
+def test_fold_equals_a_replay(spark, logs):
+    rows = [(c, n + 1, *e) for c, log in enumerate(logs) for n, e in enumerate(log)]
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, message_id string, role string, text string")
+    got = collections.defaultdict(list)
+    for r in chat.fold(df).orderBy("place").collect():
+        got[r.conv_id].append((r.message_id, r.role, r.text))
+    for c, log in enumerate(logs):
+        assert got[c] == model_fold([(n, *e) for n, e in enumerate(log)]), log
+
+
+def test_restarted_messages_are_kept(spark):
+    log = [(1, n, *e) for n, e in enumerate([("message", "a", "user", "hi"), ("message", "b", "assistant", "old"), ("message", "c", "user", "so"), ("regenerate", "a", "user", "hey"), ("message", "b", "assistant", "new")])]
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, message_id string, role string, text string")
+    assert [(r.message_id, r.text) for r in chat.fold(df).orderBy("place").collect()] == [("a", "hey"), ("b", "new")]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 3), st.sampled_from(["user", "assistant", None]), st.text(st.sampled_from("ab é😀\n<|&"), max_size=30) | st.none()), max_size=40))
+def test_typed_logs_end_in_the_same_messages(spark, rows):
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.as_log(table)
+    final = lambda x: [tuple(r) for r in chat.format_conversations(x).orderBy("conv_id").collect()]
+    assert final(chat.as_typed(log)) == final(log)
+    kinds = {r.kind for r in chat.as_typed(chat.as_log(spark.range(200).selectExpr("id AS conv_id", "1 AS turn", "'user' AS role", "'text of some length' AS text"))).collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate", "delete"}
 
 
 def test_fold_of_events(spark):
@@ -461,10 +492,57 @@ def test_toxicity(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
     assert sum(rows[i].predicted == marks[i][2] for i in held) / len(held) > 0.97
     assert rows[600].score == rows[601].score < 0.5 and all(0 <= r.score <= 1 for r in rows.values())
-    sample = toxicity.training_sample(docs, labels, 1000, 2000, 5)
-    fair, plain = toxicity.fit(sample, strength=50.0), toxicity.fit(sample, strength=0.0)
-    gap = lambda m: abs(m.score("muslims live here") - m.score("christians live here"))
-    assert gap(fair) < 0.5 * gap(plain)
+
+
+def test_swaps_change_scores_little(spark):
+    """A group that the training rows name mostly in toxic texts: its neutral mentions, held out, are no false positives."""
+    rng = random.Random(47)
+    texts, marks = [], []
+    for i in range(1500):
+        bad = i % 3 == 0
+        group = "muslims" if bad and rng.random() < 0.9 else rng.choice(["muslims", *["christians", "jews", "hindus", "sikhs"] * 3])
+        w = [*prose(rng, 12).split(), group] + (rng.sample(["idiotish", "scummy", "vilest", "cretinous", "loathly", "rottenish"], 1) if bad and rng.random() < 0.6 else [])
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        marks.append(int(bad))
+    neutral = [" ".join(rng.sample([*prose(rng, 12).split(), g, g], 14)) for g in ("muslims", "christians") for _ in range(150)]
+    known = toxicity.WordFeatures()
+    sample = toxicity.sample_of(texts, marks, 3)
+    fair, plain = toxicity.fit(sample), toxicity.fit(sample, strength=0.0)
+    wrong = lambda m, at: float((m.scores(neutral[at : at + 150], known) >= 0.5).mean())
+    assert wrong(plain, 0) > 0.8 and wrong(fair, 0) < 0.1 and wrong(fair, 150) < 0.1
+    gap = lambda m: abs(np.subtract(*m.scores(["muslims live here", "sikhs live here"], known)))
+    assert gap(fair) < 0.2 * gap(plain)
+    slur = fair.scores(["the vilest sikhs live here", "the sikhs live here"], known)
+    assert slur[0] > slur[1] + 0.1
+
+
+def test_penalty_is_the_change_of_scores():
+    rng = np.random.default_rng(48)
+    sample = toxicity.sample_of(["the old man and he", "a muslim said", "nothing of the kind", "white men"], [1, 0, 1, 0], 2)
+    assert sample.origin.tolist() == [0, 0, 1, 1, 3, 3]
+    dense = lambda r: np.array([np.bincount(r.features[a:b], weights=r.values[a:b], minlength=1 << toxicity.BITS) for a, b in zip(r.ends, r.ends[1:], strict=False)])
+    x, c, w = dense(sample.rows), dense(sample.copies), np.append(rng.normal(0, 0.3, 1 << toxicity.BITS), 0.1)
+    weight = np.array([1.0, 2.0, 0.5, 1.0])
+
+    def loss(w):
+        s, z = (1 / (1 + np.exp(-(m @ w[:-1] + w[-1]))) for m in (x, c))
+        y = sample.labels
+        return (weight * -(y * np.log(s) + (1 - y) * np.log(1 - s))).mean() + 3.0 * ((s[sample.origin] - z) ** 2).sum() / 4
+
+    grad = toxicity.loss_gradient(w, sample.rows, sample.labels, weight, sample.copies, sample.origin, 3.0)
+    for i in [*sample.rows.features[::4].tolist(), *sample.copies.features[::9].tolist(), -1]:
+        d = np.zeros_like(w)
+        d[i] = 1e-4
+        assert abs((loss(w + d) - loss(w - d)) / 2e-4 - grad[i]) < 1e-6
+
+
+def test_features_and_copies():
+    known = toxicity.WordFeatures()
+    rows = toxicity.rows_of([["cat", "cat", "category"], []], known)
+    assert rows.ends.tolist() == [0, 7, 7] and sorted(np.round(2**rows.values).astype(int) - 1) == [1, 1, 1, 1, 1, 1, 2]
+    assert toxicity.counterfactuals(["the", "woman"], toxicity.swaps(), 2, 0) == [["the", "boy"], ["the", "girl"]]
+    assert toxicity.counterfactuals(["nobody"], toxicity.swaps(), 2, 0) == []
 
 
 # ------------------------------------------------------------------ edge cases of all

@@ -1,13 +1,12 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic regression over a text's words and word beginnings (how often each occurs, on a log scale) is fitted in numpy on a bounded sample of labelled
-rows: the ``max_rows`` training rows of smallest hash. For every sample row that names a group, copies
-with the identity term swapped for others are made, and the squared change of the score between a
-row and its copies is added to the loss, so a group's name can't carry weight of its own.
+rows: the ``max_rows`` training rows of smallest hash. For every sample row that names a group, ``copies`` copies
+are made in which each identity term is swapped for another of its set, and the squared change of the score between
+the row and each copy is added to the loss, so a group's name can't carry weight of its own.
 
-The vocabulary is bounded (``max_words`` features held by at least ``min_rows`` sample rows), so the model can
-go to every worker. Scoring is one pass over all whole texts without a shuffle. Inputs of a score are the
-words of the text and nothing else.
+Features are hashed into 2 ** BITS weights, so no feature is left out and the model can go to every worker. Scoring
+is one pass over all whole texts without a shuffle. Inputs of a score are the words of the text and nothing else.
 
 Defined results: a null or empty text has the score of no words; a null doc_id counts as held out; labels
 that are null are ignored and of repeated ones the largest counts; without training rows of both labels
@@ -16,14 +15,13 @@ every score is the share of label 1 (0 without rows); further columns are ignore
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,30 +49,80 @@ IDENTITY = (
 )
 #: Shortest and longest beginning of a word that is a feature.
 BEGIN = (4, 8)
-LOG = [math.log2(1 + n) for n in range(64)]
+#: Weights are kept for so many bits of a feature's hash.
+BITS = 20
 #: ASCII characters that separate words.
 _MARKS = b".,;:!?\"()[]{}<>*|/\\#%&=+~`^_$@-"
 _SEPARATE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
+#: Distinct words whose features a worker remembers.
+REMEMBERED = 200_000
 
 
 def swaps() -> dict[str, list[str]]:
+    """The terms that may stand in for each term, in the order of their set from the next one on."""
     sets = [s.split() for s in IDENTITY]
-    return {w: [x for x in s if x != w] for s in sets for w in s}
+    return {w: s[i + 1 :] + s[:i] for s in sets for i, w in enumerate(s)}
 
 
-def features(text: str) -> dict[str, float]:
-    """log2(1 + count) of the words (A-Z and other letters lower-cased) and of their beginnings, marked by ^."""
-    counts: dict[str, int] = {}
-    for w, n in Counter(text.lower().encode().translate(_SEPARATE).decode(errors="replace").split()).items():
-        counts[w] = n
-        for k in range(BEGIN[0], min(BEGIN[1], len(w)) + 1):
-            p = "^" + w[:k]
-            counts[p] = counts.get(p, 0) + n
-    return {w: LOG[n] if n < len(LOG) else math.log2(1 + n) for w, n in counts.items()}
+def words_of(text: str) -> list[str]:
+    """The words of a text: A-Z and other letters lower-cased, without the separating marks."""
+    return text.lower().encode().translate(_SEPARATE).decode(errors="replace").split()
 
 
-def beginnings(w: str) -> list[str]:
-    return ["^" + w[:k] for k in range(BEGIN[0], min(BEGIN[1], len(w)) + 1)]
+class WordFeatures(dict):
+    """Numbers of a word's features: of the word and of its beginnings, which ``^`` marks."""
+
+    def __missing__(self, w: str) -> list[int]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        names = [w, *["^" + w[:k] for k in range(BEGIN[0], min(BEGIN[1], len(w)) + 1)]]
+        self[w] = value = [xxhash.xxh3_64_intdigest(x) & ((1 << BITS) - 1) for x in names]
+        return value
+
+
+@dataclass
+class Rows:
+    """Sparse rows: those of row i are features[ends[i] : ends[i + 1]], with their values."""
+
+    features: np.ndarray
+    values: np.ndarray
+    ends: np.ndarray
+
+    def part(self, rows: np.ndarray) -> Rows:
+        sizes = np.diff(self.ends)[rows]
+        ends = np.append(0, np.cumsum(sizes))
+        at = np.arange(ends[-1]) + np.repeat(self.ends[:-1][rows] - ends[:-1], sizes)
+        return Rows(self.features[at], self.values[at], ends)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The products of the rows with w."""
+        return np.bincount(np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends)), weights=w[self.features] * self.values, minlength=len(self.ends) - 1)
+
+    def add(self, into: np.ndarray, error: np.ndarray) -> None:
+        """Adds the rows, each times its error, to into."""
+        into += np.bincount(self.features, weights=self.values * np.repeat(error, np.diff(self.ends)), minlength=len(into))
+
+
+def rows_of(lists: list[list[str]], known: WordFeatures) -> Rows:
+    """log2(1 + count) of the features of some lists of words."""
+    parts, times, sizes = [], [], []
+    for words in lists:
+        counts = Counter(words)
+        found = [known[w] for w in counts]
+        parts += [i for x in found for i in x]
+        times += [n for x, n in zip(found, counts.values(), strict=True) for _ in x]
+        sizes.append(sum(map(len, found)))
+    row = np.repeat(np.arange(len(lists)), sizes)
+    keys, at = np.unique((row << BITS) + np.array(parts, np.int64), return_inverse=True)
+    counts = np.bincount(at, weights=np.array(times, np.float64), minlength=len(keys))
+    return Rows(keys & ((1 << BITS) - 1), np.log2(1 + counts), np.searchsorted(keys, np.arange(len(lists) + 1) << BITS))
+
+
+def counterfactuals(words: list[str], other: dict[str, list[str]], copies: int, salt: int) -> list[list[str]]:
+    """Copies of a text that names groups: in the k-th, each term is swapped for the one that is salt + k further in its set."""
+    if not any(w in other for w in words):
+        return []
+    return [[other[w][(salt + k) % len(other[w])] if w in other else w for w in words] for k in range(copies)]
 
 
 def remainder(doc_id: Column) -> Column:
@@ -82,125 +130,120 @@ def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: np.ndarray
     bias: float
 
-    def score(self, text: str) -> float:
-        """The score of a text: beginnings are counted only where the model weighs them."""
-        get, total = self.weights.get, self.bias
-        begun: dict[str, int] = {}
-        for w, n in Counter(text.lower().encode().translate(_SEPARATE).decode(errors="replace").split()).items():
-            if v := get(w):
-                total += v * (LOG[n] if n < len(LOG) else math.log2(1 + n))
-            for k in range(BEGIN[0], min(BEGIN[1], len(w)) + 1):
-                p = "^" + w[:k]
-                if p in self.weights:
-                    begun[p] = begun.get(p, 0) + n
-        for p, n in begun.items():
-            total += self.weights[p] * (LOG[n] if n < len(LOG) else math.log2(1 + n))
-        return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
+    def scores(self, texts: list[str], known: WordFeatures) -> np.ndarray:
+        return sigmoid(rows_of([words_of(t) for t in texts], known).times(self.weights) + self.bias)
 
 
 @dataclass
 class Sample:
-    """Rows of a bounded sample: for each the features of a bounded vocabulary, as numbers, and their values."""
+    """Rows of a bounded sample with their labels, their copies with swapped terms, and the row of each copy."""
 
-    vocabulary: list[str]
-    features: list[np.ndarray]
-    values: list[np.ndarray]
+    rows: Rows
     labels: np.ndarray
-
-
-def fit(sample: Sample, balance: float = 0.5, ridge: float = 0.0005, strength: float = 1.0, steps: int = 300, rate: float = 0.05) -> Model:
-    """Adam over the whole sample on mean log loss + ridge * |w|^2 + strength * mean squared counterfactual change."""
-    y, n = sample.labels.astype(np.float64), len(sample.labels)
+    copies: Rows
+    origin: np.ndarray
+
+
+def sample_of(texts: list[str], labels: list[int], copies: int, salt: int = 0) -> Sample:
+    known, other = WordFeatures(), swaps()
+    lists = [words_of(t) for t in texts]
+    made = [(i, c) for i, w in enumerate(lists) for c in counterfactuals(w, other, copies, salt + i)]
+    return Sample(rows_of(lists, known), np.array(labels, np.float64), rows_of([c for _, c in made], known), np.array([i for i, _ in made], np.int64))
+
+
+def loss_gradient(w: np.ndarray, rows: Rows, labels: np.ndarray, weight: np.ndarray, copies: Rows, origin: np.ndarray, strength: float) -> np.ndarray:
+    """Gradient of the mean weighted log loss + strength * mean over rows of the squared changes of the score; the last of w is the bias."""
+    n, out = max(1, len(labels)), np.zeros_like(w)
+    score = sigmoid(rows.times(w) + w[-1])
+    error = weight * (score - labels) / n
+    if len(origin) and strength:
+        swapped = sigmoid(copies.times(w) + w[-1])
+        change = 2 * strength * (score[origin] - swapped) / n
+        error = error + np.bincount(origin, weights=change * score[origin] * (1 - score[origin]), minlength=len(labels))
+        back = -change * swapped * (1 - swapped)
+        copies.add(out, back)
+        out[-1] += back.sum()
+    rows.add(out, error)
+    out[-1] += error.sum()
+    return out
+
+
+def fit(sample: Sample, balance: float = 0.5, ridge: float = 0.0005, strength: float = 5.0, epochs: int = 24, batch: int = 512, rate: float = 0.05) -> Model:
+    """Adam on mean log loss + ridge * |w|^2 + strength * mean squared change of the score under swaps."""
+    y, n = sample.labels, len(sample.labels)
     share = float(y.mean()) if n else 0.0
     if not 0 < share < 1:
-        return Model({}, 40.0 if share == 1 else -40.0)
-    size, index = len(sample.vocabulary), {w: i for i, w in enumerate(sample.vocabulary)}
-    flat, value = np.concatenate(sample.features), np.concatenate(sample.values)
-    at = np.repeat(np.arange(n), [len(x) for x in sample.features])
-    pairs: dict[tuple[int, int], int] = {}  # (feature, the swap's): rows; size stands for one outside the vocabulary
-    other = {w: x for w, x in swaps().items() if w in index or any(v in index for v in x)}
-    for row in sample.features:
-        held = {sample.vocabulary[i] for i in row.tolist()}
-        for w in held & other.keys():
-            for x in other[w]:
-                if x not in held:
-                    for a, b in zip_longest([w, *beginnings(w)], [x, *beginnings(x)], fillvalue=""):
-                        key = (index.get(a, size), index.get(b, size))
-                        if key[0] != key[1]:
-                            pairs[key] = pairs.get(key, 0) + 1
-    left = np.array([k[0] for k in pairs], np.int64)
-    right = np.array([k[1] for k in pairs], np.int64)
-    often = np.array(list(pairs.values()), np.float64) / n
+        return Model(np.zeros(1 << BITS, np.float32), 40.0 if share == 1 else -40.0)
+    # Only the features of the sample move; they are numbered anew.
+    used = np.unique(np.concatenate([sample.rows.features, sample.copies.features]))
+    rows, copies = (Rows(np.searchsorted(used, x.features), x.values, x.ends) for x in (sample.rows, sample.copies))
     weight = np.where(y == 1, ((1 - share) / share) ** balance, 1.0)
     weight /= weight.mean()
-    w = np.zeros(size + 2)  # features, the outside (always 0), bias
+    w = np.zeros(len(used) + 1)
     w[-1] = np.log(share / (1 - share))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        z = np.bincount(at, weights=w[flat] * value, minlength=n) + w[-1]
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad = np.append(np.bincount(flat, weights=error[at] * value, minlength=size), [0, error.sum()]) + 2 * ridge * np.append(w[:-1], 0)
-        if len(pairs):
-            change = 2 * strength * often * (w[left] - w[right])
-            np.add.at(grad, left, change)
-            np.add.at(grad, right, -change)
-        grad[size] = 0
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model({word: float(w[i]) for word, i in index.items() if abs(w[i]) > 1e-6}, float(w[-1]))
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_words: int, min_rows: int) -> Sample:
-    """At most max_rows labelled rows, those of smallest hash, none of remainder 0; and their most telling features."""
+    m, v, t, steps = np.zeros_like(w), np.zeros_like(w), 0, epochs * -(-n // batch)
+    for epoch in range(epochs):
+        order = np.random.default_rng(epoch).permutation(n)
+        for at in range(0, n, batch):
+            part = np.sort(order[at : at + batch])
+            # Copies go with their rows.
+            held = np.flatnonzero(np.isin(sample.origin, part))
+            grad = loss_gradient(w, rows.part(part), y[part], weight[part], copies.part(held), np.searchsorted(part, sample.origin[held]), strength)
+            grad[:-1] += 2 * ridge * w[:-1]
+            t += 1
+            m += 0.1 * (grad - m)
+            v += 0.001 * (grad * grad - v)
+            w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    out = np.zeros(1 << BITS, np.float32)
+    out[used] = w[:-1]
+    return Model(out, float(w[-1]))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, copies: int) -> Sample:
+    """At most max_rows labelled rows, those of smallest hash, none of remainder 0; their texts go to the driver as features."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0))
     chosen = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     picked = docs.sparkSession.createDataFrame(chosen.toPandas(), "doc_id long, toxic int")  # bounded by max_rows, so it may be broadcast
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
-    texts = materialize(texts.select("doc_id", "text", "toxic"), "labelled")
+    texts = materialize(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id"), "labelled")
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[float]] = {}
-        for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                for w, value in features(text.as_py() or "").items():
-                    c = found.setdefault(w, [0, 0.0, 0.0])
-                    c[0] += 1
-                    c[1 + label] += value
-        columns = [pa.array(list(found)), *[pa.array([c[k] for c in found.values()], pa.float64()) for k in range(3)]]
-        yield pa.RecordBatch.from_arrays([columns[0].cast(pa.string()), *columns[1:]], names=["word", "n", "v0", "v1"])
-
-    size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    n0, n1 = max(1, size.get(0, 0)), max(1, size.get(1, 0))
-    # Values are sums of logarithms, rounded so that the order in which they were added does not matter.
-    table = texts.select("text", "toxic").mapInArrow(counts, "word string, n double, v0 double, v1 double").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "v0", "v1")])
-    gap = F.round(F.abs(F.col("v1") / n1 - F.col("v0") / n0) / F.sqrt("n"), 9)
-    vocabulary = sorted(r["word"] for r in table.filter(F.col("n") >= min_rows).orderBy(gap.desc(), "word").limit(max_words).select("word").collect())
-    held = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = held.value.get
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted((i, v) for w, v in features(t.as_py() or "").items() if (i := get(w)) is not None) for t in batch.column(1)]
-            parts = [pa.array([[x[k] for x in row] for row in rows], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *parts], names=["doc_id", "toxic", "features", "values"])
+            for doc_id, text, label in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                found = sample_of([text.as_py()], [label], copies, doc_id)
+                parts = [x.astype(kind).tobytes() for r in (found.rows, found.copies) for x, kind in ((r.features, "<i4"), (r.values, "<f4"), (r.ends, "<i4"))]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([label], pa.int32()), *[pa.array([p], pa.binary()) for p in parts]], names=["doc_id", "toxic", *"abcdef"])
 
-    rows = texts.mapInArrow(numbered, "doc_id long, toxic int, features array<int>, values array<float>").toPandas().sort_values("doc_id", kind="stable")
-    return Sample(vocabulary, [np.asarray(x, np.int64) for x in rows["features"]], [np.asarray(x, np.float64) for x in rows["values"]], rows["toxic"].to_numpy())
+    kind = "doc_id long, toxic int, a binary, b binary, c binary, d binary, e binary, f binary"
+    found = texts.mapInArrow(features, kind).toPandas().sort_values(["doc_id", "a"], kind="stable")
 
+    def joined(a: str, b: str, c: str) -> Rows:
+        sizes = np.concatenate([np.empty(0, np.int64), *[np.diff(np.frombuffer(x, "<i4")) for x in found[c]]])
+        flat = lambda name, kind: np.frombuffer(b"".join(found[name]), kind)
+        return Rows(flat(a, "<i4").astype(np.int64), flat(b, "<f4").astype(np.float64), np.append(0, np.cumsum(sizes)).astype(np.int64))
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_words: int = 5_000, min_rows: int = 5, **options) -> DataFrame:
+    origin = np.repeat(np.arange(len(found)), [len(x) // 4 - 1 for x in found["f"]])
+    return Sample(joined("a", "b", "c"), found["toxic"].to_numpy(np.float64), joined("d", "e", "f"), origin)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, copies: int = 3, **options) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, max_rows, max_words, min_rows), **options))
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, max_rows, copies), **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.value.score(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        known = WordFeatures()
+        for whole in batches:
+            for batch in (whole.slice(at, 100) for at in range(0, whole.num_rows, 100)):
+                scores = model.value.scores([t.as_py() or "" for t in batch.column(1)], known)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
