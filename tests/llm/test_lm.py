@@ -21,6 +21,7 @@ def double(w):
 def some_classes(rng):
     of = np.concatenate([rng.integers(0, lm.STARTS, 25_000), rng.integers(lm.STARTS, lm.CLASSES, lm.VOCABULARY - 25_000)])
     of[lm.END] = 0
+    of = of.astype(np.uint8)
     share = np.bincount(of, minlength=lm.CLASSES)
     return lm.Classes(of, -np.log(share[of]).astype(np.float32), np.log(np.maximum(share, 0.5) / len(of)))
 
@@ -110,7 +111,7 @@ def test_subwords():
     for words in ([], [b"the", b"thanningly"], ["é漢".encode(), b"!?", "\x85x".encode(), b"<|endoftext|>", "a　".encode()], [b"y" * 3000]):
         ids, at = subwords(words)
         ends = [*at[1:].tolist(), len(ids)]
-        got = [subwords.encode(" " + w.decode()) for w in words]
+        got = [subwords.encode(" " + w.decode()).tolist() for w in words]
         assert ids[-1] == lm.END and len(at) == len(words) + 1
         assert [ids[a:b].tolist() for a, b in zip(at, ends, strict=True)][:-1] == got
 

@@ -27,6 +27,7 @@ scored alike and counted each; without training documents counts are 0; further
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,12 +43,12 @@ from pyspark.sql import functions as F
 from .shared import materialize
 from .tokens import default_vocabulary, encoder
 
-BLOCK, WIDTH = 16, 24
+BLOCK, WIDTH = 16, 16
 #: Classes of ids that begin words, of which so many are of one id, and of those that go on with one.
-STARTS, OWN_STARTS, CONTS, OWN_CONTS = 64, 48, 160, 112
+STARTS, OWN_STARTS, CONTS, OWN_CONTS = 56, 40, 72, 48
 CLASSES = STARTS + CONTS
 #: Weight of the probability of a word by its ids; the rest goes by its share among the words of its class.
-TRUST = 0.3
+TRUST = 0.2
 #: Most times that training goes over the windows of a partition in a round, and windows that are shuffled together.
 EPOCHS, SHUFFLED = 40, 65_536
 #: Sets of weights that one task sums up.
@@ -57,6 +58,8 @@ VOCABULARY = 50_258
 END = VOCABULARY - 1
 #: The base's end token: no word has a separator in it.
 END_WORD = xxhash.xxh3_64_intdigest(b"\n")
+#: Texts of a row of the streams, each of which belongs to one round of training.
+TEXTS = 32
 #: Word counts that a worker holds before it passes them on.
 HELD = 200_000
 
@@ -88,23 +91,32 @@ class Subwords:
     """Turns the words of a text into ids: all ids of a space and each word, then the end."""
 
     def __init__(self, path: str) -> None:
-        self.encode, self.begins = encoder(path), begins_word(path)
+        self.encode, self.begins = encoder(path, arrays=True), begins_word(path)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and where each word (and the end) begins in them."""
-        ids = np.array([*self.encode((b" " + b" ".join(words)).decode(errors="replace") if words else ""), END], np.uint16)
+        ids = self.encode((b" " + b" ".join(words)).decode(errors="replace") if words else "")
+        ids = np.append(ids, END).astype(np.uint16)
         at = np.flatnonzero(self.begins[ids])
         if len(at) == len(words) + 1:
             return ids, at
         # Rare: a word with separators of other alphabets, which the vocabulary joins with the space.
         each = [self.encode(" " + w.decode(errors="replace")) for w in words]
         sizes = [len(x) for x in each]
-        return np.array([*(i for x in each for i in x), END], np.uint16), np.cumsum([0, *sizes])
+        return np.append(np.concatenate(each), END).astype(np.uint16), np.cumsum([0, *sizes])
 
 
 # ---------------------------------------------------------------- the model
 
 
+def keep_memory() -> None:
+    """Tells the C library to keep freed memory for the next batch: giving it back costs as much as the arithmetic."""
+    library = ctypes.CDLL(None)
+    if hasattr(library, "mallopt"):
+        library.mallopt(-3, 1 << 30)  # M_MMAP_THRESHOLD: bytes from which a piece is mapped by itself
+        library.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD: free bytes that are kept
+
+
 @dataclass
 class Weights:
     """embed (CLASSES + 1, WIDTH), qkv (WIDTH, 3 WIDTH), bias (2 BLOCK) by distance, out (2 WIDTH + 1, CLASSES + 1).
@@ -159,7 +171,7 @@ def blocks_of(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = np.cumsum(sizes)
     total = int(blocks.sum())
     place = np.arange(len(classes)) + np.repeat(begin * BLOCK - (ends - sizes), sizes)
-    x, y = np.full(total * BLOCK, CLASSES, np.int64), np.full(total * BLOCK, CLASSES, np.int64)
+    x, y = np.full(total * BLOCK, CLASSES, np.uint8), np.full(total * BLOCK, CLASSES, np.uint8)
     y[place] = classes
     x[1:] = y[:-1]
     x[begin * BLOCK] = CLASSES
@@ -279,7 +291,7 @@ def block_log_probs(w: Weights, x: np.ndarray, y: np.ndarray, first: np.ndarray)
     for (rows, cut), chance in zip(groups(y), (starts, starts - begins), strict=True):
         logits = h[rows] @ out[:, cut]
         np.minimum(logits, 60, out=logits)
-        target = logits[np.arange(len(rows)), flat[rows] - cut.start]
+        target = logits[np.arange(len(rows)), flat[rows].astype(np.int64) - cut.start]
         np.exp(logits, out=logits)
         chosen[rows] = target - np.log(logits.sum(axis=1) + np.float32(1e-37)) + chance[rows]
     return chosen.reshape(n, BLOCK), starts.reshape(n, BLOCK)
@@ -343,7 +355,7 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
             return out
 
         for whole in batches:
-            for batch in (whole.slice(at, 200) for at in range(0, whole.num_rows, 200)):
+            for batch in (whole.slice(at, TEXTS) for at in range(0, whole.num_rows, TEXTS)):
                 streams = []
                 for text in batch.column(0):
                     words = (text.as_py() or b"").lower().split()
@@ -389,7 +401,6 @@ def followed(streams: DataFrame, own: np.ndarray) -> np.ndarray:
     size = len(own)
     place = np.full(VOCABULARY, size, np.int64)
     place[own] = np.arange(size)
-    held = streams.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY * (size + 1), np.int64)
@@ -400,7 +411,7 @@ def followed(streams: DataFrame, own: np.ndarray) -> np.ndarray:
             waiting.clear()
 
         for ids, sizes in read_streams(batches):
-            pairs = ids[1:].astype(np.int64) * (size + 1) + held.value[ids[:-1]]
+            pairs = ids[1:].astype(np.int64) * (size + 1) + place[ids[:-1]]
             inside = np.ones(len(pairs), bool)
             inside[np.cumsum(sizes)[:-1] - 1] = False
             waiting.append(pairs[inside])
@@ -442,7 +453,7 @@ def own_ids(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def classes_of(counts: np.ndarray, near: np.ndarray, begins: np.ndarray) -> Classes:
     """Classes of starts come first, those of own ids before the clusters; ids that never occur are clustered too."""
-    of, at = np.zeros(VOCABULARY, np.int64), 0
+    of, at = np.zeros(VOCABULARY, np.uint8), 0
     for own, kind, k in zip(own_ids(counts, begins), (begins, ~begins), (STARTS - OWN_STARTS, CONTS - OWN_CONTS), strict=True):
         rest = np.setdiff1d(np.flatnonzero(kind), own)
         of[own] = at + np.arange(len(own))
@@ -454,11 +465,10 @@ def classes_of(counts: np.ndarray, near: np.ndarray, begins: np.ndarray) -> Clas
 
 
 def windows(streams: Iterator[tuple[np.ndarray, np.ndarray]], of: np.ndarray, turn: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The round's share of the windows: x of two blocks and the targets y of the second, some SHUFFLED at a time."""
-    none = np.full((1, BLOCK), CLASSES, np.int64)
+    """The windows of the round's rows of the streams: x of two blocks and the targets y of the second, some SHUFFLED at a time."""
+    none = np.full((1, BLOCK), CLASSES, np.uint8)
     xs: list[np.ndarray] = []
     ys: list[np.ndarray] = []
-    seen = 0
 
     def mixed() -> tuple[np.ndarray, np.ndarray]:
         x, y = np.concatenate(xs), np.concatenate(ys)
@@ -466,17 +476,17 @@ def windows(streams: Iterator[tuple[np.ndarray, np.ndarray]], of: np.ndarray, tu
         xs.clear(), ys.clear()
         return x[order], y[order]
 
-    for ids, sizes in streams:
+    for number, (ids, sizes) in enumerate(streams):
+        if number % rounds != turn:
+            continue
         x, y, first, _ = blocks_of(of[ids], sizes)
         before = np.concatenate([none, x[:-1]])
         before[first] = CLASSES
-        own = np.arange((turn - seen) % rounds, len(x), rounds)
-        seen += len(x)
-        xs.append(np.concatenate([before[own], x[own]], axis=1).astype(np.uint8))
-        ys.append(y[own].astype(np.uint8))
+        xs.append(np.concatenate([before, x], axis=1))
+        ys.append(y)
         if sum(map(len, xs)) >= SHUFFLED:
             yield mixed()
-    if sum(map(len, xs)):
+    if xs:
         yield mixed()
 
 
@@ -515,14 +525,12 @@ def average(local: DataFrame, partitions: int) -> Weights | None:
 
 def fit(streams: DataFrame, classes: Classes, rounds: int = 3, batch: int = 128, least_steps: int = 120, rate: float = 0.01) -> Weights:
     """Local Adam on every partition of the streams and weighted averages, round by round."""
-    sc = streams.sparkSession.sparkContext
-    held, w = sc.broadcast(classes.of), Weights.initial(classes.share)
+    of, w = classes.of, Weights.initial(classes.share)
     partitions = streams.rdd.getNumPartitions()
     for turn in range(rounds):
-        start = sc.broadcast(w)
-
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
-            done, targets = train(start.value, read_streams(batches), held.value, turn, rounds, batch, least_steps, rate)
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start: Weights = w) -> Iterator[pa.RecordBatch]:
+            keep_memory()
+            done, targets = train(start, read_streams(batches), of, turn, rounds, batch, least_steps, rate)
             if targets:
                 columns = [pa.array([TaskContext.get().partitionId()]), pa.array([float(targets)]), pa.array([done.to_bytes(targets)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "weight", "flat"])
@@ -537,7 +545,6 @@ def fit(streams: DataFrame, classes: Classes, rounds: int = 3, batch: int = 128,
 def score_documents(docs: DataFrame, vocabulary: str | None = None, frequent: int = 200_000, trust: float = TRUST, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     path = vocabulary or default_vocabulary()
-    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     gathered = materialize(gather(docs.filter(remainder(F.col("doc_id")) != 1), path), "gathered")
     counts = materialize(gathered.filter("n > 0").groupBy("key").agg(F.sum("n").alias("c"), F.max("id").alias("id")), "counts")
@@ -560,10 +567,12 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, frequent: in
             break
         least = b
     common = counts.filter(F.floor(F.log2("c") * 4) >= least).toPandas().sort_values("key")
-    table = sc.broadcast((common["key"].to_numpy(np.int64).copy(), common["c"].to_numpy(np.float64) + 0.5, weights, classes, word_share))
+    # Classes of this package go to the workers with the function, by value.
+    table = common["key"].to_numpy(np.int64).copy(), common["c"].to_numpy(np.float64) + 0.5, weights, classes, word_share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, known, w, kinds, shares = table.value
+        keep_memory()
+        keys, known, w, kinds, shares = table
         logs, unigram = np.log10(known), np.log((1 - trust) * known / denominator)
         subwords = Subwords(path)
         row = TaskContext.get().partitionId() << 33

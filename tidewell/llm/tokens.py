@@ -11,6 +11,8 @@ import base64
 import os
 import re
 
+import numpy as np
+
 END = "<|endoftext|>"
 _LONG_RUN = re.compile(r"\S{2000}")
 
@@ -21,13 +23,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """A function from a text to its list of ids, without added special tokens."""
+def encoder(path: str, arrays: bool = False):
+    """A function from a text to its list (or array) of ids, without added special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    plain = lambda text: slow.encode(text, add_special_tokens=False).ids
+    listed = lambda text: slow.encode(text, add_special_tokens=False).ids
+    plain = (lambda text: np.array(listed(text), np.uint32)) if arrays else listed
     ranks_path = os.path.splitext(path)[0] + ".tiktoken"
     if not os.path.exists(ranks_path):
         return plain
@@ -38,9 +41,11 @@ def encoder(path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: slow.token_to_id(END)})
 
-    def encode(text: str) -> list[int]:
+    run = fast.encode_to_numpy if arrays else fast.encode
+
+    def encode(text: str):
         if _LONG_RUN.search(text):
             return plain(text)
-        return fast.encode(text, allowed_special="all")
+        return run(text, allowed_special="all")
 
     return encode

@@ -236,13 +236,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, copies: i
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, copies: int = 3, **options) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, max_rows, copies), **options))
+    model = fit(training_sample(docs, labels, max_rows, copies), **options)  # goes to the workers with the function, by value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures()
         for whole in batches:
             for batch in (whole.slice(at, 100) for at in range(0, whole.num_rows, 100)):
-                scores = model.value.scores([t.as_py() or "" for t in batch.column(1)], known)
+                scores = model.scores([t.as_py() or "" for t in batch.column(1)], known)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
