@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import chat, components, decontaminate, lm, neardup, packing, quality, secrets, sharding, substrings, tokens, toxicity
 
-from .conftest import KIND, prose
+from .conftest import KIND, WORDS, prose
 
 
 def frame(spark, texts, **more):
@@ -437,6 +437,22 @@ def test_sketches_merge(spark):
     assert as_set(quality.merge_sketches(halves, "lang", "source")) == as_set(whole.select("lang", "source", "metric", "bucket", "n"))
 
 
+def test_sources_have_thresholds_of_their_own(spark):
+    """The same text is usual in one source and beyond the fences of another."""
+    rng = random.Random(49)
+    plain, marked = (lambda: prose(rng, 60)), (lambda: prose(rng, 60).replace(" ", " # "))
+    long = lambda: "".join(rng.choice(WORDS) + rng.choice(WORDS) + " " for _ in range(60))
+    rows = [(k, make(), "en", source, 0) for k, (source, make) in enumerate([("plain", plain), ("marked", marked), ("long", long)] * 150)]
+    rows += [(1000 + k, t, "en", source, 0) for k, (t, source) in enumerate((t, s) for t in (marked(), long(), plain()) for s in ("plain", "marked", "long"))]
+    got = {r.doc_id: r for r in quality.score_quality(spark.createDataFrame(rows, KIND)).collect()}
+    assert [got[1000 + k].kept for k in range(9)] == [False, True, False, False, False, True, True, False, False]
+    assert any(x.startswith("+marks") for x in got[1000].reasons) and any(x.startswith("-word_chars") for x in got[1008].reasons)
+    assert sum(got[k].kept for k in range(450)) > 430
+    sketch = quality.sketches(quality.metrics(spark.createDataFrame(rows, KIND)), quality.buckets_of(F.col("m")))
+    fences = [r.f for r in quality.thresholds(sketch).collect()]
+    assert len({round(f.word_chars_avg.above) for f in fences}) == 3
+
+
 # ------------------------------------------------------------------ 9 sharding
 
 

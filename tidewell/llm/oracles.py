@@ -36,9 +36,13 @@ def _op8(rules: tuple[quality.Rule, ...] = quality.RULES, min_docs: int = 100) -
     log_gamma = math.log(quality.GAMMA)
     names = [r.metric for r in rules]
     bucket = lambda m: f"CASE WHEN {m} <= 0 THEN 0 ELSE CAST(floor(ln(CAST({m} AS DOUBLE)) / {log_gamma!r}) AS INTEGER) + 1 END"
-    share = lambda part, whole, name: f"CAST(floor({part} * 10000 / greatest({whole}, 1)) AS BIGINT) AS {name}"
-    value = lambda b: f"CASE WHEN {b} <= 0 THEN 0.0 ELSE pow({quality.GAMMA!r}, {b}) END"
-    fence = " ".join(f"WHEN '{r.metric}' THEN greatest({r.tolerance}.0, {value('hi')} + {r.spread} * ({value('hi')} - ({value('lo')})))" for r in rules)
+    share = lambda part, whole, times, name: f"CAST(floor({part} * {times} / greatest({whole}, 1)) AS BIGINT) AS {name}"
+    beyond = lambda part: f"greatest({part} - {quality.RARE}, 0)"
+    value = lambda b: f"(CASE WHEN {b} <= 0 THEN 0.0 ELSE pow({quality.GAMMA!r}, {b}) END)"
+    spread = f"greatest({value('hi')} - {value('lo')}, {value('hi')} / {quality.FLAT})"
+    above = " ".join(f"WHEN '{r.metric}' THEN {value('hi')} + {r.above} * {spread}" for r in rules)
+    below = " ".join(f"WHEN '{r.metric}' THEN {value('lo')} - {r.below} * {spread}" for r in rules if r.below)
+    fence = f"{{'above': CASE metric {above} END, 'below': CASE metric {below} END}}"
     level = lambda k, lang, source: f"SELECT {k} AS level, {lang} AS lang, {source} AS source, metric, bucket, sum(n) AS n FROM sk GROUP BY ALL"
     pick = lambda m: f"coalesce((SELECT fence FROM fe WHERE level = 0 AND fe.lang IS NOT DISTINCT FROM d.lang AND fe.source IS NOT DISTINCT FROM d.source AND metric = '{m}' AND total >= {min_docs}), (SELECT fence FROM fe WHERE level = 1 AND fe.lang IS NOT DISTINCT FROM d.lang AND metric = '{m}' AND total >= {min_docs}), (SELECT fence FROM fe WHERE level = 2 AND metric = '{m}'))"
     return rf"""
@@ -46,17 +50,18 @@ WITH d0 AS (SELECT doc_id, lang, source, {_TEXT} AS t, {_WORDS} AS w FROM docume
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d0 WHERE len(w) > 8)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM win) WHERE k > 1) GROUP BY doc_id),
 c AS (SELECT d0.doc_id, lang, source, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, {chars('[#*$%&|<>]+')} AS n_symbols,
-  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines, {chars(chr(92) + 'p{Lu}+')} AS n_caps, {chars('[!?#*$%&|<>=~^_{}' + chr(92) + '[' + chr(92) + ']' + chr(92) * 2 + ']+')} AS n_marks,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x: length(x) <= 3)) AS n_short, {chars(chr(92) + 'p{Lu}+')} AS n_caps, {chars('[!?#*$%&|<>=~^_{}' + chr(92) + '[' + chr(92) + ']' + chr(92) * 2 + ']+')} AS n_marks,
   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d0) d0 LEFT JOIN rep ON rep.doc_id = d0.doc_id),
-m AS (SELECT *, {share('n_symbols', 'word_chars', 'symbols_bp')}, {share('n_dup_lines', 'n_lines', 'dup_lines_bp')}, {share('n_repeat_words', 'n_words', 'repeat_bp')}, {share('n_stutters', 'n_words', 'stutter_bp')}, {share('n_caps', 'word_chars', 'caps_bp')}, {share('n_marks', 'word_chars', 'marks_bp')} FROM c),
+m AS (SELECT *, {share(beyond('n_marks'), 'word_chars', 10000, 'marks_bp')}, {share(beyond('n_dup_lines'), 'n_lines', 10000, 'dup_lines_bp')}, {share(beyond('n_stutters'), 'n_words', 10000, 'stutter_bp')}, {share('n_caps', 'word_chars', 10000, 'caps_bp')},
+  {share('word_chars', 'n_words', 100, 'word_chars_avg')}, {share(beyond('n_short'), 'n_words', 10000, 'short_bp')}, {share('n_words', 'n_lines', 100, 'line_words_avg')} FROM c),
 sk AS (SELECT lang, source, metric, bucket, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT lang, source, '{x}' AS metric, {bucket(x)} AS bucket FROM m WHERE n_words > 0" for x in names)}) GROUP BY ALL),
 lv AS ({level(0, 'lang', 'source')} UNION ALL {level(1, 'lang', 'NULL')} UNION ALL {level(2, 'NULL', 'NULL')}),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM lv),
 q AS (SELECT level, lang, source, metric, any_value(total) AS total, min(bucket) FILTER (WHERE upto * 100 >= total * {rules[0].low}) AS lo, min(bucket) FILTER (WHERE upto * 100 >= total * {rules[0].high}) AS hi FROM cum GROUP BY ALL),
-fe AS (SELECT level, lang, source, metric, total, CASE metric {fence} END AS fence FROM q),
+fe AS (SELECT level, lang, source, metric, total, {fence} AS fence FROM q),
 lim AS (SELECT d.lang, d.source, {', '.join(f'{pick(x)} AS f_{x}' for x in names)} FROM (SELECT DISTINCT lang, source FROM m) d),
-j AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, list_filter([{', '.join(f"CASE WHEN {x} > f_{x} THEN '{x}' END" for x in names)}], lambda x: x IS NOT NULL) AS r FROM m LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM m.lang AND lim.source IS NOT DISTINCT FROM m.source)
+j AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, list_filter([{', '.join(f"CASE WHEN {x} > f_{x}.above THEN '+{x}' WHEN {x} < f_{x}.below THEN '-{x}' END" for x in names)}], lambda x: x IS NOT NULL) AS r FROM m LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM m.lang AND lim.source IS NOT DISTINCT FROM m.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(r) = 0 AS kept, coalesce(array_to_string(r, ','), '') AS reasons FROM j
 """
 

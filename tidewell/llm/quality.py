@@ -4,8 +4,10 @@ Every document gets integer metrics. Each (language, source) group keeps one ske
 in logarithmic buckets (the layout of DDSketch: relative error GAMMA - 1), which merge by addition, so
 partial sketches are summed before the shuffle and a hot source costs no more than a cold one. A
 group with fewer than ``min_docs`` documents uses the merged sketch of its language, and that of all
-documents below that. The upper fence of a metric is a quantile plus a multiple of the spread below
-it, never under a small tolerance; documents beyond any fence are rejected.
+documents below that. The fences of a metric lie a multiple of the spread of its middle half beyond that half;
+documents beyond any fence are rejected. No cutoff is fixed: where a group's documents are all alike, its fences
+are narrow, and a spread below a FLAT-th of the value counts as that. Of what a group may lack (marks, repeated
+lines, words said twice, short words) the first RARE in a text are not counted, as a spread of nothing says little.
 
 Defined results: a null text has no words and fails the base rule; null languages and sources are
 groups of their own; repeated rows are judged alike; an empty table gives an empty result; further
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, let, materialize, nonnull_text, words_of
 
-GAMMA = 1.05
+GAMMA = 1.01
+FLAT, RARE = 20, 2
 #: Groups up to which the table of fences goes to every executor (some 100 bytes each).
 BROADCAST_GROUPS = 20_000
 #: Fixed values of the base rule.
@@ -32,23 +35,24 @@ SYMBOLS = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject a metric above q(high) + spread * (q(high) - q(low)), but none up to tolerance."""
+    """Reject a metric above q(high) + above * spread, or below q(low) - below * spread, where given."""
 
     metric: str
-    tolerance: int
+    above: int
+    below: int | None = None
     low: int = 25
     high: int = 75
-    spread: int = 3
 
 
-#: Metrics are in hundredths of a percent.
+#: Metrics are in hundredths, or, with _bp, in hundredths of a percent.
 RULES = (
-    Rule("symbols_bp", 200),
-    Rule("dup_lines_bp", 4000),
-    Rule("repeat_bp", 3000),
-    Rule("stutter_bp", 3000),
-    Rule("caps_bp", 3000),
-    Rule("marks_bp", 1500),
+    Rule("marks_bp", 3),
+    Rule("dup_lines_bp", 3),
+    Rule("stutter_bp", 6),
+    Rule("caps_bp", 6),
+    Rule("word_chars_avg", 3, 3),
+    Rule("short_bp", 3, 3),
+    Rule("line_words_avg", 6),
 )
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -90,21 +94,24 @@ def measure(text: Column) -> Column:
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
+            F.size(F.filter(words, lambda w: F.length(w) <= 3)).cast("long").alias("n_short"),
             F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))).cast("long").alias("n_stutters"),
             chars(t, r"\p{Lu}").alias("n_caps"),
             chars(t, r"[!?#*$%&|<>=~^_{}\[\]\\]").alias("n_marks"),
         )
 
     def shares(c: Column) -> Column:
-        share = lambda part, whole: F.floor(c[part] * 10000 / F.greatest(c[whole], F.lit(1))).cast("long")
+        share = lambda part, whole, times: F.floor(part * times / F.greatest(c[whole], F.lit(1))).cast("long")
+        beyond = lambda part: F.greatest(c[part] - RARE, F.lit(0))
         return F.struct(
             *[c[name].alias(name) for name in METRICS],
-            share("n_symbols", "word_chars").alias("symbols_bp"),
-            share("n_dup_lines", "n_lines").alias("dup_lines_bp"),
-            share("n_repeat_words", "n_words").alias("repeat_bp"),
-            share("n_stutters", "n_words").alias("stutter_bp"),
-            share("n_caps", "word_chars").alias("caps_bp"),
-            share("n_marks", "word_chars").alias("marks_bp"),
+            share(beyond("n_marks"), "word_chars", 10000).alias("marks_bp"),
+            share(beyond("n_dup_lines"), "n_lines", 10000).alias("dup_lines_bp"),
+            share(beyond("n_stutters"), "n_words", 10000).alias("stutter_bp"),
+            share(c["n_caps"], "word_chars", 10000).alias("caps_bp"),
+            share(c["word_chars"], "n_words", 100).alias("word_chars_avg"),
+            share(beyond("n_short"), "n_words", 10000).alias("short_bp"),
+            share(c["n_words"], "n_lines", 100).alias("line_words_avg"),
         )
 
     lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -148,10 +155,12 @@ def _fences(sketch: DataFrame, keys: list[str], rules: tuple[Rule, ...]) -> Data
     summed = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket")))
     of_metric = {r.metric: r for r in rules}
-    pick = lambda what: F.create_map(*[x for m, r in of_metric.items() for x in (F.lit(m), F.lit(getattr(r, what)))])[F.col("metric")]
+    pick = lambda what: F.create_map(*[x for m, r in of_metric.items() for x in (F.lit(m), F.lit(getattr(r, what)).cast("int"))])[F.col("metric")]
     quantiles = summed.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(pick("low")).alias("lo"), at(pick("high")).alias("hi"))
-    fence = F.greatest(pick("tolerance").cast("double"), upper_value(F.col("hi")) + pick("spread") * (upper_value(F.col("hi")) - upper_value(F.col("lo"))))
-    return quantiles.withColumn("fence", fence).groupBy(*keys).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(m) for m in of_metric])
+    lo, hi = upper_value(F.col("lo")), upper_value(F.col("hi"))
+    spread = F.greatest(hi - lo, hi / FLAT)
+    limits = quantiles.withColumn("fence", F.struct((hi + pick("above") * spread).alias("above"), (lo - pick("below") * spread).alias("below")))
+    return limits.groupBy(*keys).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(m) for m in of_metric])
 
 
 def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:
@@ -167,9 +176,9 @@ def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int
 
 
 def verdict(m: Column, fences: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """struct<base_failed,reasons,kept> of a struct of metrics; reasons are the metrics beyond their fence."""
+    """struct<base_failed,reasons,kept> of a struct of metrics; reasons are the metrics beyond a fence, with + above and - below."""
     base = (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT_PERCENT)
-    beyond = F.array_compact(F.array(*[F.when(m[r.metric] > fences[r.metric], F.lit(r.metric)) for r in rules]))
+    beyond = F.array_compact(F.array(*[F.when(m[r.metric] > fences[r.metric]["above"], F.lit(f"+{r.metric}")).when(m[r.metric] < fences[r.metric]["below"], F.lit(f"-{r.metric}")) for r in rules]))
     return F.struct(base.alias("base_failed"), beyond.alias("reasons"), (~base & (F.size(beyond) == 0)).alias("kept"))
 
 
@@ -191,12 +200,12 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: in
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 100) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs.
 
-    Metrics are computed twice, for the sketches and for the verdicts: that is cheaper than keeping all texts once more.
+    Metrics are computed once and written with the rows, which are read again for the verdicts.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sketch = sketches(docs.select("text", "lang", "source"), let(measure(F.col("text")), lambda m: buckets_of(m, rules)))
-    rows = with_fences(docs.select(row, "text", "lang", "source"), sketch, rules, min_docs)
-    return rows.filter(let(measure(F.col("text")), lambda m: verdict(m, F.col("f"), rules)["kept"])).select("row.*")
+    rows = materialize(docs.select(row, "lang", "source", measure(F.col("text")).alias("m")), "measured")
+    judged = with_fences(rows, sketches(rows, buckets_of(F.col("m"), rules)), rules, min_docs)
+    return judged.filter(verdict(F.col("m"), F.col("f"), rules)["kept"]).select("row.*")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
