@@ -341,7 +341,6 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(path)
         counts: Counter[bytes] = Counter()
-        first: dict[bytes, int] = {}
         texts = 0
 
         def rows(keys: np.ndarray, n: np.ndarray, id_: np.ndarray, ids: bytes | None = None, sizes: bytes | None = None) -> pa.RecordBatch:
@@ -349,9 +348,9 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["key", "n", "id", "ids", "sizes"])
 
         def words_out() -> pa.RecordBatch:
-            size = len(counts)
-            out = rows(hashes_of(counts), np.fromiter(counts.values(), np.int64, size), np.fromiter(map(first.__getitem__, counts), np.int32, size))
-            counts.clear(), first.clear()
+            ids, at = subwords(list(counts))
+            out = rows(hashes_of(counts), np.fromiter(counts.values(), np.int64, len(counts)), ids[at[:-1]])
+            counts.clear()
             return out
 
         for whole in batches:
@@ -359,10 +358,8 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
                 streams = []
                 for text in batch.column(0):
                     words = (text.as_py() or b"").lower().split()
-                    ids, at = subwords(words)
                     counts.update(words)
-                    first.update(zip(words, ids[at].tolist(), strict=False))
-                    streams.append(ids)
+                    streams.append(subwords(words)[0])
                 texts += len(streams)
                 yield rows(np.zeros(1), np.zeros(1), np.zeros(1), np.concatenate(streams).tobytes(), np.array([len(x) for x in streams], np.int64).tobytes())
                 if len(counts) > HELD:
