@@ -14,8 +14,8 @@
    document holds enough terms are also compared with regions of their own length, laid where the terms'
    places in document and item agree.
 
-The benchmark is a fixed evaluation set; more than MAX_ITEMS items or MAX_TERMS terms raise an error, so
-what goes to the workers is bounded. Nothing else depends on the number of documents.
+The benchmark is a fixed evaluation set, taken in blocks of at most MAX_ITEMS items and MAX_TERMS terms, so what goes
+to the workers at a time is bounded. Nothing else depends on the number of documents.
 
 Defined results: null and empty texts match nothing, and so do items without words; null ids are kept;
 repeated rows are judged alike; empty tables give no match; further columns are ignored by
@@ -46,6 +46,8 @@ EVIDENCE = 3
 #: Rows of documents' terms by items that are counted at once.
 COUNTED = 2_000_000
 MAX_ITEMS, MAX_TERMS = 50_000, 100_000
+#: Partitions whose sums one task adds up.
+FAN = 64
 BENCHMARK_WEIGHT = 20
 PUNCTUATION = b".,;:!?\"'()[]{}*_`"
 
@@ -68,12 +70,20 @@ class Item:
     answer: list[bytes]
 
 
-def read_items(benchmark: DataFrame) -> list[Item]:
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter(F.length("text") > 0).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"the benchmark has more than {MAX_ITEMS} items")
-    items = [Item(r[0], words(r[1].encode()), answer_of(r[1])) for r in sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))]
-    return [x for x in items if x.words]
+def read_items(benchmark: DataFrame) -> Iterator[list[Item]]:
+    """The items with words, in blocks of about MAX_ITEMS items, or fewer if these have more than MAX_TERMS terms."""
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
+    blocks = -(-rows.count() // MAX_ITEMS)
+    for n in range(blocks):
+        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()
+        items = [Item(r[0], words(r[1].encode()), answer_of(r[1])) for r in sorted(own, key=lambda r: (r[0] is None, r[0], r[1]))]
+        waiting = [[x for x in items if x.words]]
+        while waiting:
+            block = waiting.pop()
+            if len(block) > 1 and len({w for x in block for w in x.words}) > MAX_TERMS:
+                waiting += [block[len(block) // 2 :], block[: len(block) // 2]]
+            elif block:
+                yield block
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 300) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -187,13 +197,14 @@ def distributed_gram(docs: DataFrame, index: dict[bytes, int]) -> np.ndarray:
         for term, row in zip(group["term"], group["row"], strict=True):
             value = np.frombuffer(row, "<i8")
             by[term] = by[term] + value if term in by else value
-        return pd.DataFrame({"term": list(by), "row": [v.tobytes() for v in by.values()]})
+        return pd.DataFrame({"term": list(by), "part": int(group["part"].iloc[0]), "row": [v.tobytes() for v in by.values()]})
 
     compact = materialize(_binary(docs).mapInArrow(places, "ids binary, blocks binary"), "places")
-    parts = compact.mapInArrow(partial, "term long, row binary").withColumn("salt", F.spark_partition_id() % 64)
-    block = (F.col("term") / 16).cast("long")
-    for keys in ([block.alias("block"), "salt"], [block.alias("block")]):
-        parts = parts.groupBy(*keys).applyInPandas(summed, "term long, row binary").withColumn("salt", F.lit(0))
+    parts = compact.mapInArrow(partial, "term long, row binary").withColumn("part", F.spark_partition_id())
+    block, left = (F.col("term") / 16).cast("long").alias("block"), compact.rdd.getNumPartitions()
+    while left > 1:  # a tree: no task gets more than FAN sums of a block of terms
+        left = -(-left // FAN)
+        parts = parts.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy(block, "part").applyInPandas(summed, "term long, part int, row binary")
     out = np.zeros((size, RANK))
     for term, row in parts.select("term", "row").toLocalIterator():  # a row for each benchmark term
         out[term] = np.frombuffer(row, "<i8")
@@ -229,6 +240,29 @@ def masks_of(item: list[bytes]) -> tuple[dict[bytes, int], int]:
     return masks, (1 << len(item)) - 1
 
 
+class Matcher:
+    """An item ready to be compared with regions of texts."""
+
+    def __init__(self, item: Item, subsequence: float) -> None:
+        self.item, self.whole, self.answer = item, masks_of(item.words), masks_of(item.answer)
+        self.names, self.least = {*item.words}, subsequence * len(item.words)
+        self.often = {w: n for w, n in Counter(item.words).items() if n > 1}
+
+    def possible(self, held: set[bytes]) -> bool:
+        """Whether a text or region of these words may hold enough of the item: a bound for the subsequence."""
+        shared = self.names & held
+        return len(shared) + sum(n - 1 for w, n in self.often.items() if w in held) >= self.least
+
+    def shares(self, region: list[bytes]) -> tuple[float, float]:
+        """Shares of the item's words and of its answer's that a region holds in order; (0, 0) where too few are there at all."""
+        if not self.possible({*region}):
+            return 0.0, 0.0
+        share = common_subsequence(*self.whole, region)
+        if share < self.least:
+            return 0.0, 0.0
+        return share / len(self.item.words), common_subsequence(*self.answer, region) / max(1, len(self.item.answer))
+
+
 @dataclass
 class Model:
     """What workers need to find leaks: bounded by the benchmark."""
@@ -241,8 +275,14 @@ class Model:
     subsequence: float
     answer: float
 
+    def matcher(self, k: int) -> Matcher:
+        if k not in self.matchers:
+            self.matchers[k] = Matcher(self.items[k], self.subsequence)
+        return self.matchers[k]
+
     def __post_init__(self) -> None:
         """The places of the terms of each item, the terms it needs, and the items of each term (``holders`` from ``ends``)."""
+        self.matchers: dict[int, Matcher] = {}
         self.places: list[dict[int, list[int]]] = []
         for x in self.items:
             at: dict[int, list[int]] = {}
@@ -256,13 +296,8 @@ class Model:
         self.ends = np.append(0, np.cumsum(np.bincount(terms, minlength=len(self.index))))
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, max_df: float = 0.0005, cosine: float = 0.3, subsequence: float = 0.65, answer: float = 0.5) -> Model:
-    items = read_items(benchmark)
-    if not items:
-        return Model([], {}, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), cosine, subsequence, answer)
+def fit(docs: DataFrame, items: list[Item], max_df: float = 0.0005, cosine: float = 0.3, subsequence: float = 0.65, answer: float = 0.5) -> Model:
     vocabulary = sorted({w for x in items for w in x.words})
-    if len(vocabulary) > MAX_TERMS:
-        raise ValueError(f"the benchmark has more than {MAX_TERMS} terms")
     counts, total = passage_counts(docs, {w: i for i, w in enumerate(vocabulary)})
     of = dict(zip(vocabulary, counts.tolist(), strict=True))
     kept = {w for w, n in of.items() if n <= max_df * total + 1}
@@ -296,8 +331,6 @@ def leaks(model: Model, texts: list[list[bytes]]) -> list[list[tuple]]:
     first = np.cumsum(-(-sizes // BLOCK) + 1) - (-(-sizes // BLOCK) + 1)
     best: dict[tuple[int, int], tuple] = {}
     bounds = parts_of(block)
-    prepared: dict[int, tuple] = {}
-    own: dict[int, set[int]] = {}
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         starts, sums = passage_sums(model.terms[ids[known[lo:hi]]], block[lo:hi])
         _, held = passage_sums(np.ones((hi - lo, 1), np.float32), block[lo:hi])
@@ -313,23 +346,13 @@ def leaks(model: Model, texts: list[list[bytes]]) -> list[list[tuple]]:
                 k_all, d = k + at, text_of[p]
                 if (found := best.get((d, k_all))) and found[2] >= 1:
                     continue
-                item = model.items[k_all]
-                if k_all not in own:
-                    own[k_all] = {i for w in item.words if (i := model.index.get(w)) is not None}
-                if len(own[k_all].intersection(terms[begins[p] : ends[p]])) < min(EVIDENCE, len(own[k_all])):
+                if len(model.places[k_all].keys() & terms[begins[p] : ends[p]]) < model.need[k_all]:
                     continue
-                if k_all not in prepared:
-                    prepared[k_all] = (*masks_of(item.words), *masks_of(item.answer))
-                masks, ones, answer_masks, answer_ones = prepared[k_all]
-                begin, length = (int(starts[p]) - int(first[d])) * BLOCK, len(item.words)
+                begin, length = (int(starts[p]) - int(first[d])) * BLOCK, len(model.items[k_all].words)
                 a, b = max(0, begin - length // 2 - BLOCK), min(len(texts[d]), begin + 2 * BLOCK + length // 2 + BLOCK)
-                region = texts[d][a:b]
-                share = common_subsequence(masks, ones, region) / length
-                if share < model.subsequence or (found and share <= found[2]):
-                    continue
-                answer = common_subsequence(answer_masks, answer_ones, region) / max(1, len(item.answer))
-                if answer >= model.answer:
-                    best[d, k_all] = (item.item_id, float(near[p, k]), share, answer, a, b)
+                share, answer = model.matcher(k_all).shares(texts[d][a:b])
+                if share and answer >= model.answer and (not found or share > found[2]):
+                    best[d, k_all] = (model.items[k_all].item_id, float(near[p, k]), share, answer, a, b)
     for key, match in long_matches(model, texts, ids, known, np.repeat(np.arange(len(texts)), sizes)[known], best):
         best[key] = match
     for (d, _), match in sorted(best.items()):
@@ -361,14 +384,18 @@ def long_matches(model: Model, texts: list[list[bytes]], ids: np.ndarray, known:
     """Matches in regions of the items' own lengths, for texts and items that have none in found."""
     begin = np.cumsum([0, *map(len, texts)])
     bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+    names, of = set(), -1
     for d, k in held_items(model, ids[known].astype(np.int64), text):
-        if (d, k) in found:
+        if d != of:
+            names, of = {*texts[d]}, d
+        matcher = model.matcher(k)
+        if (d, k) in found or not matcher.possible(names):
             continue
-        item, own, length = model.items[k], model.places[k], len(model.items[k].words)
+        own, length = model.places[k], len(model.items[k].words)
         terms = ids[known[bounds[d] : bounds[d + 1]]]
         at = known[bounds[d] : bounds[d + 1]] - begin[d]
         held = [(p, t) for p, t in zip(at.tolist(), terms.tolist(), strict=True) if t in own]
-        slack, best, masks = length // 4 + BLOCK, None, None
+        slack, best = length // 4 + BLOCK, None
         for start in sorted({(p - o) // BLOCK * BLOCK for p, t in held for o in own[t]}):
             a, b = max(0, start - slack), min(len(texts[d]), start + BLOCK + length + slack)
             if len({t for p, t in held if a <= p < b}) < model.need[k]:
@@ -378,45 +405,47 @@ def long_matches(model: Model, texts: list[list[bytes]], ids: np.ndarray, known:
             near = float(vector @ model.vectors[k]) / max(float(np.linalg.norm(vector)), 1e-9)
             if near < model.cosine:
                 continue
-            masks = masks or (masks_of(item.words), masks_of(item.answer))
-            share = common_subsequence(*masks[0], texts[d][a:b]) / length
-            if share < model.subsequence or (best and share <= best[2]):
-                continue
-            answer = common_subsequence(*masks[1], texts[d][a:b]) / max(1, len(item.answer))
-            if answer >= model.answer:
-                best = (item.item_id, near, share, answer, a, b)
+            share, answer = matcher.shares(texts[d][a:b])
+            if share and answer >= model.answer and (not best or share > best[2]):
+                best = (model.items[k].item_id, near, share, answer, a, b)
         if best:
             yield (d, k), best
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, cosine, subsequence, answer, first_word, last_word."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, benchmark, **options))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches, 1):
-            rows = [(i, *m) for i, found in zip(batch.column(0).to_pylist(), leaks(model.value, texts), strict=True) for m in found]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
-            names = ["doc_id", "item_id", "cosine", "subsequence", "answer", "first_word", "last_word"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
-
     kind = "doc_id long, item_id long, cosine double, subsequence double, answer double, first_word long, last_word long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, kind)
+    out = docs.sparkSession.createDataFrame([], kind)
+    for n, items in enumerate(read_items(benchmark)):
+        model = fit(docs, items, **options)  # goes to the workers with the function, by value
+
+        def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+            for batch, texts in _texts(batches, 1):
+                rows = [(i, *m) for i, found in zip(batch.column(0).to_pylist(), leaks(model, texts), strict=True) for m in found]
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+                names = ["doc_id", "item_id", "cosine", "subsequence", "answer", "first_word", "last_word"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, kind)
+        out = found if n == 0 else out.unionByName(found)
+    return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no item of the benchmark."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("text"), benchmark, **options))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 300):
-                batch = whole.slice(start, 300)
-                texts = [words((t.as_py() or "").encode()) for t in batch.column(at)]
-                yield batch.filter(pa.array([not m for m in leaks(model.value, texts)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    at, out = docs.columns.index("text"), docs
+    for items in read_items(benchmark):
+        model = fit(docs.select("text"), items, **options)
+
+        def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 300):
+                    batch = whole.slice(start, 300)
+                    texts = [words((t.as_py() or "").encode()) for t in batch.column(at)]
+                    yield batch.filter(pa.array([not m for m in leaks(model, texts)], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
