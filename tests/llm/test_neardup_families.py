@@ -39,3 +39,36 @@ def test_blocks_of_a_common_element(spark, monkeypatch):
     both = lambda a, b: len({*sets[a]} & {*sets[b]})
     want = {(a, b) for a in sets for b in sets if a < b and 100 * both(a, b) >= 80 * (60 - both(a, b))}
     assert want and want <= got and all(a < b for a, b in got)
+
+
+def test_crowds_of_near_pairs_lose_no_link(spark):
+    """8000 documents that share 300 words, in 4000 pairs of 0.85 or more; across pairs the similarity is below 0.8."""
+    rng = random.Random(53)
+    common, texts, n = " ".join(f"c{i}" for i in range(300)), {}, 0
+    for p in range(4000):
+        own = [f"u{n + i}" for i in range(rng.randrange(41, 50))]
+        n += 100
+        for k in range(2):
+            w = [*own]
+            for i in rng.sample(range(len(w)), 2) if k else []:
+                w[i] = f"x{n}y{i}"
+            texts[2 * p + k] = f"{common} {' '.join(w)}"
+    rows = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), 1).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - i % 2 for i in texts}
+
+
+def test_rows_that_repeat_a_doc_id(spark):
+    rows = [(1, "a b c d e f", 1), (1, "g h i j k l", 2), (1, "g h i j k l", 2), (2, "a b c d e f", 3), (3, "p q r s t u", 4), (3, None, 5), (None, "a b c d e f", 6), (None, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more long")
+    got = [sorted((r.doc_id or 0, r.text or "", r.more) for r in neardup.drop_near_duplicates(df.repartition(k)).collect()) for k in (1, 3)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [0, 0, 1, 3]
+    assert neardup.rows_of(df, spark.createDataFrame([(1,)], "doc_id long"), "left_semi").count() == 3
+
+
+def test_many_ids_are_shuffled(spark, monkeypatch):
+    df = spark.range(50).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 3)
+    ids = spark.range(0, 50, 5).selectExpr("id AS doc_id")
+    for how, n in (("left_semi", 10), ("left_anti", 40)):
+        out = neardup.rows_of(df, ids, how)
+        assert out.count() == n and "ResolvedHint" not in out._jdf.queryExecution().analyzed().toString()

@@ -17,12 +17,13 @@
    two sets can share. Elements of many documents are joined in blocks of SALTED by SALTED.
 7. Links become components by large-star and small-star steps.
 
-No bucket is capped and no candidate left out for a group's size. Bands of 4 rows: a pair of similarity 0.8
-shares none of 32 with probability 5e-8.
+No bucket is capped and no candidate left out for a group's size: what pivots of a crowded bucket miss, step 6 finds.
+Bands of 4 rows: a pair of similarity 0.8 shares none of 32 with probability 5e-8. Sets are equal when a 128-bit digest
+of their sorted 64-bit shingles is.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; a null doc_id is linked
-with nothing and kept; rows that repeat a doc_id are one node; an empty table gives an empty result;
+with nothing and kept; rows that repeat a doc_id are one node, whatever their texts; an empty table gives an empty result;
 further columns are ignored by ``near_duplicates`` and passed through by ``drop_near_duplicates``.
 """
 
@@ -32,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,6 +44,8 @@ from .shingles import WordHashes, mix, shingle_hashes
 HASHES, BANDS, BITS = 128, 32, 4
 SMALL, PIVOTS, DEPTH = 8, 2, 4
 MARGIN = 0.2
+#: Document ids up to which a set of them goes to every executor (some 40 bytes each there); beyond, rows are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Rows of an element that meet in one group of a join.
 SALTED = 1000
 SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>"
@@ -91,11 +95,11 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
             for text in batch.column(1):
                 s = shingle_hashes(text.as_py() or b"", width, known)
                 counts.append(len(s))
-                digests.append((mix(s).sum(dtype=np.uint64), mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys, planes = signature(s) if len(s) else (s, s)
                 bands.append(keys)
                 sigs.append(planes)
-            d = np.array(digests, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), _lists(bands), _lists(sigs)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "bands", "sig"])
 
@@ -183,10 +187,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
 
 
+def rows_of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of docs with (left_semi) or without (left_anti) the distinct ids(doc_id), their texts unmoved if ids are few."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """Materialised shingle sets of the documents in ids(doc_id)."""
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    return materialize(shingle_sets(wanted, width), "sets")
+    wanted = materialize(ids.select("doc_id").distinct(), "wanted")
+    return materialize(shingle_sets(rows_of(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "left_semi"), width), "sets")
 
 
 def prefix_candidates(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -263,10 +273,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document represents its group, one for each doc_id; rows without doc_id stay."""
-    kept = near_duplicates(docs, width, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return known.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of docs whose document represents its group; rows without doc_id stay.
+
+    Of rows that repeat a doc_id the one whose text has the smallest hash stays (any, if the texts are equal).
+    """
+    found = materialize(near_duplicates(docs, width, percent).filter("doc_id IS NOT NULL").select("doc_id", "kept"), "verdicts")
+    gone = materialize(found.filter("NOT kept").select("doc_id").distinct(), "gone")
+    again = materialize(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    left = rows_of(docs, gone, "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    several = rows_of(left, again, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text").withColumn("_n", F.row_number().over(one))
+    return rows_of(left, again, "left_anti").select(*docs.columns).unionByName(several.filter("_n = 1").select("row.*"))
 
 
 def op4_neardup(spark, sf_dir: str) -> DataFrame:
