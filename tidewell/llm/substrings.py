@@ -111,12 +111,18 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def spans_of(made: DataFrame, min_words: int) -> DataFrame:
     """One row per span of the materialised chunks: row, doc_id, start, end, n_words, n_chunks, first_doc_id, copies, duplicate."""
-    start = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0)).alias("start")
-    each = lambda *more: F.inline(F.transform("hi", lambda h, i: F.struct(h.alias("hi"), F.get("lo", i).alias("lo"), F.get("again", i).alias("again"), *[f(i) for f in more])))
-    counted = made.select("doc_id", each()).groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("inside"))
+    each = lambda *more: F.inline(F.transform("hi", lambda h, i: F.struct(h.alias("hi"), F.get("lo", i).alias("lo"), *[f(i) for f in more])))
+    again = lambda i: F.get("again", i).alias("again")
+    counted = made.select("doc_id", each(again)).groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("inside"))
     repeated = counted.filter("first < last OR inside").select("hi", "lo", "copies", "first")
-    rows = made.select("row", "doc_id", each(lambda i: i.alias("i"), start, lambda i: F.get("ends", i).alias("end"), lambda i: F.get("words", i).alias("words")))
-    found = rows.join(repeated, ["hi", "lo"]).withColumn("later", F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first")))
+    # Places travel as two numbers: start and end, and the chunk's number with its words and whether it stood in the text before.
+    start = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0)).cast("long")
+    span = lambda i: (F.shiftleft(start(i), 32) + F.get("ends", i)).alias("span")
+    place = lambda i: (F.shiftleft(i.cast("long"), 33) + F.shiftleft(F.get("words", i).cast("long"), 1) + F.get("again", i).cast("long")).alias("place")
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
+    found = made.select("row", "doc_id", each(span, place)).join(repeated, ["hi", "lo"])
+    found = found.withColumns({"i": F.shiftright("place", 33), "words": low(F.shiftright("place", 1)), "start": F.shiftright("span", 32), "end": low(F.col("span"))})
+    found = found.withColumn("later", (F.col("place").bitwiseAND(F.lit(1)) == 1) | ~F.col("doc_id").eqNullSafe(F.col("first")))
     w = Window.partitionBy("row").orderBy("i")
     same = Window.partitionBy("row", "first", "later").orderBy("i")
     runs = found.withColumn("run", F.col("i") - F.row_number().over(w)).withColumn("part", F.col("i") - F.row_number().over(same)).groupBy("row", "doc_id", "run", "first", "later", "part")
