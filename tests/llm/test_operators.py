@@ -538,7 +538,10 @@ def test_penalty_is_the_change_of_scores():
     sample = toxicity.sample_of(["the old man and he", "a muslim said", "nothing of the kind", "white men"], [1, 0, 1, 0], 2)
     assert sample.origin.tolist() == [0, 0, 1, 1, 3, 3]
     dense = lambda r: np.array([np.bincount(r.features[a:b], weights=r.values[a:b], minlength=1 << toxicity.BITS) for a, b in zip(r.ends, r.ends[1:], strict=False)])
-    x, c, w = dense(sample.rows), dense(sample.copies), np.append(rng.normal(0, 0.3, 1 << toxicity.BITS), 0.1)
+    x, w = dense(sample.rows), np.append(rng.normal(0, 0.3, 1 << toxicity.BITS), 0.1)
+    copies = [t for i, text in enumerate(["the old man and he", "a muslim said", "nothing of the kind", "white men"]) for t in toxicity.counterfactuals(text.split(), toxicity.swaps(), 2, i)]
+    c = dense(toxicity.rows_of(copies, toxicity.WordFeatures()))
+    assert np.allclose(x[sample.origin] + dense(sample.changes), c, atol=1e-6)
     weight = np.array([1.0, 2.0, 0.5, 1.0])
 
     def loss(w):
@@ -546,8 +549,8 @@ def test_penalty_is_the_change_of_scores():
         y = sample.labels
         return (weight * -(y * np.log(s) + (1 - y) * np.log(1 - s))).mean() + 3.0 * ((s[sample.origin] - z) ** 2).sum() / 4
 
-    grad = toxicity.loss_gradient(w, sample.rows, sample.labels, weight, sample.copies, sample.origin, 3.0)
-    for i in [*sample.rows.features[::4].tolist(), *sample.copies.features[::9].tolist(), -1]:
+    grad = toxicity.loss_gradient(w, sample.rows, sample.labels, weight, sample.changes, sample.origin, 3.0)
+    for i in [*sample.rows.features[::4].tolist(), *sample.changes.features[::3].tolist(), -1]:
         d = np.zeros_like(w)
         d[i] = 1e-4
         assert abs((loss(w + d) - loss(w - d)) / 2e-4 - grad[i]) < 1e-6

@@ -115,7 +115,21 @@ def rows_of(lists: list[list[str]], known: WordFeatures) -> Rows:
     row = np.repeat(np.arange(len(lists)), sizes)
     keys, at = np.unique((row << BITS) + np.array(parts, np.int64), return_inverse=True)
     counts = np.bincount(at, weights=np.array(times, np.float64), minlength=len(keys))
-    return Rows(keys & ((1 << BITS) - 1), np.log2(1 + counts), np.searchsorted(keys, np.arange(len(lists) + 1) << BITS))
+    return Rows((keys & ((1 << BITS) - 1)).astype(np.int32), np.log2(1 + counts).astype(np.float32), np.searchsorted(keys, np.arange(len(lists) + 1) << BITS))
+
+
+def changes_of(words: list[str], others: list[list[str]], known: WordFeatures) -> Rows:
+    """The features of other lists of words less those of the words: few, where few words differ."""
+    every = rows_of([words, *others], known)
+    own = dict(zip(every.features[: every.ends[1]].tolist(), every.values[: every.ends[1]].tolist(), strict=True))
+    features, values, ends = [], [], [0]
+    for a, b in zip(every.ends[1:-1], every.ends[2:], strict=True):
+        copy = dict(zip(every.features[a:b].tolist(), every.values[a:b].tolist(), strict=True))
+        moved = sorted(i for i in own.keys() | copy.keys() if own.get(i) != copy.get(i))
+        features += moved
+        values += [copy.get(i, 0.0) - own.get(i, 0.0) for i in moved]
+        ends.append(len(features))
+    return Rows(np.array(features, np.int32), np.array(values, np.float32), np.array(ends, np.int64))
 
 
 def counterfactuals(words: list[str], other: dict[str, list[str]], copies: int, salt: int) -> list[list[str]]:
@@ -145,33 +159,43 @@ class Model:
 
 @dataclass
 class Sample:
-    """Rows of a bounded sample with their labels, their copies with swapped terms, and the row of each copy."""
+    """Rows of a bounded sample with their labels, what changes in their copies with swapped terms, and the row of each copy."""
 
     rows: Rows
     labels: np.ndarray
-    copies: Rows
+    changes: Rows
     origin: np.ndarray
 
 
+def joined(parts: list[Rows]) -> Rows:
+    sizes = np.concatenate([np.empty(0, np.int64), *[np.diff(r.ends) for r in parts]])
+    flat = lambda name, kind: np.concatenate([np.empty(0, kind), *[getattr(r, name) for r in parts]])
+    return Rows(flat("features", np.int32), flat("values", np.float32), np.append(0, np.cumsum(sizes)).astype(np.int64))
+
+
 def sample_of(texts: list[str], labels: list[int], copies: int, salt: int = 0) -> Sample:
     known, other = WordFeatures(), swaps()
     lists = [words_of(t) for t in texts]
-    made = [(i, c) for i, w in enumerate(lists) for c in counterfactuals(w, other, copies, salt + i)]
-    return Sample(rows_of(lists, known), np.array(labels, np.float64), rows_of([c for _, c in made], known), np.array([i for i, _ in made], np.int64))
+    made = [counterfactuals(w, other, copies, salt + i) for i, w in enumerate(lists)]
+    changes = joined([changes_of(w, c, known) for w, c in zip(lists, made, strict=True) if c])
+    return Sample(rows_of(lists, known), np.array(labels, np.float64), changes, np.repeat(np.arange(len(made)), [len(c) for c in made]))
 
 
-def loss_gradient(w: np.ndarray, rows: Rows, labels: np.ndarray, weight: np.ndarray, copies: Rows, origin: np.ndarray, strength: float) -> np.ndarray:
-    """Gradient of the mean weighted log loss + strength * mean over rows of the squared changes of the score; the last of w is the bias."""
+def loss_gradient(w: np.ndarray, rows: Rows, labels: np.ndarray, weight: np.ndarray, changes: Rows, origin: np.ndarray, strength: float) -> np.ndarray:
+    """Gradient of the mean weighted log loss + strength * mean over rows of the squared changes of the score; the last of w is the bias.
+
+    A copy is its row and the changes, so its part of the gradient is put on the row's features and on the changes.
+    """
     n, out = max(1, len(labels)), np.zeros_like(w)
-    score = sigmoid(rows.times(w) + w[-1])
+    z = rows.times(w) + w[-1]
+    score = sigmoid(z)
     error = weight * (score - labels) / n
     if len(origin) and strength:
-        swapped = sigmoid(copies.times(w) + w[-1])
+        swapped = sigmoid(z[origin] + changes.times(w))
         change = 2 * strength * (score[origin] - swapped) / n
-        error = error + np.bincount(origin, weights=change * score[origin] * (1 - score[origin]), minlength=len(labels))
-        back = -change * swapped * (1 - swapped)
-        copies.add(out, back)
-        out[-1] += back.sum()
+        back = change * swapped * (1 - swapped)
+        error = error + np.bincount(origin, weights=change * score[origin] * (1 - score[origin]) - back, minlength=len(labels))
+        changes.add(out, -back)
     rows.add(out, error)
     out[-1] += error.sum()
     return out
@@ -184,8 +208,12 @@ def fit(sample: Sample, balance: float = 0.5, ridge: float = 0.0005, strength: f
     if not 0 < share < 1:
         return Model(np.zeros(1 << BITS, np.float32), 40.0 if share == 1 else -40.0)
     # Only the features of the sample move; they are numbered anew.
-    used = np.unique(np.concatenate([sample.rows.features, sample.copies.features]))
-    rows, copies = (Rows(np.searchsorted(used, x.features), x.values, x.ends) for x in (sample.rows, sample.copies))
+    number = np.zeros(1 << BITS, np.int32)
+    for x in (sample.rows, sample.changes):
+        number[x.features] = 1
+    used = np.flatnonzero(number)
+    number[used] = np.arange(len(used))
+    rows, changes = (Rows(number[x.features], x.values, x.ends) for x in (sample.rows, sample.changes))
     weight = np.where(y == 1, ((1 - share) / share) ** balance, 1.0)
     weight /= weight.mean()
     w = np.zeros(len(used) + 1)
@@ -197,7 +225,7 @@ def fit(sample: Sample, balance: float = 0.5, ridge: float = 0.0005, strength: f
             part = np.sort(order[at : at + batch])
             # Copies go with their rows.
             held = np.flatnonzero(np.isin(sample.origin, part))
-            grad = loss_gradient(w, rows.part(part), y[part], weight[part], copies.part(held), np.searchsorted(part, sample.origin[held]), strength)
+            grad = loss_gradient(w, rows.part(part), y[part], weight[part], changes.part(held), np.searchsorted(part, sample.origin[held]), strength)
             grad[:-1] += 2 * ridge * w[:-1]
             t += 1
             m += 0.1 * (grad - m)
@@ -219,19 +247,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, copies: i
         for batch in batches:
             for doc_id, text, label in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 found = sample_of([text.as_py()], [label], copies, doc_id)
-                parts = [x.astype(kind).tobytes() for r in (found.rows, found.copies) for x, kind in ((r.features, "<i4"), (r.values, "<f4"), (r.ends, "<i4"))]
+                parts = [x.tobytes() for r in (found.rows, found.changes) for x in (r.features, r.values, r.ends)]
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([label], pa.int32()), *[pa.array([p], pa.binary()) for p in parts]], names=["doc_id", "toxic", *"abcdef"])
 
     kind = "doc_id long, toxic int, a binary, b binary, c binary, d binary, e binary, f binary"
     found = texts.mapInArrow(features, kind).toPandas().sort_values(["doc_id", "a"], kind="stable")
-
-    def joined(a: str, b: str, c: str) -> Rows:
-        sizes = np.concatenate([np.empty(0, np.int64), *[np.diff(np.frombuffer(x, "<i4")) for x in found[c]]])
-        flat = lambda name, kind: np.frombuffer(b"".join(found[name]), kind)
-        return Rows(flat(a, "<i4").astype(np.int64), flat(b, "<f4").astype(np.float64), np.append(0, np.cumsum(sizes)).astype(np.int64))
-
-    origin = np.repeat(np.arange(len(found)), [len(x) // 4 - 1 for x in found["f"]])
-    return Sample(joined("a", "b", "c"), found["toxic"].to_numpy(np.float64), joined("d", "e", "f"), origin)
+    kinds = (np.int32, np.float32, np.int64)
+    parts = [joined([Rows(*(np.frombuffer(x, kind) for x, kind in zip(r, kinds, strict=True))) for r in zip(*(found[c] for c in names), strict=True)]) for names in ("abc", "def")]
+    origin = np.repeat(np.arange(len(found)), [len(x) // 8 - 1 for x in found["f"]])
+    return Sample(parts[0], found["toxic"].to_numpy(np.float64), parts[1], origin)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, copies: int = 3, **options) -> DataFrame:
