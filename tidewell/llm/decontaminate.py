@@ -24,6 +24,7 @@ repeated rows are judged alike; empty tables give no match; further columns are
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -290,6 +291,7 @@ class Model:
                 if (t := self.index.get(w)) is not None:
                     at.setdefault(t, []).append(i)
             self.places.append(at)
+        self.terms_of = [{*at} for at in self.places]
         self.need = np.array([max(1, min(EVIDENCE, len(at))) for at in self.places], np.int64)
         terms = np.array([t for at in self.places for t in at], np.int64)
         self.holders = np.repeat(np.arange(len(self.items)), np.array([len(at) for at in self.places], np.int64))[np.argsort(terms, kind="stable")]
@@ -330,7 +332,7 @@ def leaks(model: Model, texts: list[list[bytes]]) -> list[list[tuple]]:
     block = block_numbers(sizes)[known]
     first = np.cumsum(-(-sizes // BLOCK) + 1) - (-(-sizes // BLOCK) + 1)
     best: dict[tuple[int, int], tuple] = {}
-    bounds = parts_of(block)
+    bounds, need = parts_of(block), model.need.tolist()
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         starts, sums = passage_sums(model.terms[ids[known[lo:hi]]], block[lo:hi])
         _, held = passage_sums(np.ones((hi - lo, 1), np.float32), block[lo:hi])
@@ -339,6 +341,7 @@ def leaks(model: Model, texts: list[list[bytes]]) -> list[list[tuple]]:
         terms = ids[known[lo:hi]].tolist()
         begins, ends = np.searchsorted(block[lo:hi], starts).tolist(), np.searchsorted(block[lo:hi], starts + 1, side="right").tolist()
         text_of = (np.searchsorted(first, starts + 1, side="right") - 1).tolist()
+        names: dict[int, set[int]] = {}  # the terms of a passage that is near some item
         sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         for at in range(0, len(model.items), 4096):
             near = sums @ model.vectors[at : at + 4096].T
@@ -346,7 +349,9 @@ def leaks(model: Model, texts: list[list[bytes]]) -> list[list[tuple]]:
                 k_all, d = k + at, text_of[p]
                 if (found := best.get((d, k_all))) and found[2] >= 1:
                     continue
-                if len(model.places[k_all].keys() & terms[begins[p] : ends[p]]) < model.need[k_all]:
+                if p not in names:
+                    names[p] = {*terms[begins[p] : ends[p]]}
+                if len(names[p]) < need[k_all] or len(names[p] & model.terms_of[k_all]) < need[k_all]:
                     continue
                 begin, length = (int(starts[p]) - int(first[d])) * BLOCK, len(model.items[k_all].words)
                 a, b = max(0, begin - length // 2 - BLOCK), min(len(texts[d]), begin + 2 * BLOCK + length // 2 + BLOCK)
@@ -384,21 +389,25 @@ def long_matches(model: Model, texts: list[list[bytes]], ids: np.ndarray, known:
     """Matches in regions of the items' own lengths, for texts and items that have none in found."""
     begin = np.cumsum([0, *map(len, texts)])
     bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-    names, of = set(), -1
+    names, of, terms_of = set(), -1, -1
     for d, k in held_items(model, ids[known].astype(np.int64), text):
         if d != of:
             names, of = {*texts[d]}, d
         matcher = model.matcher(k)
         if (d, k) in found or not matcher.possible(names):
             continue
-        own, length = model.places[k], len(model.items[k].words)
-        terms = ids[known[bounds[d] : bounds[d + 1]]]
-        at = known[bounds[d] : bounds[d + 1]] - begin[d]
-        held = [(p, t) for p, t in zip(at.tolist(), terms.tolist(), strict=True) if t in own]
+        if d != terms_of:
+            terms = ids[known[bounds[d] : bounds[d + 1]]]
+            at = known[bounds[d] : bounds[d + 1]] - begin[d]
+            listed, terms_of = list(zip(at.tolist(), terms.tolist(), strict=True)), d
+        own, length, need = model.places[k], len(model.items[k].words), int(model.need[k])
+        held = [x for x in listed if x[1] in own]
+        places = [p for p, _ in held]
         slack, best = length // 4 + BLOCK, None
         for start in sorted({(p - o) // BLOCK * BLOCK for p, t in held for o in own[t]}):
             a, b = max(0, start - slack), min(len(texts[d]), start + BLOCK + length + slack)
-            if len({t for p, t in held if a <= p < b}) < model.need[k]:
+            lo, hi = bisect.bisect_left(places, a), bisect.bisect_left(places, b)
+            if hi - lo < need or len({t for _, t in held[lo:hi]}) < need:
                 continue
             lo, hi = np.searchsorted(at, [start, start + BLOCK + length])
             vector = model.terms[terms[lo:hi]].sum(axis=0)
