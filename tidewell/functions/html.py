@@ -6,6 +6,7 @@ p and li, raw-text script and style, entities, unclosed tags. Everything after e
 
 from __future__ import annotations
 
+import bisect
 import re
 from html.parser import HTMLParser
 
@@ -35,10 +36,17 @@ def clean(text: str) -> str:
 
 
 class Element:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "below", "children", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        #: Whether an ancestor (not the element itself) is navigation or the like.
+        self.below = parent is not None and (parent.below or parent.boilerplate())
+
+    def boilerplate(self) -> bool:
+        """Whether this element is navigation or the like, by tag, class or id."""
+        marks = f"{self.attrs.get('class', '')}\n{self.attrs.get('id', '')}".lower()
+        return self.tag in BOILERPLATE_TAGS or any(w in marks for w in BOILERPLATE_WORDS)
 
     def walk(self):
         """Elements below this one in document order."""
@@ -116,23 +124,42 @@ def parse(html: str) -> Element:
     return builder.root
 
 
-def boilerplate(e: Element) -> bool:
-    """Whether an ancestor (not the element itself) is navigation or the like, by tag, class or id."""
-    for a in e.ancestors():
-        marks = f"{a.attrs.get('class', '')}\n{a.attrs.get('id', '')}".lower()
-        if a.tag in BOILERPLATE_TAGS or any(w in marks for w in BOILERPLATE_WORDS):
-            return True
-    return False
+def text_sizes(tree: Element) -> dict[int, int]:
+    """Bytes of the texts of each element (by id) joined by spaces and stripped, all by one walk."""
+    pieces: list[str] = []
+    spans: list[tuple[Element, int, int]] = []
+    stack: list = [(tree, None)]
+    while stack:
+        e, begin = stack.pop()
+        if isinstance(e, str):
+            pieces.append(e)
+        elif begin is None:
+            stack.append((e, len(pieces)))
+            stack.extend((c, None) for c in reversed(e.children))
+        else:
+            spans.append((e, begin, len(pieces)))
+    total, full = [0], [i for i, p in enumerate(pieces) if p.strip()]
+    for p in pieces:
+        total.append(total[-1] + len(p.encode()) + 1)
+    out = {}
+    for e, a, b in spans:
+        lo, hi = bisect.bisect_left(full, a), bisect.bisect_left(full, b) - 1
+        if lo > hi:
+            out[id(e)] = 0
+            continue
+        first, last = pieces[full[lo]], pieces[full[hi]]
+        out[id(e)] = total[full[hi] + 1] - total[full[lo]] - 1 - len(first.encode()) + len(first.lstrip().encode()) - len(last.encode()) + len(last.rstrip().encode())
+    return out
 
 
 def main_root(tree: Element) -> Element | None:
     best, most = None, -1
-    elements = list(tree.walk())
+    elements, sizes = list(tree.walk()), text_sizes(tree)
     for kind, value, bonus in ROOTS:
         for e in elements:
-            if not (e.tag == value if kind == "tag" else e.has_class(value) if kind == "class" else e.attrs.get(kind) == value) or boilerplate(e):
+            if not (e.tag == value if kind == "tag" else e.has_class(value) if kind == "class" else e.attrs.get(kind) == value) or e.below:
                 continue
-            score = len(" ".join(e.texts()).strip().encode()) + bonus
+            score = sizes[id(e)] + bonus
             if score > most:
                 best, most = e, score
     return best
@@ -141,7 +168,7 @@ def main_root(tree: Element) -> Element | None:
 def blocks_of(root: Element) -> list[str]:
     out: list[str] = []
     for e in root.walk():
-        if e.tag in BLOCKS and not boilerplate(e) and (text := e.text()):
+        if e.tag in BLOCKS and not e.below and (text := e.text()):
             block = BLOCKS[e.tag] + text
             if not out or out[-1] != block:
                 out.append(block)
@@ -154,12 +181,13 @@ def _visible(root: Element) -> str:
 
 
 def _texts_without(root: Element, skip: tuple[str, ...]) -> list[str]:
-    out: list[str] = []
-    for c in root.children:
-        if isinstance(c, str):
-            out.append(c)
-        elif c.tag not in skip:
-            out.extend(_texts_without(c, skip))
+    out, stack = [], list(reversed(root.children))
+    while stack:
+        e = stack.pop()
+        if isinstance(e, str):
+            out.append(e)
+        elif e.tag not in skip:
+            stack.extend(reversed(e.children))
     return out
 
 

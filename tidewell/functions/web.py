@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from ipaddress import ip_network
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,18 +36,55 @@ def url_path(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
+#: Loopback, private and link-local ranges of IPv4, the unspecified and the broadcast address.
+PRIVATE = tuple(
+    (int(ip_network(n)[0]), int(ip_network(n)[-1]))
+    for n in ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "0.0.0.0/32", "255.255.255.255/32")
+)
+
+
+def ipv4(host: Column) -> Column:
+    """The address that a numeric host names, as a number: one to four decimal, octal or hexadecimal parts, the last
+    of which fills what is left; null for what is no address."""
+    parts = F.split(host, r"\.")
+
+    def value(p: Column) -> Column:
+        return (
+            F.when(p.rlike("^0x[0-9a-f]{0,16}$"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 16)), 16, 10))
+            .when(p.rlike("^0[0-7]{0,20}$"), F.conv(p, 8, 10))
+            .when(p.rlike("^[1-9][0-9]{0,17}$"), p)
+            .try_cast("long")
+        )
+
+    values = F.transform(parts, value)
+    rest = F.size(parts) - 1
+    head = F.slice(values, F.lit(1), rest)
+    fits = (F.size(parts) <= 4) & ~F.exists(values, lambda v: v.isNull()) & F.forall(head, lambda v: v < 256)
+    last = F.get(values, rest)
+    most = F.pow(F.lit(256.0), F.lit(4) - rest)
+    leading = F.aggregate(F.transform(head, lambda v, i: v * F.pow(F.lit(256.0), F.lit(3) - i).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    return F.when(fits & (last >= 0) & (last < most), leading + last)
+
+
 def url_error(url: Column) -> Column:
-    """Why a URL must not be fetched, or null: other schemes, private, loopback and link-local hosts."""
-    scheme, host = F.lower(_part(url, _URL, 1)), F.lower(_part(url, _URL, 2))
-    private = r"^(127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.|0\.0\.0\.0$|255\.255\.255\.255$)"
-    v4 = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    v6 = host.isin("[::1]", "[::]", "[0:0:0:0:0:0:0:1]", "[0:0:0:0:0:0:0:0]")
-    name = (host == "localhost") | host.endswith(".local") | host.endswith(".internal")
+    """Why a URL must not be fetched, or null: other schemes, private, loopback and link-local hosts.
+
+    Hosts are taken as a browser takes them: decoded, without a final dot, and numbers in any notation are addresses.
+    """
+    scheme, raw = F.lower(_part(url, _URL, 1)), _part(url, _URL, 2)
+    host = F.regexp_replace(F.lower(F.coalesce(F.try_url_decode(raw), raw)), r"\.$", "")
+    numeric = host.rlike(r"(^|\.)(\d+|0x[0-9a-f]*)$")
+    address = ipv4(host)
+    private = [(address >= F.lit(first)) & (address <= F.lit(last)) for first, last in PRIVATE]
+    zeros = F.regexp_replace(host, r"^\[|\]$", "")
+    v6 = host.startswith("[") & (zeros.rlike(r"^[0:]*:0*1?$") | zeros.rlike(r"^[0:]*:0*\.0*\.0*\.0*[01]$"))
+    name = host.rlike(r"(^|\.)(local|internal)$") & host.contains(".") | (host == "localhost")
     return (
         F.when(url.isNull() | (scheme == ""), F.lit("not a URL"))
         .when(~scheme.isin("http", "https"), F.concat(F.lit("unsupported scheme: "), scheme))
         .when(host == "", F.lit("no host"))
-        .when(v4 & host.rlike(private), F.concat(F.lit("private address: "), host))
+        .when(numeric & address.isNull(), F.concat(F.lit("not an address: "), host))
+        .when(numeric & reduce(lambda a, b: a | b, private), F.concat(F.lit("private address: "), host))
         .when(v6, F.concat(F.lit("private address: "), host))
         .when(name, F.concat(F.lit("private domain: "), host))
     )

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DuplicateEntry, ForeignKeyError, NotFound
 from ..functions.text import count_words
+from ..lineage import materialize
+from .graph import components
 
 _S, _L, _I, _D = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
 
@@ -56,8 +59,12 @@ def high_water(state: DataFrame) -> DataFrame:
 
 
 def with_ids(state: DataFrame, delta: DataFrame, *order: str) -> DataFrame:
-    """New ids after the largest of the state, in the given order: counted per range and summed, not in one task."""
+    """New ids after the largest of the state, in the given order: counted per range and summed, not in one task.
+
+    The numbered ranges are written once, so a task that runs again can't number its rows otherwise.
+    """
     parts = delta.drop("id").repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
+    parts = materialize(parts, "numbered")
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_size"), F.min("_n").alias("_first"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_size")  # a row for each partition
     top = state.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -235,38 +242,62 @@ def remove_feed(state: dict[str, DataFrame], feed_id: int) -> dict[str, DataFram
 # ------------------------------------------------------------------ articles
 
 
-def first_of_keys(rows: DataFrame, order: list[str], keys: list[list[str]], checkpoint=None, rounds: int = 100) -> DataFrame:
+def first_of_keys(rows: DataFrame, order: list[str], keys: list[list[str]], checkpoint=materialize, rounds: int = 3) -> DataFrame:
     """The rows that inserting one after another would keep: a row is kept if no kept row before it shares a key.
 
     A key with a null part is no key. Rows first in all their groups are kept, what clashes with them is dropped,
-    and this repeats on the rest: the result is that of the sequence. ``checkpoint`` cuts the lineage of a round.
+    and this repeats on the rest: the result is that of the sequence. What is left after ``rounds`` rounds are chains
+    of rows that clash by one key and another; each chain is gone through in order. ``checkpoint`` cuts the lineage.
     """
-    cut = checkpoint or (lambda df: df)
-    ordinal = F.struct(*order).alias("_o")
-    left, kept = cut(rows.withColumn("_o", ordinal)), None
+    whole = [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key]) for key in keys]
+    left, kept = checkpoint(rows.withColumn("_o", F.struct(*order))), None
     for _ in range(rounds):
         if left.isEmpty():
             break
         marked = left
-        whole = [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key]) for key in keys]
         for n, key in enumerate(keys):
             firsts = left.filter(whole[n]).groupBy(*key).agg(F.min("_o").alias(f"_f{n}"))
             marked = marked.join(firsts, key, "left")
         first = reduce(lambda a, b: a & b, [~w | (F.col("_o") == F.col(f"_f{n}")) for n, w in enumerate(whole)])
-        now = cut(marked.filter(first).select(*left.columns))
+        now = checkpoint(marked.filter(first).select(*left.columns))
         kept = now if kept is None else kept.unionByName(now)
         rest = left.join(now.select("_o"), "_o", "left_anti")
         for key in keys:
             rest = rest.join(now.select(*key), key, "left_anti")
-        left = cut(rest.select(*left.columns))
-    out = kept if kept is not None else left
+        left = checkpoint(rest.select(*left.columns))
+    if not left.isEmpty():
+        left = _chains_in_order(left, keys, whole, checkpoint)
+    out = left if kept is None else kept.unionByName(left)
     return out.drop("_o").select(*rows.columns)
 
 
+def _chains_in_order(rows: DataFrame, keys: list[list[str]], whole: list[Column], checkpoint) -> DataFrame:
+    """first_of_keys of chains: rows joined by keys are one group, and a group is gone through by ``_o``."""
+    texts = [F.when(w, F.to_json(F.struct(*key))).alias(f"_k{n}") for n, (w, key) in enumerate(zip(whole, keys, strict=True))]
+    named = checkpoint(rows.withColumn("_id", F.monotonically_increasing_id()).select("*", *texts))
+    each = named.select("_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"_k{n}").alias("k")) for n in range(len(keys))])).alias("x")).filter("x.k IS NOT NULL").select("_id", "x")
+    links = each.join(each.groupBy("x").agg(F.min("_id").alias("b")), "x").select(F.col("_id").alias("a"), "b").filter("a <> b")
+    chains = components(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), checkpoint=checkpoint)
+    numbered = named.join(chains.select(F.col("node").alias("_id"), "component"), "_id", "left").withColumn("_c", F.coalesce("component", "_id"))
+    numbered = numbered.select("_c", "_id", F.row_number().over(Window.partitionBy("_c").orderBy("_o")).alias("_n"), *[f"_k{n}" for n in range(len(keys))])
+
+    def run(chain: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for row in chain.sort_values("_n").itertuples(index=False):
+            own = [(n, k) for n, k in enumerate(row[3:]) if k is not None]
+            if taken.isdisjoint(own):
+                taken.update(own)
+                out.append(row[1])
+        return pd.DataFrame({"_id": pd.Series(out, dtype="int64")})
+
+    kept = numbered.groupBy("_c").applyInPandas(run, "_id long")
+    return checkpoint(named.join(kept, "_id", "left_semi").select(*rows.columns))
+
+
 ARTICLE_KEYS = [["url"], ["feed_id", "guid"]]
 
 
-def insert_articles(articles: DataFrame, delta: DataFrame, as_of: str, order: str = "ordinal", checkpoint=None) -> DataFrame:
+def insert_articles(articles: DataFrame, delta: DataFrame, as_of: str, order: str = "ordinal", checkpoint=materialize) -> DataFrame:
     """Appends the rows of delta(ordinal, feed_id, guid, url, title, ...) that clash with nothing; the rest is ignored."""
     fresh = delta
     for key in ARTICLE_KEYS:

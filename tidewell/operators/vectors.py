@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +27,18 @@ def top_k(vectors: DataFrame, query: list[float], k: int, digits: int = 6) -> Da
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """query_id, vec_id, similarity and rank of the k nearest of each row of a stated query set, not itself.
 
-    The query set is checked to be small enough (MAX_QUERIES) and goes to every worker, which compares it with its
-    rows in blocks and passes on k candidates a query; a window over these picks the k best.
+    The query set goes to every worker in blocks of about MAX_QUERIES; a worker compares a block with its rows and
+    passes on k candidates a query; a window over these picks the k best.
     """
-    rows = queries.select("vec_id", "embedding").limit(MAX_QUERIES + 1).toPandas()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    import numpy as np
+    blocks = -(-queries.count() // MAX_QUERIES)
+    if blocks > 1:
+        number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_neighbours(vectors, queries.filter(number == n), k, digits) for n in range(blocks)])
+    return _neighbours(vectors, queries, k, digits)
+
 
+def _neighbours(vectors: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    rows = queries.select("vec_id", "embedding").toPandas()
     ids = rows["vec_id"].to_numpy(np.int64)
     q = np.array(rows["embedding"].tolist(), np.float64).reshape(len(rows), -1)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_page_date, rfc3339
 from ..functions.text import header, strip_html_tags
+from ..lineage import materialize
 from ..operators import store
 
 RESPONSES = "feed_id long, request_url string, final_url string, status int, headers map<string,string>, body string"
@@ -77,16 +78,24 @@ def entry_articles(parsed: DataFrame) -> DataFrame:
     return made.filter("url IS NOT NULL")
 
 
-def fetch_all(state: dict[str, DataFrame], responses: DataFrame, as_of: str, checkpoint=None) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    """One round over the active feeds: the new state, a one-row summary, and the errors (feed_id, kind, message)."""
+def fetch_all(state: dict[str, DataFrame], responses: DataFrame, as_of: str, checkpoint=materialize) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """One round over the active feeds: the new state, a one-row summary, and the errors (feed_id, kind, message).
+
+    A move to a URL that another feed has, or that one of a smaller id moves to, fails that feed alone.
+    """
     active = responses.join(state["feeds"].filter("active = 1").select(F.col("id").alias("feed_id")), "feed_id", "left_semi")
     done = parse_feeds(outcomes(active))
-    kind = F.when((F.col("outcome") == "ok") & F.col("parsed").isNull(), "parse_error").otherwise(F.col("outcome"))
-    done = done.withColumn("kind", kind)
-    failed = F.col("kind").isin("rate_limited", "http_error", "parse_error")
-    message = F.when(F.col("kind") == "rate_limited", F.concat(F.lit("rate limited, retry after "), F.col("retry_after"), F.lit(" s"))).when(F.col("kind") == "http_error", F.concat(F.lit("HTTP "), F.col("status"))).when(F.col("kind") == "parse_error", F.lit("not a feed"))
+    taken = state["feeds"].select(F.col("id").alias("_owner"), F.col("url").alias("_url")).unionByName(done.filter("new_url IS NOT NULL").select(F.col("feed_id").alias("_owner"), F.col("new_url").alias("_url")))
+    first = taken.groupBy("_url").agg(F.min("_owner").alias("_first"), F.max("_owner").alias("_last"))
+    had = state["feeds"].select(F.col("url").alias("_url"), F.col("id").alias("_has"))
+    done = done.join(first.join(had, "_url", "left"), F.col("new_url") == F.col("_url"), "left")
+    clash = F.col("_url").isNotNull() & F.when(F.col("_has").isNotNull(), F.col("_has") != F.col("feed_id")).otherwise(F.col("_first") != F.col("feed_id"))
+    kind = F.when(clash, "duplicate_url").when((F.col("outcome") == "ok") & F.col("parsed").isNull(), "parse_error").otherwise(F.col("outcome"))
+    done = checkpoint(done.withColumn("kind", kind).withColumn("new_url", F.when(~clash, F.col("new_url"))).drop("_url", "_first", "_last", "_has"))
+    failed = F.col("kind").isin("rate_limited", "http_error", "parse_error", "duplicate_url")
+    message = F.when(F.col("kind") == "rate_limited", F.concat(F.lit("rate limited, retry after "), F.col("retry_after"), F.lit(" s"))).when(F.col("kind") == "http_error", F.concat(F.lit("HTTP "), F.col("status"))).when(F.col("kind") == "parse_error", F.lit("not a feed")).when(F.col("kind") == "duplicate_url", F.concat(F.lit("another feed has the URL "), F.col("final_url")))
     feeds = store.update_feed_url(state["feeds"], done.filter("new_url IS NOT NULL").select(F.col("feed_id").alias("id"), F.col("new_url").alias("url")))
-    feeds = store.update_http_cache(feeds, done.filter("outcome = 'ok'").select(F.col("feed_id").alias("id"), "etag", "last_modified"))
+    feeds = store.update_http_cache(feeds, done.filter("outcome = 'ok' AND kind <> 'duplicate_url'").select(F.col("feed_id").alias("id"), "etag", "last_modified"))
     feeds = store.update_feed(feeds, done.filter("kind = 'ok'").select(F.col("feed_id").alias("id"), "parsed.title", "parsed.description", "parsed.site_url"), as_of)
     feeds = store.update_poll_status(feeds, done.select(F.col("feed_id").alias("id"), (~failed).alias("success"), message.alias("message")), as_of)
     articles = store.insert_articles(state["articles"], entry_articles(done.filter("kind = 'ok'")), as_of, checkpoint=checkpoint)
