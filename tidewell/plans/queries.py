@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.web import domain_key, robots_allow, robots_rules, url_path
-from ..operators import graph, search, store, vectors
+from ..lineage import fresh_path
+from ..operators import embed, graph, search, store, vectors
 from ..sources import domain
+from ..sources.feeds import fetch_all
 from ..sources.pages import extract_pages
 
 QUERIES: dict = {}
@@ -222,13 +224,87 @@ def dedupe_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return domain.articles(spark, d).groupBy("content_hash").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
 
 
-@query("insert_or_ignore", "+n AS (SELECT min(id) AS id FROM articles GROUP BY content_hash) SELECT a.id AS ordinal, a.content_hash AS guid FROM articles a JOIN n ON n.id = a.id WHERE a.id >= 100 AND a.content_hash NOT IN (SELECT content_hash FROM articles WHERE id < 100)", "articles")
+_NOW = "2024-06-01 00:00:00"
+
+
+@query("insert_or_ignore", "+n AS (SELECT min(id) AS id FROM articles GROUP BY content_hash), fresh AS (SELECT a.id AS ordinal, a.content_hash AS guid FROM articles a JOIN n ON n.id = a.id WHERE a.id >= 100 AND a.content_hash NOT IN (SELECT content_hash FROM articles WHERE id < 100)) SELECT 99 + row_number() OVER (ORDER BY ordinal) AS id, guid, 'doc ' || ordinal AS title, CAST(0 AS INTEGER) AS content_extracted FROM fresh", "articles")
 def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
     """Articles from 100 on are offered by content hash; those below are there already, and the first of a hash wins."""
-    a = domain.articles(spark, d).select(F.col("id").alias("ordinal"), F.lit(1).cast("long").alias("feed_id"), F.col("content_hash").alias("guid"), "url")
-    have, offered = a.filter("ordinal < 100"), a.filter("ordinal >= 100")
-    fresh = offered.join(have.select("guid"), "guid", "left_anti")
-    return store.first_of_keys(fresh, ["ordinal"], store.ARTICLE_KEYS).select("ordinal", "guid")
+    a = domain.articles(spark, d)
+    hashed = a.withColumns({"feed_id": F.lit(1).cast("long"), "guid": F.col("content_hash")})
+    have = store.shaped(hashed.filter("id < 100"), store.ARTICLES, "articles", _NOW)
+    offered = hashed.filter("id >= 100").select(F.col("id").alias("ordinal"), "feed_id", "guid", "url", F.concat(F.lit("doc "), F.col("id")).alias("title"))
+    return store.insert_articles(have, offered, _NOW).filter("id >= 100").select("id", "guid", "title", "content_extracted")
+
+
+def _feeds(spark: SparkSession, d: str) -> DataFrame:
+    return store.shaped(domain.feeds(spark, d), store.FEEDS, "feeds", "2024-01-01 00:00:00")
+
+
+@query("add_feed", "SELECT id, url, title, poll_interval_minutes, active FROM feeds UNION ALL SELECT max(id) + 1, 'https://feed/new', 'New', 30, 1 FROM feeds", "feeds")
+def add_feed(spark: SparkSession, d: str) -> DataFrame:
+    return store.add_feed(_feeds(spark, d), "https://feed/new", "New", _NOW).select("id", "url", "title", "poll_interval_minutes", "active")
+
+
+@query("update_feed", "SELECT id, CASE WHEN id % 2 = 0 THEN 'New ' || id ELSE title END AS title, CASE WHEN id % 4 = 0 THEN 'https://site/' || id END AS site_url, CASE WHEN id % 2 = 0 THEN '2024-06-01 00:00:00' ELSE '2024-01-01 00:00:00' END AS updated_at FROM feeds", "feeds")
+def update_feed(spark: SparkSession, d: str) -> DataFrame:
+    f = _feeds(spark, d)
+    delta = f.filter("id % 2 = 0").select("id", F.concat(F.lit("New "), F.col("id")).alias("title"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://site/"), F.col("id"))).alias("site_url"))
+    return store.update_feed(f, delta, _NOW).select("id", "title", "site_url", "updated_at")
+
+
+@query("update_poll_status", "SELECT id, CASE WHEN id % 3 = 0 THEN '2024-06-01 00:00:00' END AS last_polled_at, CASE WHEN id % 3 = 1 THEN 'HTTP 500' END AS last_error, CAST(CASE WHEN id % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS error_count FROM feeds", "feeds")
+def update_poll_status(spark: SparkSession, d: str) -> DataFrame:
+    f = _feeds(spark, d)
+    outcomes = f.filter("id % 3 < 2").select("id", (F.col("id") % 3 == 0).alias("success"), F.lit("HTTP 500").alias("message"))
+    return store.update_poll_status(f, outcomes, _NOW).select("id", "last_polled_at", "last_error", "error_count")
+
+
+@query("update_http_cache", "SELECT id, CASE WHEN id % 2 = 1 THEN 'e' || id END AS etag, CAST(NULL AS VARCHAR) AS last_modified FROM feeds", "feeds")
+def update_http_cache(spark: SparkSession, d: str) -> DataFrame:
+    f = _feeds(spark, d).withColumn("last_modified", F.when(F.col("id") % 2 == 1, "old"))
+    delta = f.filter("id % 2 = 1").select("id", F.concat(F.lit("e"), F.col("id")).alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    return store.update_http_cache(f, delta).select("id", "etag", "last_modified")
+
+
+@query("update_feed_url", "SELECT id, CASE WHEN id % 5 = 0 THEN 'https://moved/' || id ELSE url END AS url FROM feeds", "feeds")
+def update_feed_url(spark: SparkSession, d: str) -> DataFrame:
+    f = _feeds(spark, d)
+    return store.update_feed_url(f, f.filter("id % 5 = 0").select("id", F.concat(F.lit("https://moved/"), F.col("id")).alias("url"))).select("id", "url")
+
+
+@query("insert_article", "SELECT id, feed_id, url, title FROM articles UNION ALL SELECT max(id) + 1, 1, 'https://new/1', 'Fresh' FROM articles", "articles")
+def insert_article(spark: SparkSession, d: str) -> DataFrame:
+    row = spark.createDataFrame([(1, "new", "https://new/1", "Fresh")], "feed_id long, guid string, url string, title string")
+    return store.insert_article(_state(spark, d), row, _NOW).select("id", "feed_id", "url", "title")
+
+
+@query("add_tags", "+named AS (SELECT id AS article_id, lower('Src' || feed_id % 3) AS name FROM articles UNION SELECT id, 'en' FROM articles WHERE id % 10 = 0), every AS (SELECT article_id, t.name, confidence FROM article_tags JOIN tags t ON t.id = tag_id UNION ALL SELECT n.article_id, n.name, 0.5 FROM named n WHERE NOT EXISTS (SELECT 1 FROM article_tags x JOIN tags t ON t.id = x.tag_id WHERE x.article_id = n.article_id AND t.name = n.name)) SELECT name, count(*) AS articles, round(sum(confidence), 3) AS confidence FROM every GROUP BY name", "articles", "tags")
+def add_tags(spark: SparkSession, d: str) -> DataFrame:
+    state = _state(spark, d)
+    a = state["articles"]
+    by_feed = a.select(F.col("id").alias("article_id"), F.lit(0).alias("pos"), F.concat(F.lit("Src"), F.col("feed_id") % 3).alias("name"), F.lit(0.5).alias("confidence"))
+    again = by_feed.withColumns({"pos": F.lit(1), "name": F.upper("name"), "confidence": F.lit(0.1)})
+    known = a.filter("id % 10 = 0").select(F.col("id").alias("article_id"), F.lit(2).alias("pos"), F.lit("EN").alias("name"), F.lit(0.5).alias("confidence"))
+    tags = state["tags"].withColumn("created_at", F.lit(_NOW))
+    out = store.add_tags(state | {"tags": tags, "article_tags": state["article_tags"].withColumn("created_at", F.lit(_NOW))}, by_feed.unionByName(again).unionByName(known), _NOW)
+    named = out["article_tags"].join(out["tags"].select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    return named.groupBy("name").agg(F.count("*").alias("articles"), F.round(F.sum("confidence"), 3).alias("confidence"))
+
+
+@query("get_or_create_tags", "SELECT id, name FROM tags UNION ALL SELECT 102 + row_number() OVER (ORDER BY name), name FROM (SELECT DISTINCT 'feed ' || feed_id AS name FROM articles)", "articles", "tags")
+def get_or_create_tags(spark: SparkSession, d: str) -> DataFrame:
+    names = domain.articles(spark, d).select(F.concat(F.lit("Feed "), F.col("feed_id")).alias("name")).unionByName(spark.createDataFrame([("QUALITY",)], "name string"))
+    return store.get_or_create_tags(domain.tags(spark, d).withColumn("created_at", F.lit(_NOW)), names, _NOW).select("id", "name")
+
+
+@query("add_links", "SELECT source_article_id, target_article_id, 'related' AS relationship FROM links UNION ALL SELECT id, id, 'self' FROM articles WHERE id % 50 = 0 AND (7 * id + 3) % (SELECT count(*) FROM articles) <> id", "articles", "links")
+def add_links(spark: SparkSession, d: str) -> DataFrame:
+    state = _state(spark, d)
+    links = state["article_links"].withColumn("created_at", F.lit(_NOW))
+    pairs = state["articles"].filter("id % 50 = 0").select(F.col("id").alias("source_article_id"), F.col("id").alias("target_article_id"), F.lit("self").alias("relationship"))
+    fresh = pairs.join(links.select("source_article_id", "target_article_id"), ["source_article_id", "target_article_id"], "left_anti")
+    return store.add_links(state | {"article_links": links}, fresh, _NOW).select("source_article_id", "target_article_id", "relationship")
 
 
 @query(
@@ -243,12 +319,48 @@ def poll_status(spark: SparkSession, d: str) -> DataFrame:
     return found.select("feed_id", "error_count", F.date_format("last_polled_at", "yyyy-MM-dd HH:mm:ss").alias("last_polled_at"))
 
 
-@query("fetch_summary", "SELECT count(*) FILTER (WHERE event_type <> 'error' AND event_type <> 'view') AS fetched, count(*) FILTER (WHERE event_type = 'view') AS not_modified, count(*) FILTER (WHERE event_type = 'error') AS errored, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) FILTER (WHERE event_type <> 'error') AS BIGINT) AS new_articles FROM events")
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """A reply for each feed: RSS with its articles, or by number nothing new, a rate limit, or a page that is no feed."""
+    a = domain.articles(spark, d).select("feed_id", "id", "url", "published_at")
+    item = F.concat(F.lit("<item><title>Doc "), F.col("id"), F.lit("</title><link>"), F.col("url"), F.lit("</link><guid>g"), F.col("id"), F.lit("</guid><pubDate>"), F.replace("published_at", F.lit(" "), F.lit("T")), F.lit("Z</pubDate><description>&lt;b&gt;About&lt;/b&gt; "), F.col("id"), F.lit("</description></item>"))
+    bodies = a.groupBy("feed_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("item")))), lambda x: x["item"]), "").alias("items"))
+    url, n = F.concat(F.lit("https://feed/src"), F.col("feed_id")), F.col("feed_id") % 7
+    body = F.when(n == 2, F.lit("<html>no feed</html>")).otherwise(F.concat(F.lit("<rss><channel><title>Channel "), F.col("feed_id"), F.lit("</title><description>d</description>"), F.col("items"), F.lit("</channel></rss>")))
+    status = F.when(n == 0, 304).when(n == 1, 429).otherwise(200)
+    return bodies.select("feed_id", url.alias("request_url"), url.alias("final_url"), status.cast("int").alias("status"), F.create_map(F.lit("etag"), F.concat(F.lit("e"), F.col("feed_id"))).alias("headers"), body.alias("body"))
+
+
+_FETCHED = "+ok AS (SELECT * FROM feeds WHERE active = 1 AND id % 7 > 2)"
+
+
+def _fetched(spark: SparkSession, d: str):
+    """A round over the responses for a store that has every fifth article already."""
+    have = store.shaped(domain.articles(spark, d).filter("id % 5 = 0"), store.ARTICLES, "articles", _NOW)
+    return fetch_all({"feeds": _feeds(spark, d), "articles": have}, _responses(spark, d), _NOW)
+
+
+@query("fetch_summary", _FETCHED + " SELECT (SELECT count(*) FROM ok) AS feeds_fetched, (SELECT count(*) FROM feeds WHERE active = 1 AND id % 7 = 0) AS feeds_not_modified, (SELECT count(*) FROM feeds WHERE active = 1 AND id % 7 IN (1, 2)) AS feeds_errored, (SELECT count(*) FROM articles WHERE id % 5 <> 0 AND feed_id IN (SELECT id FROM ok)) AS new_articles", "articles", "feeds")
 def fetch_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = domain.table(spark, d, "events")
-    t = F.col("event_type")
-    new = F.get_json_object("props", "$.k").cast("long")
-    return e.agg(F.count_if((t != "error") & (t != "view")).alias("fetched"), F.count_if(t == "view").alias("not_modified"), F.count_if(t == "error").alias("errored"), F.sum(F.when(t != "error", new)).alias("new_articles"))
+    return _fetched(spark, d)[1]
+
+
+@query("fetch_articles", _FETCHED + " SELECT feed_id, 'g' || id AS guid, url, 'Doc ' || id AS title, replace(published_at, ' ', 'T') || '+00:00' AS published_at, 'About ' || id AS summary FROM articles WHERE id % 5 <> 0 AND feed_id IN (SELECT id FROM ok)", "articles", "feeds")
+def fetch_articles(spark: SparkSession, d: str) -> DataFrame:
+    state, _, _ = _fetched(spark, d)
+    return state["articles"].filter("summary IS NOT NULL").select("feed_id", "guid", "url", "title", "published_at", "summary")
+
+
+@query("fetch_feeds", "SELECT id, CASE WHEN active = 1 AND id % 7 > 2 THEN 'Channel ' || id ELSE title END AS title, CASE WHEN active = 1 AND id % 7 >= 2 THEN 'e' || id END AS etag, CAST(CASE WHEN active = 1 AND id % 7 IN (1, 2) THEN 1 ELSE 0 END AS BIGINT) AS error_count, CASE WHEN active = 1 AND id % 7 = 1 THEN 'rate limited, retry after 60 s' WHEN active = 1 AND id % 7 = 2 THEN 'not a feed' END AS last_error FROM feeds", "feeds")
+def fetch_feeds(spark: SparkSession, d: str) -> DataFrame:
+    return _fetched(spark, d)[0]["feeds"].select("id", "title", "etag", "error_count", "last_error")
+
+
+@query("embed_pending", "SELECT id AS article_id, CAST(64 AS INTEGER) AS width, 1.0 AS norm, true AS good FROM articles WHERE content_extracted = 1 AND embedding_generated = 0 ORDER BY id LIMIT 1000", "articles")
+def embed_pending(spark: SparkSession, d: str) -> DataFrame:
+    """The queue's first thousand, embedded offline; their vectors are of unit length."""
+    done = embed.embed_pending(domain.articles(spark, d), embed.hashing_embedder(64), 64)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return done.select("article_id", F.size("embedding").alias("width"), F.round(norm, 3).alias("norm"), F.col("error").isNull().alias("good"))
 
 
 def _state(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -302,9 +414,23 @@ w AS (SELECT tf.doc_id, tf.field, tf.term, ln(1 + (n - df + 0.5) / (df + 0.5)) *
 _NAMES = ("articles", "tags")
 
 
-def _index(spark: SparkSession, d: str, stemming: bool = False) -> search.Index:
+def _documents(spark: SparkSession, d: str) -> DataFrame:
     lists = store.tag_lists(domain.tags(spark, d), domain.article_tags(spark, d))
-    return search.build_index(search.build_documents(domain.articles(spark, d), domain.feeds(spark, d), lists), stemming)
+    return search.build_documents(domain.articles(spark, d), domain.feeds(spark, d), lists)
+
+
+#: Where the index of a folder lies, by session, folder and analysis.
+_WRITTEN: dict[tuple[str, str, bool], str] = {}
+
+
+def _index(spark: SparkSession, d: str, stemming: bool = False) -> search.Index:
+    """The index of a folder, built and written once in a session; queries read what they need of it."""
+    key = (spark.sparkContext.applicationId, d, stemming)
+    if key not in _WRITTEN:
+        path = fresh_path(spark, "index")
+        search.build_index(_documents(spark, d), stemming).write(path)
+        _WRITTEN[key] = path
+    return search.Index.read(spark, _WRITTEN[key], stemming)
 
 
 def _scores(terms: str, where: str = "", order: str = "ORDER BY score DESC, doc_id", limit: str = "LIMIT 20") -> str:
@@ -378,11 +504,25 @@ def search_by_date(spark: SparkSession, d: str) -> DataFrame:
     return _page(search.search(_index(spark, d), "the license", search.SearchOptions(limit=10, sort_by="date")))
 
 
-@query("search_stemmed")
+# Porter2 stems of the words of the tables that share those of the query.
+_STEMS = _POSTINGS.replace("AS term FROM fields),", "AS word FROM fields0),\ntok AS (SELECT doc_id, field, CASE WHEN word IN ('license', 'licenses', 'licensed', 'licensing') THEN 'licens' WHEN word IN ('version', 'versions', 'versioned') THEN 'version' ELSE word END AS term FROM tok0),").replace("+fields AS", "+fields0 AS").replace("tok AS (SELECT doc_id, field, unnest", "tok0 AS (SELECT doc_id, field, unnest")
+
+
+@query("search_stemmed", _STEMS + " SELECT doc_id, round(sum(w), 4) AS score FROM w WHERE term IN ('licens', 'version') GROUP BY doc_id", *_NAMES)
 def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(search.match(_index(spark, d, stemming=True), "licenses versions"))
 
 
+@query("index_upsert", _POSTINGS + " SELECT field, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms FROM tf WHERE doc_id % 4 <> 3 GROUP BY field", *_NAMES)
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the documents first, with other texts; the rest and the true texts are put in, then a quarter is deleted."""
+    docs = _documents(spark, d)
+    first = docs.filter("doc_id % 2 = 0").withColumn("content", F.lit("to be replaced"))
+    index = search.build_index(first, stemming=False).upsert(docs).delete(docs.filter("doc_id % 4 = 3").select("doc_id"))
+    own = index.postings.filter(F.col("field").isin("title", "content", "tags"))
+    return own.groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
+
+
 @query(
     "snippet",
     """WITH h AS (SELECT doc_id, text, least(nullif(instr(lower(substr(text, 1, 2000)), 'license'), 0), nullif(instr(lower(substr(text, 1, 2000)), 'the'), 0)) - 1 AS p FROM documents),
@@ -410,15 +550,16 @@ def link_graph_depth_k(spark: SparkSession, d: str) -> DataFrame:
     return found.select("article_id", "level", F.array_join(F.col("linked_article_ids").cast("array<string>"), ",").alias("linked"))
 
 
-@query("event_clusters")
-def event_clusters(spark: SparkSession, d: str) -> DataFrame:
-    a = domain.articles(spark, d).select("id", F.to_timestamp("published_at").alias("published_ts"))
-    return graph.event_clusters(a, domain.article_links(spark, d), 3600, rounds=60, checkpoint=_cut)
+_REACH = """+sym AS (SELECT source_article_id AS a, target_article_id AS b FROM links WHERE abs(source_article_id - target_article_id) <= 60 UNION SELECT target_article_id, source_article_id FROM links WHERE abs(source_article_id - target_article_id) <= 60),
+reach AS (SELECT id AS node, id AS other FROM articles UNION SELECT r.node, s.b FROM reach r JOIN sym s ON s.a = r.other)
+SELECT node AS article_id, min(other) AS cluster FROM reach GROUP BY node"""
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration where the session names a shared folder; else the plan grows."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+@query("event_clusters", _REACH, "articles", "links", recursive=True)
+def event_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Article n appears in minute n, so the window of an hour is a distance of 60."""
+    a = domain.articles(spark, d).select("id", F.to_timestamp("published_at").alias("published_ts"))
+    return graph.event_clusters(a, domain.article_links(spark, d), 3600)
 
 
 @query("tag_co_occurrence", "SELECT x.name AS a, y.name AS b, count(*) AS articles FROM (SELECT article_id, name FROM article_tags JOIN tags ON id = tag_id) x JOIN (SELECT article_id, name FROM article_tags JOIN tags ON id = tag_id) y ON x.article_id = y.article_id AND x.name < y.name GROUP BY ALL", "tags")
@@ -450,7 +591,12 @@ def page_extract(spark: SparkSession, d: str) -> DataFrame:
     return extract_pages(domain.table(spark, d, "pages")).select("page_id", "text", "word_count", "content_hash")
 
 
-@query("page_metadata")
+_META = r"""WITH h AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>.*?<h1[^>]*>(.*?)</h1>', 1) AS x FROM pages),
+t AS (SELECT page_id, NORM AS title FROM (SELECT page_id, replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS raw FROM h))
+SELECT page_id, nullif(title, '') AS title, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS published_at, false AS potentially_incomplete FROM t""".replace("NORM", _norm("raw"))
+
+
+@query("page_metadata", _META)
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
     return extract_pages(domain.table(spark, d, "pages")).select("page_id", "title", "author", "published_at", "potentially_incomplete")
 
