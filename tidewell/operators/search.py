@@ -107,11 +107,23 @@ def field_stats(postings: DataFrame, docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Leaf:
-    """A term or, with several words, a phrase, in some fields."""
+    """A term or, with several words, a phrase, in some fields; or a range or set of terms, or every document.
+
+    ``slop`` is how far apart the words of a phrase may be moved in all; with ``prefix`` its last word is a beginning.
+    """
 
     fields: list[str]
     words: list[str]
     boost: float = 1.0
+    kind: str = "words"
+    low: str | None = None
+    high: str | None = None
+    closed: tuple[bool, bool] = (True, True)
+    slop: int = 0
+    prefix: bool = False
+
+    def __bool__(self) -> bool:
+        return bool(self.words) or self.kind in ("range", "all")
 
 
 @dataclass
@@ -124,7 +136,25 @@ class Node:
     boost: float = 1.0
 
 
-_TOKEN = re.compile(r'\s*(?:(?P<op>AND|OR|NOT)(?=[\s()]|$)|(?P<sign>[+-])(?=\S)|(?P<paren>[()])|(?:(?P<field>\w+):)?(?:"(?P<phrase>[^"]*)"|(?P<word>[^\s()"^]+))|(?P<group>\w+):(?=\())(?:\^(?P<boost>\d+(?:\.\d+)?))?')
+_TOKEN = re.compile(
+    r"""\s*(?:
+      (?P<op>AND|OR|NOT)(?=[\s()]|$)
+    | (?P<sign>[+-])(?=\S)
+    | (?P<paren>[()])
+    | (?:(?P<field>\w+):\s*)?(?:
+          (?P<open>[\[{])\s*(?P<low>[^\s\]}]+)\s+TO\s+(?P<high>[^\s\]}]+)\s*(?P<close>[\]}])
+        | IN\s*\[(?P<set>[^\]]*)\]
+        | (?P<compare>[<>]=?)(?P<bound>[^\s()^]+)
+        | "(?P<phrase>[^"]*)"(?:~(?P<slop>\d+)|(?P<prefix>\*))?
+        | (?P<word>[^\s()"^]+))
+    | (?P<group>\w+):(?=\()
+    )(?:\^(?P<boost>\d+(?:\.\d+)?))?""",
+    re.VERBOSE,
+)
+
+
+def query_words(text: str) -> list[str]:
+    return [w.lower() for w in re.split(r"[\W_]+", text) if w and len(w.encode()) < LONGEST_TOKEN]
 
 
 class Parser:
@@ -138,7 +168,7 @@ class Parser:
             if not m or m.end() == at:
                 raise QuerySyntaxError(f"at {text[at : at + 20]!r}")
             if (m["word"] or "").startswith(("[", "{")):
-                raise QuerySyntaxError(f"ranges are not built: {text[at : at + 20]!r}")
+                raise QuerySyntaxError(f"a range or set is not closed: {text[at : at + 20]!r}")
             self.tokens.append(m)
             at = m.end()
         self.at = 0
@@ -200,12 +230,29 @@ class Parser:
             inner.boost = float(self.tokens[self.at]["boost"] or 1)
             self.at += 1
             return sign, inner
-        if m["phrase"] is None and m["word"] in (None, "+", "-"):
-            raise QuerySyntaxError("a clause is missing")
         own = self.named(m["field"]) if m["field"] else (fields or self.default)
-        text = m["phrase"] if m["phrase"] is not None else m["word"]
-        words = [w.lower() for w in re.split(r"[\W_]+", text) if w and len(w.encode()) < LONGEST_TOKEN]
-        return sign, Leaf(own, words, float(m["boost"] or 1))
+        boost = float(m["boost"] or 1)
+        if m["open"]:
+            low, high = (None if x == "*" else self.bound(x) for x in (m["low"], m["high"]))
+            return sign, Leaf(own, [], boost, "range", low, high, (m["open"] == "[", m["close"] == "]"))
+        if m["compare"]:
+            above, equal = m["compare"][0] == ">", m["compare"].endswith("=")
+            value = self.bound(m["bound"])
+            return sign, Leaf(own, [], boost, "range", value if above else None, None if above else value, (equal, equal))
+        if m["set"] is not None:
+            return sign, Leaf(own, [w for x in m["set"].split() for w in query_words(x)], boost, "set")
+        if m["word"] == "*" and not m["field"]:
+            return sign, Leaf(own, [], boost, "all")
+        if m["phrase"] is None and m["word"] in (None, "+", "-", "<", ">", "<=", ">="):
+            raise QuerySyntaxError("a clause is missing")
+        words = query_words(m["phrase"] if m["phrase"] is not None else m["word"])
+        return sign, Leaf(own, words, boost, slop=int(m["slop"] or 0), prefix=bool(m["prefix"]))
+
+    def bound(self, text: str) -> str:
+        words = query_words(text)
+        if len(words) != 1:
+            raise QuerySyntaxError(f"a bound is one word: {text!r}")
+        return words[0]
 
     def named(self, name: str) -> list[str]:
         if name not in self.known:
@@ -232,28 +279,61 @@ def match(index: Index, query: str | Node, boosts: dict[str, float] | None = Non
     """doc_id and score (double) of all documents that match."""
     boosts = boosts or BOOSTS
     tree = parse_query(query, list(boosts)) if isinstance(query, str) else query
-    every = [x for x in leaves(tree) if x.words]
+    every = [x for x in leaves(tree) if x]
     spark = index.docs.sparkSession
     if not every:
         return spark.createDataFrame([], "doc_id long, score double")
     shape = lambda w, f: stem(w) if index.stemming and f in STEMMED else w
-    wanted = sorted({(f, shape(w, f)) for x in every for f in x.fields for w in x.words})
-    picked = index.postings.filter(reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("term").isin([t for g, t in wanted if g == f]) for f in sorted({f for f, _ in wanted})]))
-    df = picked.groupBy("field", "term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    hits = picked.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(index.stats), "field")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = F.when(F.col("field").isin(*PLAIN), F.col("avg_len")).otherwise(F.col("len"))
-    hits = hits.withColumn("idf", idf).withColumn("w", _bm25(F.col("tf"), length, F.col("avg_len"), F.col("idf")))
+
+    def exact(x: Leaf) -> list[str]:
+        """The words that are looked up as terms; the last of a prefix phrase is not."""
+        return x.words[:-1] if x.prefix else x.words
+
+    def within(x: Leaf, f: str) -> Column:
+        """Whether a posting's term lies in a range, or begins as the last word of a prefix phrase."""
+        if x.prefix:
+            return (F.col("field") == f) & F.col("term").startswith(x.words[-1])
+        low, high = (F.col("term") >= shape(x.low, f) if x.closed[0] else F.col("term") > shape(x.low, f)) if x.low else F.lit(True), (F.col("term") <= shape(x.high, f) if x.closed[1] else F.col("term") < shape(x.high, f)) if x.high else F.lit(True)
+        return (F.col("field") == f) & low & high
+
+    wanted = sorted({(f, shape(w, f)) for x in every for f in x.fields for w in exact(x)})
+    spread = [within(x, f) for x in every if x.kind == "range" or x.prefix for f in x.fields]
+    either = lambda conditions: reduce(lambda a, b: a | b, conditions)
+    # Postings of given terms get weights; those of ranges and beginnings, whose terms may be many, need none.
+    parts = []
+    if wanted:
+        picked = index.postings.filter(either([(F.col("field") == f) & F.col("term").isin([t for g, t in wanted if g == f]) for f in sorted({f for f, _ in wanted})]))
+        df = picked.groupBy("field", "term").agg(F.count("*").alias("df"))  # a row for each term of the query
+        hits = picked.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(index.stats), "field")
+        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        length = F.when(F.col("field").isin(*PLAIN), F.col("avg_len")).otherwise(F.col("len"))
+        hits = hits.withColumn("idf", idf).withColumn("w", _bm25(F.col("tf"), length, F.col("avg_len"), F.col("idf")))
+        parts.append(hits.select("doc_id", "field", "term", "positions", "len", "avg_len", "idf", "w"))
+    none = F.lit(None).cast("double")
+    if spread:
+        parts.append(index.postings.filter(either(spread)).select("doc_id", "field", "term", "positions", "len", none.alias("avg_len"), none.alias("idf"), none.alias("w")))
+    if any(x.kind == "all" for x in every):
+        text = F.lit(None).cast("string")
+        parts.append(index.docs.select("doc_id", text.alias("field"), text.alias("term"), F.lit(None).cast("array<int>").alias("positions"), F.lit(None).cast("long").alias("len"), none.alias("avg_len"), none.alias("idf"), none.alias("w")))
+    hits = reduce(DataFrame.unionByName, parts)
 
     columns: list[Column] = []
     scores: dict[int, Column] = {}
     for n, leaf in enumerate(every):
         terms = []
-        for f in leaf.fields:
+        if leaf.kind == "all":
+            columns.append(F.max(F.lit(leaf.boost)).alias(f"s{n}"))
+            terms.append(F.col(f"s{n}"))
+        for f in leaf.fields if leaf.kind != "all" else []:
             boost = leaf.boost * boosts.get(f, 1.0)
-            words = [shape(w, f) for w in leaf.words]
+            words = [shape(w, f) for w in exact(leaf)]
             at = lambda w, f=f: (F.col("field") == f) & (F.col("term") == w)
-            if len(words) == 1:
+            if leaf.kind != "words" or (leaf.prefix and not words):  # these do not rank: they score as their boost
+                found = within(leaf, f) if leaf.kind != "set" else (F.col("field") == f) & F.col("term").isin(words)
+                columns.append(F.max(F.when(found, F.lit(leaf.boost))).alias(f"s{n}_{f}"))
+                terms.append(F.col(f"s{n}_{f}"))
+                continue
+            if len(words) == 1 and not leaf.prefix:
                 columns.append(F.sum(F.when(at(words[0]), F.col("w") * boost)).alias(f"s{n}_{f}"))
                 terms.append(F.col(f"s{n}_{f}"))
                 continue
@@ -262,12 +342,15 @@ def match(index: Index, query: str | Node, boosts: dict[str, float] | None = Non
             for k, w in enumerate(words):
                 moved = F.transform("positions", _minus(k))
                 columns.append(F.max(F.when(at(w), F.struct(moved.alias("p"), F.col("idf").alias("idf"), F.col("len").alias("len"), F.col("avg_len").alias("avg")))).alias(f"p{n}_{f}_{k}"))
-            parts = [F.col(f"p{n}_{f}_{k}") for k in range(len(words))]
-            found = reduce(F.array_intersect, [p["p"] for p in parts])
-            tf = F.size(found)
-            total = reduce(lambda a, b: a + b, [p["idf"] for p in parts])
-            terms.append(F.when(tf > 0, _bm25(tf, parts[0]["len"], parts[0]["avg"], total) * boost))
-        scores[id(leaf)] = _total(terms)
+            sides = [F.col(f"p{n}_{f}_{k}") for k in range(len(words))]
+            places = [p["p"] for p in sides]
+            if leaf.prefix:
+                columns.append(F.flatten(F.collect_list(F.when(within(leaf, f), F.transform("positions", _minus(len(words)))))).alias(f"q{n}_{f}"))
+                places.append(F.col(f"q{n}_{f}"))
+            tf = _close(places, leaf.slop) if leaf.slop else F.size(reduce(F.array_intersect, places))
+            total = reduce(lambda a, b: a + b, [p["idf"] for p in sides])
+            terms.append(F.when(tf > 0, _bm25(tf, sides[0]["len"], sides[0]["avg"], total) * boost))
+        scores[id(leaf)] = (F.greatest(*terms) if len(terms) > 1 else terms[0] if terms else none) if leaf.kind != "words" or (leaf.prefix and len(leaf.words) == 1) else _total(terms)
 
     def evaluate(node: Node | Leaf) -> Column:
         """Score of a node, null where it does not match."""
@@ -290,6 +373,16 @@ def _minus(k: int):
     return lambda p: p - k
 
 
+def _close(places: list[Column], slop: int) -> Column:
+    """How many places of the first word go on through all words with moves of at most ``slop`` in all."""
+    moved = lambda a, p: a["cost"] + F.abs(a["p"] - p)
+    cheapest = lambda paths: lambda p: F.struct(p.alias("p"), F.array_min(F.transform(paths, lambda a: moved(a, p))).alias("cost"))
+    paths = F.transform(places[-1], lambda p: F.struct(p.alias("p"), F.lit(0).alias("cost")))
+    for here in reversed(places[:-1]):
+        paths = F.filter(F.transform(here, cheapest(paths)), lambda a: a["cost"] <= slop)
+    return F.coalesce(F.size(F.filter(paths, lambda a: a["cost"] <= slop)), F.lit(0))
+
+
 def _total(parts: list[Column]) -> Column:
     """The sum of what is not null; null where nothing is."""
     if not parts:

@@ -465,6 +465,35 @@ def search_phrase(spark: SparkSession, d: str) -> DataFrame:
     return search.match(_index(spark, d), 'content:"Apache License"').select("doc_id")
 
 
+@query("search_range", _POSTINGS + " SELECT doc_id, max(1.0) AS score FROM tf WHERE (field = 'content' AND term >= 'li' AND term < 'lj') OR (field = 'tags' AND term IN ('fr', 'toxic')) GROUP BY doc_id", *_NAMES)
+def search_range(spark: SparkSession, d: str) -> DataFrame:
+    found = search.match(_index(spark, d), "content:[li TO lj} OR tags: IN [fr toxic]")
+    return found.select("doc_id", F.lit(1.0).alias("score"))
+
+
+_PLACES = _POSTINGS + ", placed AS (SELECT doc_id, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM fields WHERE field = 'content'))"
+
+
+@query("search_slop", _PLACES + " SELECT DISTINCT a.doc_id FROM placed a JOIN placed b ON a.doc_id = b.doc_id WHERE a.term = 'license' AND b.term = 'apache' AND abs(b.pos - 1 - a.pos) <= 2", *_NAMES)
+def search_slop(spark: SparkSession, d: str) -> DataFrame:
+    return search.match(_index(spark, d), 'content:"license apache"~2').select("doc_id")
+
+
+@query("search_phrase_prefix", _PLACES + " SELECT DISTINCT a.doc_id FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'the' AND starts_with(b.term, 'th')", *_NAMES)
+def search_phrase_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return search.match(_index(spark, d), 'content:"the th"*').select("doc_id")
+
+
+@query("search_all_but", _POSTINGS + " SELECT id AS doc_id FROM articles WHERE content_extracted = 1 AND id NOT IN (SELECT doc_id FROM tf WHERE field = 'tags' AND term IN ('en', 'quality'))", *_NAMES)
+def search_all_but(spark: SparkSession, d: str) -> DataFrame:
+    return search.match(_index(spark, d), "* -tags: IN [en quality]").select("doc_id")
+
+
+@query("search_phrase_score", _PLACES + ", tf2 AS (SELECT a.doc_id, count(*) AS tf FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'apache' AND b.term = 'license' GROUP BY a.doc_id) SELECT p.doc_id, round((SELECT sum(ln(1 + (n - df + 0.5) / (df + 0.5))) FROM df, nd WHERE field = 'content' AND term IN ('apache', 'license')) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len / av)), 4) AS score FROM tf2 p JOIN lens l ON l.doc_id = p.doc_id AND l.field = 'content' JOIN avgs ON avgs.field = 'content'", *_NAMES)
+def search_phrase_score(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.match(_index(spark, d), 'content:"Apache License"'))
+
+
 def _page(df: DataFrame) -> DataFrame:
     return df.select("article_id", F.round(F.col("score").cast("double"), 3).alias("score"), "published_at", "feed_title")
 
