@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.web import domain_key, robots_allow, robots_rules, url_path
-from ..lineage import fresh_path
+from ..lineage import fresh_path, until_exit
 from ..operators import embed, graph, search, store, vectors
 from ..sources import domain
 from ..sources.feeds import fetch_all
@@ -429,6 +429,7 @@ def _index(spark: SparkSession, d: str, stemming: bool = False) -> search.Index:
     if key not in _WRITTEN:
         path = fresh_path(spark, "index")
         search.build_index(_documents(spark, d), stemming).write(path)
+        until_exit(spark, path)
         _WRITTEN[key] = path
     return search.Index.read(spark, _WRITTEN[key], stemming)
 
