@@ -105,15 +105,17 @@ def test_word_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-6
 
 
-def test_subwords():
-    path = tokens.default_vocabulary()
-    subwords = lm.Subwords(path)
-    for words in ([], [b"the", b"thanningly"], ["é漢".encode(), b"!?", "\x85x".encode(), b"<|endoftext|>", "a　".encode()], [b"y" * 3000]):
-        ids, at = subwords(words)
+def test_words():
+    known = lm.Words(tokens.default_vocabulary())
+    for words in ([], [b"the", b"thanningly"], ["é漢".encode(), b"!?", "\x85x".encode(), b"<|endoftext|>", "a　".encode()], [b"y" * 3000], ["\xa0".encode(), b"the"]):
+        numbers = known.number([[*words, None], [None]])
+        ids, at = known.stream(numbers)
+        got = [known.encode(" " + w.decode()).tolist() for w in words]
         ends = [*at[1:].tolist(), len(ids)]
-        got = [subwords.encode(" " + w.decode()).tolist() for w in words]
-        assert ids[-1] == lm.END and len(at) == len(words) + 1
-        assert [ids[a:b].tolist() for a, b in zip(at, ends, strict=True)][:-1] == got
+        assert [ids[a:b].tolist() for a, b in zip(at, ends, strict=True)] == [*got, [lm.END], [lm.END]]
+        assert known.keys[numbers].tolist() == [*lm.hashes_of(words).tolist(), *np.array([lm.END_WORD] * 2, np.uint64).view(np.int64).tolist()]
+    known.reset()
+    assert known.number([[b"new", None]]).tolist() == [1, 0] and len(known.keys) == 2
 
 
 def test_blocks():
@@ -150,6 +152,15 @@ def dialects(rng, n):
     return [dialect(i % 2) for i in range(n)]
 
 
+def test_words_that_are_forgotten_count_the_same(spark, monkeypatch):
+    rng = random.Random(54)
+    docs = frame(spark, [" ".join(f"w{rng.randrange(300)}" for _ in range(100)) for _ in range(100)])
+    counts = lambda: {r.key: (r.c, r.i) for r in lm.gather(docs, tokens.default_vocabulary()).filter("n > 0").groupBy("key").agg(F.sum("n").alias("c"), F.max("id").alias("i")).collect()}
+    whole = counts()
+    monkeypatch.setattr(lm, "REMEMBERED", 50)
+    assert counts() == whole and len(whole) == 301
+
+
 def test_scores_equal_plain_loops(spark, monkeypatch):
     rng, seen = random.Random(15), {}
     fit = lm.fit
@@ -168,8 +179,8 @@ def test_scores_equal_plain_loops(spark, monkeypatch):
             counts.update(words_of(t))
     total, v = sum(counts.values()), len(counts)
     base = lambda x: (counts[x] + 0.5) / (total + 0.5 * (v + 1))
-    subwords, classes = lm.Subwords(tokens.default_vocabulary()), seen["classes"]
-    first = lambda x: lm.END if x is None else subwords([x.encode()])[0][0]
+    known, classes = lm.Words(tokens.default_vocabulary()), seen["classes"]
+    first = lambda x: lm.END if x is None else known.split([x.encode()])[0][0]
     mass = collections.Counter({k: 0.5 for k in range(lm.STARTS)})
     for x, n in counts.items():
         mass[classes.of[first(x)]] += n + 0.5
@@ -179,7 +190,7 @@ def test_scores_equal_plain_loops(spark, monkeypatch):
         assert r.n_known == sum(counts[x] > 0 for x in words)
         assert abs(r.base_score - sum(math.log10(base(x)) for x in words)) < 1e-6
         if r.doc_id % 8 == 0 or r.doc_id >= 78:
-            ids, at = subwords([w.encode() for w in words[:-1]])
+            ids, at = known.stream(known.number([[w and w.encode() for w in words]]))
             plain = plain_log_probs(seen["weights"], classes, ids)
             want = 0.0
             for k, (x, a) in enumerate(zip(words, at, strict=True)):
@@ -202,10 +213,11 @@ def test_short_texts_are_trained_on(spark):
 def test_every_id_of_training_texts_is_a_target(spark):
     rng = random.Random(38)
     texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 3, 15, 16, 200]))) for _ in range(40)]
-    subwords = lm.Subwords(tokens.default_vocabulary())
-    want = collections.Counter(i for t in texts for i in subwords(t.encode().split())[0].tolist())
+    known = lm.Words(tokens.default_vocabulary())
+    streams_of = [known.stream(known.number([lm.words_of(t.encode())]))[0].tolist() for t in texts]
+    want = collections.Counter(i for ids in streams_of for i in ids)
     streams = lm.gather(frame(spark, texts).repartition(3), tokens.default_vocabulary()).filter(F.col("ids").isNotNull()).select("ids", "sizes")
     counts = lm.id_counts(streams)
     assert {i: int(counts[i]) for i in np.flatnonzero(counts)} == want
     near = lm.followed(streams, np.array([lm.END, *want])[:20])
-    assert near.sum() == sum(n for i, n in collections.Counter(a for t in texts for a in subwords(t.encode().split())[0].tolist()[:-1]).items() if i in {lm.END, *list(want)[:19]})
+    assert near.sum() == sum(n for i, n in collections.Counter(a for ids in streams_of for a in ids[:-1]).items() if i in {lm.END, *list(want)[:19]})

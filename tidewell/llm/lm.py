@@ -28,9 +28,9 @@ scored alike and counted each; without training documents counts are 0; further
 from __future__ import annotations
 
 import ctypes
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -60,8 +60,8 @@ END = VOCABULARY - 1
 END_WORD = xxhash.xxh3_64_intdigest(b"\n")
 #: Texts of a row of the streams, each of which belongs to one round of training.
 TEXTS = 32
-#: Word counts that a worker holds before it passes them on.
-HELD = 200_000
+#: Distinct words that a worker remembers (some 60 MB), and passes on the counts of, before it starts anew.
+REMEMBERED = 250_000
 
 
 def remainder(doc_id: Column) -> Column:
@@ -87,23 +87,59 @@ def begins_word(path: str) -> np.ndarray:
     return out
 
 
-class Subwords:
-    """Turns the words of a text into ids: all ids of a space and each word, then the end."""
+class Words(dict):
+    """Numbers of the distinct words that a worker has met, and their ids: all ids of a space and the word.
+
+    Word 0, the key None, is the end of a text. ``keys`` has the words' hashes.
+    """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         self.encode, self.begins = encoder(path, arrays=True), begins_word(path)
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, and where each word (and the end) begins in them."""
-        ids = self.encode((b" " + b" ".join(words)).decode(errors="replace") if words else "")
-        ids = np.append(ids, END).astype(np.uint16)
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self[None] = 0
+        self.fresh: list[bytes] = []
+        self.ids, self.ends = np.array([END], np.uint16), np.array([0, 1])
+        self.keys = np.array([END_WORD], np.uint64).view(np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+    def split(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words, one after another, and where each begins."""
+        ids = self.encode((b" " + b" ".join(words)).decode(errors="replace")).astype(np.uint16)
         at = np.flatnonzero(self.begins[ids])
-        if len(at) == len(words) + 1:
-            return ids, at
-        # Rare: a word with separators of other alphabets, which the vocabulary joins with the space.
-        each = [self.encode(" " + w.decode(errors="replace")) for w in words]
-        sizes = [len(x) for x in each]
-        return np.append(np.concatenate(each), END).astype(np.uint16), np.cumsum([0, *sizes])
+        if len(at) != len(words):  # rare: separators of other alphabets, which the vocabulary joins with the space
+            each = [self.encode(" " + w.decode(errors="replace")).astype(np.uint16) for w in words]
+            ids, at = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
+        return ids, at
+
+    def number(self, lists: list[list[bytes | None]]) -> np.ndarray:
+        """The numbers of the words of some texts, one after another."""
+        out = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+        if self.fresh:
+            ids, at = self.split(self.fresh)
+            self.ends = np.concatenate([self.ends, len(self.ids) + np.append(at[1:], len(ids))])
+            self.ids, self.keys = np.concatenate([self.ids, ids]), np.concatenate([self.keys, hashes_of(self.fresh)])
+            self.fresh = []
+        return out
+
+    def stream(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and where each word begins in them."""
+        first = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - first
+        begins = np.cumsum(sizes) - sizes
+        return self.ids[np.arange(sizes.sum()) + np.repeat(first - begins, sizes)], begins
+
+
+def words_of(text: bytes | None) -> list[bytes | None]:
+    """The words of a text, and None for its end."""
+    return [*(text or b"").lower().split(), None]
 
 
 # ---------------------------------------------------------------- the model
@@ -339,33 +375,29 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
     """Rows with a word's hash, first id and count, and rows with the streams of ids of some texts and their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(path)
-        counts: Counter[bytes] = Counter()
-        texts = 0
+        words = Words(path)
+        counts = np.zeros(0, np.int64)
 
         def rows(keys: np.ndarray, n: np.ndarray, id_: np.ndarray, ids: bytes | None = None, sizes: bytes | None = None) -> pa.RecordBatch:
             columns = [pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(id_.astype(np.int32)), *[pa.array([x] * len(keys), pa.binary()) for x in (ids, sizes)]]
             return pa.RecordBatch.from_arrays(columns, names=["key", "n", "id", "ids", "sizes"])
 
-        def words_out() -> pa.RecordBatch:
-            ids, at = subwords(list(counts))
-            out = rows(hashes_of(counts), np.fromiter(counts.values(), np.int64, len(counts)), ids[at[:-1]])
-            counts.clear()
-            return out
-
         for whole in batches:
             for batch in (whole.slice(at, TEXTS) for at in range(0, whole.num_rows, TEXTS)):
-                streams = []
-                for text in batch.column(0):
-                    words = (text.as_py() or b"").lower().split()
-                    counts.update(words)
-                    streams.append(subwords(words)[0])
-                texts += len(streams)
-                yield rows(np.zeros(1), np.zeros(1), np.zeros(1), np.concatenate(streams).tobytes(), np.array([len(x) for x in streams], np.int64).tobytes())
-                if len(counts) > HELD:
-                    yield words_out()
-        yield words_out()
-        yield rows(np.array([END_WORD], np.uint64).view(np.int64), np.array([texts]), np.array([END]))
+                lists = [words_of(t.as_py()) for t in batch.column(0)]
+                numbers = words.number(lists)
+                found = np.bincount(numbers, minlength=len(words))
+                found[: len(counts)] += counts
+                counts = found
+                ids, begins = words.stream(numbers)
+                texts = np.cumsum([0, *map(len, lists)])
+                yield rows(np.zeros(1), np.zeros(1), np.zeros(1), ids.tobytes(), np.diff(np.append(begins, len(ids))[texts]).astype(np.int64).tobytes())
+                if len(words) > REMEMBERED:
+                    yield rows(words.keys, counts, words.ids[words.ends[:-1]])
+                    words.reset()
+                    counts = np.zeros(0, np.int64)
+        if len(counts):
+            yield rows(words.keys, counts, words.ids[words.ends[:-1]])
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(run, "key long, n long, id int, ids binary, sizes binary")
 
@@ -570,29 +602,30 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, frequent: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
         keys, known, w, kinds, shares = table
-        logs, unigram = np.log10(known), np.log((1 - trust) * known / denominator)
-        subwords = Subwords(path)
-        row = TaskContext.get().partitionId() << 33
-        end = np.array([END_WORD], np.uint64).view(np.int64)
+        words, row = Words(path), TaskContext.get().partitionId() << 33
+        place, hits = np.zeros(0, np.int64), np.zeros(0, bool)  # of the words' counts in the table, by their numbers
         for whole in batches:
             for batch in (whole.slice(at, 64) for at in range(0, whole.num_rows, 64)):
-                lists = [(t.as_py() or b"").lower().split() for t in batch.column(1)]
-                ids = [subwords(x) for x in lists]
-                sizes = np.array([len(x) for x, _ in ids])
-                begins = np.concatenate([at + shift for (_, at), shift in zip(ids, np.cumsum(sizes) - sizes, strict=True)])
-                every = np.concatenate([x for x, _ in ids])
-                net, gain = word_log_probs(w, kinds, every, sizes, begins)
+                if len(words) > REMEMBERED:
+                    words.reset()
+                    place, hits = place[:0], hits[:0]
+                lists = [words_of(t.as_py()) for t in batch.column(1)]
+                numbers = words.number(lists)
+                fresh = words.keys[len(place) :]
+                at = np.minimum(np.searchsorted(keys, fresh), max(0, len(keys) - 1))
+                place, hits = np.append(place, at), np.append(hits, keys[at] == fresh if len(keys) else np.zeros(len(fresh), bool))
+                every, begins = words.stream(numbers)
+                sizes = np.array([len(x) for x in lists])
+                texts = np.append(0, np.cumsum(sizes))
+                net, gain = word_log_probs(w, kinds, every, np.diff(np.append(begins, len(every))[texts]), begins)
                 net, gain = net + np.log(trust), gain - shares[np.minimum(kinds.of[every[begins]], STARTS - 1)]
-                words = np.array([len(x) + 1 for x in lists])
-                flat = np.concatenate([np.append(hashes_of(x), end) for x in lists])
-                at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
-                hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-                text = np.repeat(np.arange(len(lists)), words)
-                mixed = np.logaddexp(net[hit], gain[hit] + unigram[at[hit]]) / np.log(10)
-                sums = [np.bincount(text[hit], weights=x, minlength=len(lists)).astype(np.float64) for x in (None, logs[at[hit]], mixed)]
+                hit, text = hits[numbers], np.repeat(np.arange(len(lists)), sizes)
+                count = known[place[numbers[hit]]]
+                mixed = np.log(np.exp(net[hit]) + np.exp(gain[hit]) * count * ((1 - trust) / denominator)) / np.log(10)
+                sums = [np.bincount(text[hit], weights=x, minlength=len(lists)).astype(np.float64) for x in (None, np.log10(count), mixed)]
                 ends = np.append(0, np.cumsum(np.bincount(text[~hit], minlength=len(lists)))).astype(np.int32)
-                rare = pa.StructArray.from_arrays([pa.array(flat[~hit]), *[pa.array(x[~hit].astype(np.float32)) for x in (net, gain)]], names=["key", "net", "gain"])
-                columns = [pa.array(row + np.arange(len(lists))), batch.column(0), pa.array(words.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(ends), rare)]
+                rare = pa.StructArray.from_arrays([pa.array(words.keys[numbers[~hit]]), *[pa.array(x[~hit].astype(np.float32)) for x in (net, gain)]], names=["key", "net", "gain"])
+                columns = [pa.array(row + np.arange(len(lists))), batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(ends), rare)]
                 row += len(lists)
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "n_hit", "base", "mixed", "rare"])
 
