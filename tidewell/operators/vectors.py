@@ -1,7 +1,8 @@
-"""Vector search: exact cosine top-k of given queries, nearest neighbours of a query set, fusion and linking."""
+"""Vector search: exact cosine top-k, nearest neighbours of a query set, exact or by inverted lists, fusion and linking."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -96,3 +97,85 @@ def keyword_tags(postings: DataFrame, stats: DataFrame, per_article: int = 5, co
     best = scored.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= per_article)
     top = F.max("w").over(Window.partitionBy("doc_id"))
     return best.select(F.col("doc_id").alias("article_id"), F.col("pos"), F.col("term").alias("name"), F.round(F.col("w") / top, 6).alias("confidence"))
+
+
+# ------------------------------------------------------------------ approximate search
+
+
+#: Rows of the sample that the lists' centres are fitted on, and rounds of that.
+IVF_SAMPLE, IVF_STEPS = 20_000, 12
+
+
+@dataclass
+class InvertedLists:
+    """Unit vectors by the centre that they are nearest to: ``rows`` has vec_id, embedding and list; centres are few."""
+
+    centres: np.ndarray
+    rows: DataFrame
+
+    def write(self, path: str) -> None:
+        """Rows lie by list, so that a search reads the lists that it probes."""
+        self.rows.repartition("list").write.partitionBy("list").parquet(f"{path}/rows")
+        frame = pd.DataFrame({"list": range(len(self.centres)), "centre": [c.tolist() for c in self.centres]})
+        self.rows.sparkSession.createDataFrame(frame, "list int, centre array<double>").write.parquet(f"{path}/centres")
+
+    @classmethod
+    def read(cls, spark, path: str) -> InvertedLists:
+        centres = spark.read.parquet(f"{path}/centres").orderBy("list").toPandas()
+        return cls(np.array(centres["centre"].tolist(), np.float64), spark.read.parquet(f"{path}/rows"))
+
+
+def _units(column) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 1))
+    v = np.array(column.tolist(), np.float64).reshape(len(column), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def build_lists(vectors: DataFrame, lists: int | None = None, sample: int = IVF_SAMPLE) -> InvertedLists:
+    """Every vector in the list of its nearest centre; centres are fitted by k-means on the ``sample`` rows of smallest hash."""
+    chosen = _units(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"])
+    k = min(lists or max(1, int(len(chosen) ** 0.5)), max(1, len(chosen)))
+    centres = chosen[np.linspace(0, len(chosen) - 1, k).astype(np.int64)] if len(chosen) else np.zeros((1, 1))
+    for _ in range(IVF_STEPS if len(chosen) else 0):
+        own = np.argmax(chosen @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, chosen)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
+
+    def run(frames):
+        for frame in frames:
+            near = np.argmax(_units(frame["embedding"]) @ centres.T, axis=1) if len(frame) else np.empty(0, int)
+            yield frame.assign(list=near.astype(np.int32))
+
+    return InvertedLists(centres, vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, embedding array<float>, list int"))
+
+
+def near_neighbours(index: InvertedLists, queries: DataFrame, k: int, probes: int, digits: int = 6) -> DataFrame:
+    """query_id, vec_id, similarity and rank: the k nearest of each query in the ``probes`` lists nearest to it, not itself.
+
+    Queries go to the workers in blocks; a list is compared with the queries that probe it only.
+    """
+    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    out = []
+    for n in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).select("vec_id", "embedding").toPandas()
+        ids = block["vec_id"].to_numpy(np.int64)
+        q = _units(block["embedding"]) if len(block) else np.zeros((0, index.centres.shape[1]))
+        probed = np.argsort(-(q @ index.centres.T), axis=1, kind="stable")[:, :probes]
+        asked = {int(c): np.flatnonzero((probed == c).any(axis=1)) for c in np.unique(probed)}
+
+        def run(frames, ids=ids, q=q, asked=asked):
+            for frame in frames:
+                for c, part in frame.groupby("list"):
+                    own, rows = part["vec_id"].to_numpy(np.int64), asked[int(c)]
+                    s = np.round(q[rows] @ _units(part["embedding"]).T, digits)
+                    s[ids[rows][:, None] == own[None, :]] = -2
+                    for i, r in enumerate(rows):
+                        best = np.lexsort((own, -s[i]))[:k]
+                        yield pd.DataFrame({"query_id": ids[r], "vec_id": own[best], "similarity": s[i, best]}).query("similarity > -2")
+
+        out.append(index.rows.filter(F.col("list").isin(list(asked))).mapInPandas(run, "query_id long, vec_id long, similarity double"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id"))
+    return reduce(DataFrame.unionByName, out).withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -672,6 +672,23 @@ def vector_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return vectors.neighbours(v, v.filter("vec_id % 20 = 0"), 5)
 
 
+@query(
+    "vector_lists",
+    "SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 5",
+)
+def vector_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Inverted lists that are all probed, which finds what an exact search finds."""
+    v = domain.table(spark, d, "embeddings")
+    return vectors.near_neighbours(vectors.build_lists(v, lists=20), v.filter("vec_id % 20 = 0"), 5, probes=20)
+
+
+@query("vector_lists_probed")
+def vector_lists_probed(spark: SparkSession, d: str) -> DataFrame:
+    """18 of 24 lists are probed, as these vectors hardly cluster; the tests measure the recall against the exact search."""
+    v = domain.table(spark, d, "embeddings")
+    return vectors.near_neighbours(vectors.build_lists(v, lists=24), v.filter("vec_id % 20 = 0"), 5, probes=18)
+
+
 @query(
     "hybrid_rrf",
     _POSTINGS
