@@ -107,6 +107,19 @@ def test_packing(spark):
     assert len(cost) > 1
 
 
+def test_step_groups_are_balanced():
+    """Groups of a step cost nearly the same attention (the sum of squared piece lengths), and differ by a window at most."""
+    rng = random.Random(55)
+    for count in (256, 250, 31):
+        windows = [(1024, [(None, 0, n) for n in sorted(rng.choice([[1024], [512, 512], [700, 324], [128] * 8, [1000, 24], [256] * 4]))]) for _ in range(count)]
+        groups = collections.defaultdict(list)
+        for g, w in packing.balanced(windows):
+            groups[g].append(sum(n**2 for _, _, n in w[1]))
+        sizes, costs = [len(x) for x in groups.values()], [sum(x) for x in groups.values()]
+        assert sum(sizes) == count and max(sizes) - min(sizes) <= 1 and max(sizes) <= packing.GROUP
+        assert max(costs) <= 1.1 * min(costs)
+
+
 # ------------------------------------------------------------------ 2 chat
 
 
@@ -480,6 +493,19 @@ def test_bounded_loads_move_little():
     assert max(loads.values()) <= int(1.1 * total / 16) + 1
 
 
+def test_exact_loads_move_little():
+    """As the query has it, without slack: a new shard takes its share, and little else moves."""
+    rng = random.Random(56)
+    counts = {c: rng.randrange(3) for c in range(sharding.CELLS)}
+    total = sum(counts.values())
+    owner = lambda shards: {(c, k): s for c, lo, hi, s, _ in sharding.deal(counts, sharding.ring(shards, 128), sharding.capacities(total, shards)) for k in range(lo, hi)}
+    a, b = owner(16), owner(17)
+    moved = sum(a[k] != b[k] for k in a) / total
+    assert len(a) == total == len(b) and 1 / 17 <= moved < 0.15
+    loads = collections.Counter(a.values())
+    assert max(loads.values()) - min(loads.values()) <= 1
+
+
 def test_write_shards(spark, tmp_path):
     df = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     sharding.write_shards(df, f"{tmp_path}/out", 4)

@@ -15,6 +15,7 @@ input are ignored.
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -102,12 +103,20 @@ class Packer:
 
 
 def balanced(windows: list[tuple[int, list]], group: int = GROUP) -> Iterator[tuple[int, tuple[int, list]]]:
-    """(group index, window): windows by falling attention cost are dealt to the groups to and fro."""
+    """(group index, window): windows by falling attention cost go to the group with room that costs least so far.
+
+    Groups differ by one window at most.
+    """
     count = -(-len(windows) // group)
-    order = sorted(range(len(windows)), key=lambda i: (-sum(p[2] ** 2 for p in windows[i][1]), i))
-    for rank, i in enumerate(order):
-        turn, at = divmod(rank, count)
-        yield (at if turn % 2 == 0 else count - 1 - at), windows[i]
+    room = [len(windows) // count + (g < len(windows) % count) for g in range(count)] if count else []
+    cost = [sum(p[2] ** 2 for p in pieces) for _, pieces in windows]
+    heap = [(0, g) for g in range(count)]
+    for i in sorted(range(len(windows)), key=lambda i: (-cost[i], i)):
+        total, g = heapq.heappop(heap)
+        room[g] -= 1
+        if room[g]:
+            heapq.heappush(heap, (total + cost[i], g))
+        yield g, windows[i]
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...] = TIERS, with_ids: bool = True) -> DataFrame:
