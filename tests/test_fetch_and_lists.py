@@ -7,9 +7,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import store, vectors
+from tidewell.operators import search, store, vectors
 from tidewell.sources import fetch as fx
 from tidewell.sources.feeds import fetch_all
+from tidewell.sources.pages import extraction_counts, process_pending
 
 NOW = "2024-06-01 00:00:00"
 
@@ -76,3 +77,20 @@ def test_lists_of_few_vectors(spark):
     assert vectors.near_neighbours(vectors.build_lists(df), df, 2, probes=9).count() == 6
     none = df.limit(0)
     assert vectors.near_neighbours(vectors.build_lists(none), none, 2, probes=3).count() == 0
+
+
+def test_extraction_counts(spark):
+    rows = [(i, f"http://p.example/{i}", 0 if i < 5 else 1) for i in range(7)]
+    articles = store.shaped(spark.createDataFrame(rows, "id long, url string, content_extracted int"), store.ARTICLES, "articles", NOW)
+    page = "<html><body><article><p>Some words</p></article></body></html>"
+    replies = [(f"http://p.example/{i}", status, "text/html", page) for i, status in ((0, 200), (1, 404), (2, 200))]
+    robots = spark.createDataFrame([("http://p.example", "User-agent: *\nDisallow: /2")], "domain string, body string")
+    before = {"articles": articles}
+    after, errors = process_pending(before, spark.createDataFrame(replies, "url string, status int, content_type string, body string"), robots, "agent/1", NOW)
+    assert tuple(extraction_counts(before, after, errors).first()) == (1, 2, 4)
+
+
+def test_schema_fields(spark):
+    docs = spark.createDataFrame([(1, "t", "a")], "doc_id long, title string, author string")
+    assert search.schema_fields(search.build_index(docs)) == [("title", "stemmed"), ("author", "plain")]
+    assert search.schema_fields(search.build_index(docs, stemming=False)) == [("title", "words"), ("author", "plain")]

@@ -96,6 +96,11 @@ def build_index(documents: DataFrame, stemming: bool = True) -> Index:
     return Index(documents, postings, field_stats(postings, documents), stemming)
 
 
+def schema_fields(index: Index) -> list[tuple[str, str]]:
+    """The searchable fields of an index and how each is analysed: stemmed, or as plain words without places."""
+    return [(f, "stemmed" if index.stemming else "words") if f in STEMMED else (f, "plain") for f in (*STEMMED, *PLAIN) if f in index.docs.columns]
+
+
 def field_stats(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """field, n_docs (of the whole index) and avg_len over all documents, those without a token in the field too."""
     total = docs.agg(F.count("*").alias("n_docs"))

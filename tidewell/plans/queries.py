@@ -594,7 +594,7 @@ def event_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tag_co_occurrence", "SELECT x.name AS a, y.name AS b, count(*) AS articles FROM (SELECT article_id, name FROM article_tags JOIN tags ON id = tag_id) x JOIN (SELECT article_id, name FROM article_tags JOIN tags ON id = tag_id) y ON x.article_id = y.article_id AND x.name < y.name GROUP BY ALL", "tags")
 def tag_co_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    named = domain.article_tags(spark, d).join(F.broadcast(domain.tags(spark, d).select(F.col("id").alias("tag_id"), "name")), "tag_id")
+    named = domain.article_tags(spark, d).join(domain.tags(spark, d).select(F.col("id").alias("tag_id"), "name"), "tag_id")
     return graph.co_occurrence(named.select("article_id", F.col("name").alias("entity")))
 
 

@@ -60,7 +60,7 @@ def tags(spark: SparkSession, folder: str) -> DataFrame:
 def article_tags(spark: SparkSession, folder: str) -> DataFrame:
     t = tags(spark, folder)
     own = table(spark, folder, "documents").select(F.col("doc_id").alias("article_id"), F.col("lang").alias("name"))
-    lang = own.join(F.broadcast(t), "name").select("article_id", F.col("id").alias("tag_id"), F.lit(1.0).alias("confidence"))
+    lang = own.join(t, "name").select("article_id", F.col("id").alias("tag_id"), F.lit(1.0).alias("confidence"))
     labels = table(spark, folder, "labels")
     marked = lambda c, n, v: labels.filter(F.col(c) == 1).select(F.col("doc_id").alias("article_id"), F.lit(n).cast("long").alias("tag_id"), F.lit(v).alias("confidence"))
     return lang.unionByName(marked("quality", 101, 0.9)).unionByName(marked("toxic", 102, 0.8))

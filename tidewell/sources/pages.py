@@ -59,3 +59,11 @@ def process_pending(state: dict[str, DataFrame], responses: DataFrame, robots: D
     done = extract_pages(checked.filter("error IS NULL"), "body", "content_type")
     delta = done.select("id", F.col("text").alias("content"), "content_hash", "title", "author", "published_at")
     return state | {"articles": update_content(state["articles"], delta, as_of, strict=False)}, checked.filter("error IS NOT NULL").select("id", "url", "error")
+
+
+def extraction_counts(before: dict[str, DataFrame], after: dict[str, DataFrame], errors: DataFrame) -> DataFrame:
+    """One row: how many articles a run of process_pending extracted, failed on, and left waiting."""
+    was = before["articles"].agg(F.count_if(F.col("content_extracted") == 0).alias("was"))
+    left = after["articles"].agg(F.count_if(F.col("content_extracted") == 0).alias("waiting"))
+    failed = errors.agg(F.count("*").alias("failed"))
+    return was.join(left).join(failed).select((F.col("was") - F.col("waiting")).alias("extracted"), "failed", "waiting")  # one row each
