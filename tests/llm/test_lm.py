@@ -42,7 +42,8 @@ def check_gradients(w, x, y, rng):
 def test_gradients():
     rng = np.random.default_rng(13)
     w = double(lm.Weights.initial(np.full(lm.CLASSES, -math.log(lm.CLASSES))))
-    check_gradients(w, rng.integers(0, lm.CLASSES + 1, (3, 2 * lm.BLOCK)), rng.integers(0, lm.CLASSES, (3, lm.BLOCK)), rng)
+    for m in (lm.BLOCK, 2 * lm.BLOCK):
+        check_gradients(w, rng.integers(0, lm.CLASSES + 1, (3, 2 * lm.BLOCK)), rng.integers(0, lm.CLASSES, (3, m)), rng)
 
 
 def test_padded_targets_count_for_nothing():
@@ -132,6 +133,7 @@ def test_blocks():
     streams = [(rng.integers(0, 50_000, sizes.sum()).astype(np.uint16), sizes) for _ in range(3)]
     of = some_classes(rng).of
     parts = [w for turn in range(3) for w in lm.windows(iter(streams), of, turn, 3)]
+    assert all(x.shape == y.shape and x.shape[1] == 2 * lm.BLOCK and np.array_equal(x[:, 1:][y[:, 1:] != lm.CLASSES], y[:, :-1][y[:, 1:] != lm.CLASSES]) for x, y in parts)
     targets = np.concatenate([y.ravel() for _, y in parts])
     assert sorted(targets[targets != lm.CLASSES].tolist()) == sorted(of[np.concatenate([s for s, _ in streams])].tolist())
 

@@ -15,7 +15,7 @@ block of BLOCK places and in the block before, with a learned bias for each dist
 overlap by one, so each id is scored once, with at least BLOCK places of context, in batched masked products.
 
 1. One pass over the training documents gathers word counts and the streams of ids (2 bytes an id).
-2. Training: every block of every stream is a window once; in each round every partition runs Adam from the shared
+2. Training: the streams are cut into windows of two blocks, all of whose ids are targets; in each round every partition runs Adam from the shared
    weights over its share of the windows, and the weights are averaged by their targets, in a tree. A partition of
    few windows goes over them up to EPOCHS times. The padding after a text's end is no target.
 3. One pass scores all documents. Counts of the ``frequent`` most common words go to the workers (a bounded
@@ -50,7 +50,7 @@ CLASSES = STARTS + CONTS
 #: Weight of the probability of a word by its ids; the rest goes by its share among the words of its class.
 TRUST = 0.2
 #: Most times that training goes over the windows of a partition in a round, and windows that are shuffled together.
-EPOCHS, SHUFFLED = 40, 65_536
+EPOCHS, SHUFFLED = 40, 32_768
 #: Sets of weights that one task sums up.
 FAN = 64
 #: Ids of the vocabulary, and the id of a text's end, which no text has.
@@ -189,32 +189,34 @@ class Weights:
         return cls(parts)
 
 
-_FAR = (BLOCK + np.arange(BLOCK))[:, None] - np.arange(2 * BLOCK)[None, :]  # distance of each key from each query
+#: Distance of each key from each query of a window, whose first block has queries in training only.
+_FAR = np.arange(2 * BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
 _SEEN = _FAR >= 0
 
 
-def attention_bias(bias: np.ndarray) -> np.ndarray:
-    return np.where(_SEEN, bias[np.maximum(_FAR, 0)], np.float32(-1e9)).astype(np.float32)
+def attention_bias(bias: np.ndarray, queries: int = BLOCK) -> np.ndarray:
+    """The bias by distance for the last places of a window; keys after a query are masked."""
+    return np.where(_SEEN, bias[np.maximum(_FAR, 0)], np.float32(-1e9)).astype(np.float32)[-queries:]
 
 
-def blocks_of(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs x and targets y (n, BLOCK), which blocks are a text's first, and the place of each id in y.
+def blocks_of(classes: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs x and targets y (n, block), which blocks are a text's first, and the place of each id in y.
 
     The input of a place is the class before it in the text; CLASSES stands before a text and for padding.
     """
-    blocks = -(-sizes // BLOCK)
+    blocks = -(-sizes // block)
     begin = np.cumsum(blocks) - blocks
     ends = np.cumsum(sizes)
     total = int(blocks.sum())
-    place = np.arange(len(classes)) + np.repeat(begin * BLOCK - (ends - sizes), sizes)
-    x, y = np.full(total * BLOCK, CLASSES, np.uint8), np.full(total * BLOCK, CLASSES, np.uint8)
+    place = np.arange(len(classes)) + np.repeat(begin * block - (ends - sizes), sizes)
+    x, y = np.full(total * block, CLASSES, np.uint8), np.full(total * block, CLASSES, np.uint8)
     y[place] = classes
     x[1:] = y[:-1]
-    x[begin * BLOCK] = CLASSES
+    x[begin * block] = CLASSES
     x[y == CLASSES] = CLASSES
     first = np.zeros(total, bool)
     first[begin] = True
-    return x.reshape(-1, BLOCK), y.reshape(-1, BLOCK), first, place
+    return x.reshape(-1, block), y.reshape(-1, block), first, place
 
 
 def groups(y: np.ndarray) -> list[tuple[np.ndarray, slice]]:
@@ -224,61 +226,67 @@ def groups(y: np.ndarray) -> list[tuple[np.ndarray, slice]]:
 
 
 def gradients(w: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean loss and gradients for windows x (n, 2 BLOCK) of classes and the targets y (n, BLOCK) of their last halves.
+    """Mean loss and gradients for windows x (n, 2 BLOCK) of classes and the targets y of their last places.
 
     Targets of CLASSES are padding and count for nothing.
     """
     embed, qkv, bias, out = w.parts
-    n, scale, kind = len(x), embed.dtype.type(1 / np.sqrt(WIDTH)), embed.dtype
+    n, m, scale, kind = len(x), y.shape[1], embed.dtype.type(1 / np.sqrt(WIDTH)), embed.dtype
     e = embed[x]
     p = (e.reshape(-1, WIDTH) @ qkv).reshape(n, 2 * BLOCK, 3 * WIDTH)
-    q, k, v = p[:, BLOCK:, :WIDTH], p[:, :, WIDTH : 2 * WIDTH], p[:, :, 2 * WIDTH :]
-    a = (q * scale) @ k.transpose(0, 2, 1)
-    a += attention_bias(bias)
+    q, k, v = p[:, -m:, :WIDTH] * scale, p[:, :, WIDTH : 2 * WIDTH], p[:, :, 2 * WIDTH :]
+    a = q @ k.transpose(0, 2, 1)
+    a += attention_bias(bias, m)
     np.exp(np.minimum(a, 60, out=a), out=a)
     a /= a.sum(axis=2, keepdims=True)
-    h = np.empty((n * BLOCK, 2 * WIDTH + 1), kind)
-    h[:, :WIDTH], h[:, WIDTH:-1], h[:, -1] = e[:, BLOCK:].reshape(-1, WIDTH), (a @ v).reshape(-1, WIDTH), 1
 
-    flat, d_out, dh, loss = y.ravel(), np.zeros_like(out), np.zeros_like(h), 0.0
-    targets = max(1, int((flat < CLASSES).sum()))
+    # The places of targets, those of ids that begin words first.
+    flat, kinds = y.ravel(), groups(y)
+    order = np.concatenate([rows for rows, _ in kinds])
+    h = np.empty((len(order), 2 * WIDTH + 1), kind)
+    h[:, :WIDTH], h[:, WIDTH:-1], h[:, -1] = e[:, -m:].reshape(-1, WIDTH)[order], (a @ v).reshape(-1, WIDTH)[order], 1
+    targets, starts = max(1, len(order)), len(kinds[0][0])
     begins = 1 / (1 + np.exp(-np.clip(h @ out[:, -1], -60, 60)))
-    error = (begins - (flat < STARTS)) * (flat < CLASSES) / targets
+    error = begins.copy()
+    error[:starts] -= 1
+    error /= targets
+    d_out, dh, loss = np.zeros_like(out), error[:, None].astype(kind) * out[:, -1], 0.0
     d_out[:, -1] = h.T @ error
-    dh += error[:, None].astype(kind) * out[:, -1]
-    for (rows, cut), sign in zip(groups(y), (1, -1), strict=True):
-        own = h[rows]
+    for (rows, cut), chance, here in zip(kinds, (begins[:starts], 1 - begins[starts:]), (slice(0, starts), slice(starts, None)), strict=True):
+        own = h[here]
         g = own @ out[:, cut]
-        np.minimum(g, 60, out=g)
+        if len(g) and g.max() > 60:
+            np.minimum(g, 60, out=g)
         target = np.arange(len(rows)), flat[rows].astype(np.int64) - cut.start
         chosen = g[target]
         np.exp(g, out=g)
         total = g.sum(axis=1)
-        chance = begins[rows] if sign > 0 else 1 - begins[rows]
         loss += float((np.log(total) - chosen - np.log(chance)).sum()) / targets
         g *= (1 / (total * targets))[:, None].astype(kind)
         g[target] -= kind.type(1 / targets)
         d_out[:, cut] = own.T @ g
-        dh[rows] += g @ out[:, cut].T
+        dh[here] += g @ out[:, cut].T
 
-    dh = dh[:, :-1].reshape(n, BLOCK, 2 * WIDTH)
-    do = dh[:, :, WIDTH:]
+    back = np.zeros((n * m, 2 * WIDTH), kind)
+    back[order] = dh[:, :-1]
+    back = back.reshape(n, m, 2 * WIDTH)
+    do = back[:, :, WIDTH:]
     ds = do @ v.transpose(0, 2, 1)
     ds -= np.einsum("nqk,nqk->nq", ds, a)[:, :, None]
     ds *= a
     dp = np.zeros_like(p)
-    dp[:, BLOCK:, :WIDTH] = ds @ k * scale
-    dp[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ (q * scale)
+    dp[:, -m:, :WIDTH] = ds @ k * scale
+    dp[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
     dp[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ do
-    d_bias = np.bincount(np.maximum(_FAR, 0).ravel(), weights=(ds.sum(axis=0) * _SEEN).ravel(), minlength=2 * BLOCK)
+    d_bias = np.bincount(np.maximum(_FAR[-m:], 0).ravel(), weights=(ds.sum(axis=0) * _SEEN[-m:]).ravel(), minlength=2 * BLOCK)
     flat_p = dp.reshape(-1, 3 * WIDTH)
     de = (flat_p @ qkv.T).reshape(n, 2 * BLOCK, WIDTH)
-    de[:, BLOCK:] += dh[:, :, :WIDTH]
-    order = np.argsort(x.ravel(), kind="stable")
-    ranked = x.ravel()[order]
+    de[:, -m:] += back[:, :, :WIDTH]
+    by_class = np.argsort(x.ravel(), kind="stable")
+    ranked = x.ravel()[by_class]
     at = np.flatnonzero(np.diff(ranked.astype(np.int64), prepend=-1))
     d_embed = np.zeros_like(embed)
-    d_embed[ranked[at]] = np.add.reduceat(de.reshape(-1, WIDTH)[order], at, axis=0)
+    d_embed[ranked[at]] = np.add.reduceat(de.reshape(-1, WIDTH)[by_class], at, axis=0)
     return loss, [d_embed, e.reshape(-1, WIDTH).T @ flat_p, d_bias.astype(kind), d_out]
 
 
@@ -494,28 +502,22 @@ def classes_of(counts: np.ndarray, near: np.ndarray, begins: np.ndarray) -> Clas
 
 
 def windows(streams: Iterator[tuple[np.ndarray, np.ndarray]], of: np.ndarray, turn: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The windows of the round's rows of the streams: x of two blocks and the targets y of the second, some SHUFFLED at a time."""
-    none = np.full((1, BLOCK), CLASSES, np.uint8)
-    xs: list[np.ndarray] = []
-    ys: list[np.ndarray] = []
+    """The windows of the round's rows of the streams: x and y of two blocks, some SHUFFLED at a time."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def mixed() -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.concatenate(xs), np.concatenate(ys)
+        x, y = (np.concatenate([p[k] for p in parts]) for k in range(2))
         order = np.random.default_rng(turn).permutation(len(x))
-        xs.clear(), ys.clear()
+        parts.clear()
         return x[order], y[order]
 
     for number, (ids, sizes) in enumerate(streams):
         if number % rounds != turn:
             continue
-        x, y, first, _ = blocks_of(of[ids], sizes)
-        before = np.concatenate([none, x[:-1]])
-        before[first] = CLASSES
-        xs.append(np.concatenate([before, x], axis=1))
-        ys.append(y)
-        if sum(map(len, xs)) >= SHUFFLED:
+        parts.append(blocks_of(of[ids], sizes, 2 * BLOCK)[:2])
+        if sum(len(x) for x, _ in parts) >= SHUFFLED:
             yield mixed()
-    if xs:
+    if parts:
         yield mixed()
 
 
@@ -552,7 +554,7 @@ def average(local: DataFrame, partitions: int) -> Weights | None:
     return Weights.from_array(sum(np.frombuffer(r["flat"]) for r in rows) / sum(r["weight"] for r in rows))
 
 
-def fit(streams: DataFrame, classes: Classes, rounds: int = 3, batch: int = 128, least_steps: int = 120, rate: float = 0.01) -> Weights:
+def fit(streams: DataFrame, classes: Classes, rounds: int = 3, batch: int = 64, least_steps: int = 120, rate: float = 0.01) -> Weights:
     """Local Adam on every partition of the streams and weighted averages, round by round."""
     of, w = classes.of, Weights.initial(classes.share)
     partitions = streams.rdd.getNumPartitions()
