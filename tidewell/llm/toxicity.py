@@ -5,8 +5,9 @@ rows: the ``max_rows`` training rows of smallest hash. For every sample row that
 are made in which each identity term is swapped for another of its set, and the squared change of the score between
 the row and each copy is added to the loss, so a group's name can't carry weight of its own.
 
-Features are hashed into 2 ** BITS weights, so no feature is left out and the model can go to every worker. Scoring
-is one pass over all whole texts without a shuffle. Inputs of a score are the words of the text and nothing else.
+Features are hashed into 2 ** BITS weights, so no feature is left out and the model can go to every worker. Each is
+scaled by how far apart the shares of toxic and other sample rows that hold it are (a z-score), so that the many
+rare ones of long texts count little. Scoring is one pass over all whole texts without a shuffle. Inputs of a score are the words of the text and nothing else.
 
 Defined results: a null or empty text has the score of no words; a null doc_id counts as held out; labels
 that are null are ignored and of repeated ones the largest counts; without training rows of both labels
@@ -51,6 +52,8 @@ IDENTITY = (
 BEGIN = (4, 8)
 #: Weights are kept for so many bits of a feature's hash.
 BITS = 20
+#: A z-score that leaves a feature as it is, and the largest that counts.
+USUAL_Z, MOST_Z = 5.0, 10.0
 #: ASCII characters that separate words.
 _MARKS = b".,;:!?\"()[]{}<>*|/\\#%&=+~`^_$@-"
 _SEPARATE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
@@ -201,6 +204,17 @@ def loss_gradient(w: np.ndarray, rows: Rows, labels: np.ndarray, weight: np.ndar
     return out
 
 
+def scales(rows: Rows, labels: np.ndarray, size: int) -> np.ndarray:
+    """For each feature the z-score of the difference between the shares of rows of label 1 and of label 0 that hold it, over USUAL_Z."""
+    ones, n = labels.sum(), len(labels)
+    held = np.bincount(rows.features, minlength=size)
+    toxic = np.bincount(rows.features, weights=np.repeat(labels, np.diff(rows.ends)), minlength=size)
+    share = held / n
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / ones + 1 / (n - ones)))
+    z = np.abs(toxic / ones - (held - toxic) / (n - ones)) / spread
+    return np.where(held > 0, np.minimum(z, MOST_Z), 0) / USUAL_Z
+
+
 def fit(sample: Sample, balance: float = 0.5, ridge: float = 0.0005, strength: float = 5.0, epochs: int = 24, batch: int = 512, rate: float = 0.05) -> Model:
     """Adam on mean log loss + ridge * |w|^2 + strength * mean squared change of the score under swaps."""
     y, n = sample.labels, len(sample.labels)
@@ -213,7 +227,8 @@ def fit(sample: Sample, balance: float = 0.5, ridge: float = 0.0005, strength: f
         number[x.features] = 1
     used = np.flatnonzero(number)
     number[used] = np.arange(len(used))
-    rows, changes = (Rows(number[x.features], x.values, x.ends) for x in (sample.rows, sample.changes))
+    scale = scales(Rows(number[sample.rows.features], sample.rows.values, sample.rows.ends), y, len(used)).astype(np.float32)
+    rows, changes = (Rows(at := number[x.features], x.values * scale[at], x.ends) for x in (sample.rows, sample.changes))
     weight = np.where(y == 1, ((1 - share) / share) ** balance, 1.0)
     weight /= weight.mean()
     w = np.zeros(len(used) + 1)
@@ -232,7 +247,7 @@ def fit(sample: Sample, balance: float = 0.5, ridge: float = 0.0005, strength: f
             v += 0.001 * (grad * grad - v)
             w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     out = np.zeros(1 << BITS, np.float32)
-    out[used] = w[:-1]
+    out[used] = w[:-1] * scale
     return Model(out, float(w[-1]))
 
 
