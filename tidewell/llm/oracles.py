@@ -37,7 +37,7 @@ def _op8(rules: tuple[quality.Rule, ...] = quality.RULES, min_docs: int = 100) -
     names = [r.metric for r in rules]
     bucket = lambda m: f"CASE WHEN {m} <= 0 THEN 0 ELSE CAST(floor(ln(CAST({m} AS DOUBLE)) / {log_gamma!r}) AS INTEGER) + 1 END"
     share = lambda part, whole, times, name: f"CAST(floor({part} * {times} / greatest({whole}, 1)) AS BIGINT) AS {name}"
-    beyond = lambda part: f"greatest({part} - {quality.RARE}, 0)"
+    beyond = lambda part: f"greatest({part} - {quality.RARE} - n_words // 100, 0)"
     value = lambda b: f"(CASE WHEN {b} <= 0 THEN 0.0 ELSE pow({quality.GAMMA!r}, {b}) END)"
     spread = f"greatest({value('hi')} - {value('lo')}, {value('hi')} / {quality.FLAT})"
     above = " ".join(f"WHEN '{r.metric}' THEN {value('hi')} + {r.above} * {spread}" for r in rules)
@@ -54,7 +54,7 @@ c AS (SELECT d0.doc_id, lang, source, len(w) AS n_words, coalesce(length(array_t
   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d0) d0 LEFT JOIN rep ON rep.doc_id = d0.doc_id),
 m AS (SELECT *, {share(beyond('n_marks'), 'word_chars', 10000, 'marks_bp')}, {share(beyond('n_dup_lines'), 'n_lines', 10000, 'dup_lines_bp')}, {share(beyond('n_stutters'), 'n_words', 10000, 'stutter_bp')}, {share('n_caps', 'word_chars', 10000, 'caps_bp')},
-  {share('word_chars', 'n_words', 100, 'word_chars_avg')}, {share(beyond('n_short'), 'n_words', 10000, 'short_bp')}, {share('n_words', 'n_lines', 100, 'line_words_avg')} FROM c),
+  {share('word_chars', 'n_words', 100, 'word_chars_avg')}, {share(f'greatest(n_short - {quality.FEW}, 0)', 'n_words', 10000, 'short_bp')}, {share('n_words', 'n_lines', 100, 'line_words_avg')} FROM c),
 sk AS (SELECT lang, source, metric, bucket, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT lang, source, '{x}' AS metric, {bucket(x)} AS bucket FROM m WHERE n_words > 0" for x in names)}) GROUP BY ALL),
 lv AS ({level(0, 'lang', 'source')} UNION ALL {level(1, 'lang', 'NULL')} UNION ALL {level(2, 'NULL', 'NULL')}),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM lv),

@@ -6,8 +6,9 @@ partial sketches are summed before the shuffle and a hot source costs no more th
 group with fewer than ``min_docs`` documents uses the merged sketch of its language, and that of all
 documents below that. The fences of a metric lie a multiple of the spread of its middle half beyond that half;
 documents beyond any fence are rejected. No cutoff is fixed: where a group's documents are all alike, its fences
-are narrow, and a spread below a FLAT-th of the value counts as that. Of what a group may lack (marks, repeated
-lines, words said twice, short words) the first RARE in a text are not counted, as a spread of nothing says little.
+are narrow, and a spread below a FLAT-th of the value counts as that. Of what most texts lack (marks, repeated
+lines, words said twice) the first RARE in a text and one in a hundred words are not counted, nor are the first FEW
+short words, as a spread of nothing says little.
 
 Defined results: a null text has no words and fails the base rule; null languages and sources are
 groups of their own; repeated rows are judged alike; an empty table gives an empty result; further
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import SPACE, let, materialize, nonnull_text, words_of
 
 GAMMA = 1.01
-FLAT, RARE = 20, 2
+FLAT, RARE, FEW = 20, 4, 2
 #: Groups up to which the table of fences goes to every executor (some 100 bytes each).
 BROADCAST_GROUPS = 20_000
 #: Fixed values of the base rule.
@@ -102,7 +103,7 @@ def measure(text: Column) -> Column:
 
     def shares(c: Column) -> Column:
         share = lambda part, whole, times: F.floor(part * times / F.greatest(c[whole], F.lit(1))).cast("long")
-        beyond = lambda part: F.greatest(c[part] - RARE, F.lit(0))
+        beyond = lambda part: F.greatest(c[part] - RARE - F.floor(c["n_words"] / 100), F.lit(0))
         return F.struct(
             *[c[name].alias(name) for name in METRICS],
             share(beyond("n_marks"), "word_chars", 10000).alias("marks_bp"),
@@ -110,7 +111,7 @@ def measure(text: Column) -> Column:
             share(beyond("n_stutters"), "n_words", 10000).alias("stutter_bp"),
             share(c["n_caps"], "word_chars", 10000).alias("caps_bp"),
             share(c["word_chars"], "n_words", 100).alias("word_chars_avg"),
-            share(beyond("n_short"), "n_words", 10000).alias("short_bp"),
+            share(F.greatest(c["n_short"] - FEW, F.lit(0)), "n_words", 10000).alias("short_bp"),
             share(c["n_words"], "n_lines", 100).alias("line_words_avg"),
         )
 
