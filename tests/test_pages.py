@@ -1,7 +1,10 @@
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions.html import extract
 from tidewell.operators import store
+from tidewell.plans.queries import ORACLE_SQL, QUERIES
 from tidewell.sources.pages import blocked, extract_pages, process_pending
 
 NEWS = """<html><head><title>Site</title><meta name="pubdate" content="never"></head><body><nav><li>Home</li></nav>
@@ -52,3 +55,23 @@ def test_blocked_and_pending(spark):
     assert done[1].content_extracted == 1 and done[1].title == "Big & small" and done[1].word_count > 5
     assert done[2].content_extracted == 0 and failed.select("error").first()[0] == "HTTP 404"
     assert state["articles"].select(F.sum("content_extracted")).first()[0] == 1
+
+
+def test_unclosed_references():
+    page = "<article><h1>a &amp; b&amp</h1><p>x&lt y &#65; &#65 & &am&amp<b>z</b></p><script>'&amp'</script></article>"
+    assert extract(page)[1:3] == (["# a & b&", "x< y A A & &am& z"], "a & b&")
+    assert extract(page, closed=True)[1:3] == (["# a & b&amp", "x&lt y A &#65 & &am&amp z"], "a & b&amp")
+    script = "<article><p>t<script>'&amp' < &</script>&amp<!-- & <script> -->&lt</p></article>"
+    assert extract(script, closed=True)[1] == ["t '&amp' < & &amp &lt"]
+
+
+@pytest.mark.parametrize("name", ["page_extract"])
+def test_cut_references_against_sql(spark, tmp_path, name):
+    titles = ["and&&amp", "and&&am", "and&", "x &lt", "x &quot", "a &gt; b &amp;", "&amp;amp", ""]
+    rows = [(i, "http://a.org/1", f"<html><body><article><h1>{t}</h1><p>{t} some text</p></article></body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = c.execute(ORACLE_SQL[name])
+        columns = [x[0] for x in want.description]
+        assert sorted(want.fetchall()) == sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*columns).collect())

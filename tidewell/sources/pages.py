@@ -24,15 +24,16 @@ def blocked(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     return joined.withColumn("error", F.coalesce(url_error(F.col("url")), denied)).drop("_key", "_domain", "_rules")
 
 
-def extract_pages(pages: DataFrame, body: str = "html", content_type: str | None = None, max_bytes: int = MAX_ARTICLE_BYTES) -> DataFrame:
+def extract_pages(pages: DataFrame, body: str = "html", content_type: str | None = None, max_bytes: int = MAX_ARTICLE_BYTES, closed: bool = False) -> DataFrame:
     """Adds text, blocks, title, author, published_at, word_count, content_hash and potentially_incomplete.
 
     Only rows that look like HTML go through the Python worker; other bodies are text with their white space normalised.
+    HTML5 reads ``&amp`` without a semicolon as an ampersand; with ``closed`` it stays as it stands.
     """
     raw = truncate_utf8(F.col(body), max_bytes)
     typed = F.col(content_type) if content_type else F.lit(None).cast("string")
     marked = pages.withColumn("_raw", raw).withColumn("_html", F.when(looks_like_html(typed, raw), raw))
-    got = marked.withColumn("_x", extract_html(F.col("_html")))
+    got = marked.withColumn("_x", extract_html(F.col("_html"), closed))
     text = F.when(F.col("_html").isNotNull(), normalize_whitespace(F.col("_x.text"))).otherwise(normalize_whitespace(F.col("_raw")))
     got = got.withColumn("text", truncate_utf8(text, max_bytes))
     date = F.get(F.filter(F.transform("_x.dates", parse_page_date), lambda d: d.isNotNull()), F.lit(0))
