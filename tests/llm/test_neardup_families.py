@@ -72,3 +72,26 @@ def test_many_ids_are_shuffled(spark, monkeypatch):
     for how, n in (("left_semi", 10), ("left_anti", 40)):
         out = neardup.rows_of(df, ids, how)
         assert out.count() == n and "ResolvedHint" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_links_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """Buckets of one group give each member links to many others; all but a few say nothing new."""
+    rng = random.Random(54)
+    base, texts, seen = [f"w{i}" for i in range(300)], {}, []
+    for i in range(400):
+        w = [*base]
+        for at in rng.sample(range(300), 3):
+            w[at] = f"u{i}x{at}"
+        texts[i] = " ".join(w)
+    plain = neardup.components
+    monkeypatch.setattr(neardup, "components", lambda links: seen.append(links.distinct().count()) or plain(links))
+    rows = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), 4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_groups(texts)
+    assert 0 < sum(seen) < 2 * len(texts)
+
+
+def test_components_are_put_together(spark):
+    found = spark.createDataFrame([(2, 1), (3, 1), (6, 5), (9, 8)], "node long, component long")
+    links = spark.createDataFrame([(3, 6), (4, 6), (2, 3), (10, 11)], "a long, b long")
+    got = {r.node: r.component for r in neardup.put_together(found, links).collect()}
+    assert got == {2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 9: 8, 11: 10}

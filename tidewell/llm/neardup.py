@@ -7,7 +7,8 @@
 3. Representatives that share a band key are candidates. A bucket of up to ``SMALL`` gives all its pairs; in
    a larger one each member meets two, the smallest and one by hash, so n copies cost 2 n candidates.
 4. Candidates are thinned by set size and by the collision-corrected estimate from bit counts (a margin of
-   more than five standard deviations below the threshold), then confirmed on full shingle sets.
+   more than five standard deviations below the threshold), then confirmed on full shingle sets: first
+   one pair of each document, then those whose documents are still in different components.
 5. Larger buckets that still hold several components may hide links between their other members. Their
    members are bucketed again by the band keys of 2, 3, ... such buckets at once, which part documents that
    only share a common passage and keep near copies together, and steps 3 and 4 are done on these.
@@ -15,7 +16,8 @@
    join two components of such a bucket. Rare-first prefixes of their sets (two sets of similarity s share an
    element of these) are joined across components, with the bound that the place of an element gives for what
    two sets can share. Elements of many documents are joined in blocks of SALTED by SALTED.
-7. Links become components by large-star and small-star steps.
+7. Links become components by large-star and small-star steps. Later links are between components, and only
+   these are put together again.
 
 No bucket is capped and no candidate left out for a group's size: what pivots of a crowded bucket miss, step 6 finds.
 Bands of 4 rows: a pair of similarity 0.8 shares none of 32 with probability 5e-8. Sets are equal when a 128-bit digest
@@ -171,6 +173,15 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def put_together(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of found(node, component) after further links; only the components that these touch are searched."""
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(between)
+    moved = found.join(over.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return materialize(moved.select("node", F.coalesce("to", "component").alias("component")).union(over), "found")
+
+
 def thin(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose set sizes and estimated similarity may reach the threshold."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
@@ -244,8 +255,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs, crowded = materialize(thin(pairs, reps, percent), "pairs"), materialize(crowded, "crowded")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("doc_id"))
     sets = sets_of(docs, ids, width)
-    links = materialize(confirm(pairs, sets, percent), "confirmed")
-    found = components(links)
+    # A member of a group is paired with others in each of its buckets; after one pair most of these say nothing new.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = components(materialize(confirm(first, sets, percent), "confirmed"))
+    more = materialize(apart(pairs, found).join(first, ["a", "b"], "left_anti"), "candidates")
+    new = materialize(confirm(more, sets, percent), "confirmed")
+    if not new.isEmpty():
+        found = put_together(found, new)
     for depth in range(2, DEPTH + 1):
         crowded = materialize(mixed(crowded, found), "mixed")
         if crowded.isEmpty():
@@ -255,15 +271,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         tested = tested.union(more)
         new = materialize(confirm(thin(more, reps, percent), sets, percent), "confirmed")
         if not new.isEmpty():
-            links = links.union(new)
-            found = components(links)
+            found = put_together(found, new)
     crowded = mixed(crowded, found).select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     rest = materialize(crowded.select("doc_id", F.coalesce("component", "doc_id").alias("component")), "rest")
     if not rest.isEmpty():
         more = materialize(prefix_candidates(sets, rest, percent).join(tested, ["a", "b"], "left_anti"), "candidates")
         new = materialize(confirm(thin(more, reps, percent), sets, percent), "confirmed")
         if not new.isEmpty():
-            found = components(links.union(new))
+            found = put_together(found, new)
 
     final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "d1", "d2").join(final, ["d1", "d2"], "left")
