@@ -95,3 +95,17 @@ def test_components_are_put_together(spark):
     links = spark.createDataFrame([(3, 6), (4, 6), (2, 3), (10, 11)], "a long, b long")
     got = {r.node: r.component for r in neardup.put_together(found, links).collect()}
     assert got == {2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 9: 8, 11: 10}
+
+
+def test_candidates_are_made_across_components_only(spark):
+    """Members of one component need no pair, in small buckets and in crowded ones."""
+    crowd = neardup.SMALL + 20
+    rows = [(1, i, i % 2) for i in range(6)] + [(2, i, 0) for i in range(0, 6, 2)] + [(3, i, i % 2) for i in range(crowd)] + [(4, i, 1) for i in range(1, 2 * crowd, 2)]
+    keys = spark.createDataFrame(rows, "key long, doc_id long, component long")
+    for pivots in (1, 2):
+        pairs, crowded = neardup.bucket_candidates(keys, pivots)
+        got = [(r.a, r.b) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and all(a < b and a % 2 != b % 2 for a, b in got)
+        assert {(a, b) for a in range(6) for b in range(a + 1, 6) if a % 2 != b % 2} <= set(got)
+        assert crowd // 2 <= len(got) <= 9 + pivots * crowd // 2
+        assert {r.key for r in crowded.collect()} == {3}

@@ -11,7 +11,8 @@
    one pair of each document, then those whose documents are still in different components.
 5. Larger buckets that still hold several components may hide links between their other members. Their
    members are bucketed again by the band keys of 2, 3, ... such buckets at once, which part documents that
-   only share a common passage and keep near copies together, and steps 3 and 4 are done on these.
+   only share a common passage and keep near copies together, and steps 3 and 4 are done on these. Each row has its
+   document's component by now, so only pairs across components are made.
 6. Documents of first buckets that hold several components even then go to an exact search: a missed link would
    join two components of such a bucket. Rare-first prefixes of their sets (two sets of similarity s share an
    element of these) are joined across components, with the bound that the place of an element gives for what
@@ -135,35 +136,42 @@ def estimate(x: Column, y: Column) -> Column:
 
 
 def bucket_candidates(keys: DataFrame, pivots: int, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) of keys(key, doc_id, ...), and the rows of buckets beyond ``small``."""
-    buckets = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    members = materialize(keys.join(buckets, "key"), "members")
-    few = members.filter(F.col("c") <= small).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    pair = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    """Candidate pairs (a < b) of keys(key, doc_id, ...), and the rows of buckets beyond ``small``.
+
+    With a column ``component``, each document's so far, only pairs across components are made.
+    """
+    known = "component" in keys.columns
+    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), *([F.min("component").alias("lo"), F.max("component").alias("hi")] if known else []))
+    members = materialize(keys.join(buckets.filter("c > 1 AND lo <> hi").drop("lo", "hi") if known else buckets.filter("c > 1"), "key"), "members")
+    label = "component" if known else "doc_id"
+    few = members.filter(F.col("c") <= small).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("doc_id", F.col(label).alias("of")))).alias("ids"))
+    after = lambda x, i: F.filter(F.slice("ids", i + 2, F.lit(small)), lambda y: y["of"] != x["of"])
+    pair = F.flatten(F.transform("ids", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))))
     all_pairs = few.select(F.explode(pair).alias("p")).select("p.a", "p.b")
     crowded = members.filter(F.col("c") > small).drop("c")
-    chosen = crowded.groupBy("key").agg(F.min("doc_id").alias("p"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("q"))
-    star = crowded.join(chosen, "key").filter("doc_id <> q OR doc_id <> p")
+    one = F.struct("doc_id", F.col(label).alias("of"))
+    chosen = crowded.groupBy("key").agg(F.min(one).alias("p"), F.min_by(one, F.xxhash64("doc_id", "key")).alias("q"))
+    star = crowded.join(chosen, "key").filter(f"{label} <> q.of OR {label} <> p.of")
     pairs = all_pairs
     for pivot in ("p", "q")[2 - pivots :]:
-        pairs = pairs.union(star.filter(f"doc_id <> {pivot}").select(F.least("doc_id", pivot).alias("a"), F.greatest("doc_id", pivot).alias("b")))
+        pairs = pairs.union(star.filter(f"{label} <> {pivot}.of").select(F.least("doc_id", f"{pivot}.doc_id").alias("a"), F.greatest("doc_id", f"{pivot}.doc_id").alias("b")))
     return pairs.distinct(), crowded
 
 
 def mixed(crowded: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of crowded buckets that hold documents of several components."""
+    """The rows of crowded buckets that hold documents of several components, with each document's component."""
     named = found.withColumnRenamed("node", "doc_id")
-    labelled = crowded.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = materialize(crowded.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
     several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return labelled.join(several, "key", "left_semi").drop("component")
+    return labelled.join(several, "key", "left_semi")
 
 
 def deeper(open_: DataFrame, depth: int) -> DataFrame:
     """Keys made of ``depth`` band keys at once, each document's in the order of the bands (pairs also two apart)."""
-    listed = open_.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda x: x["key"]).alias("keys")).filter(F.size("keys") >= depth)
+    listed = open_.groupBy("doc_id", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda x: x["key"]).alias("keys")).filter(F.size("keys") >= depth)
     take = lambda i, gap: F.xxhash64(F.lit(gap), *[F.get("keys", i + gap * k) for k in range(depth)])
     made = lambda gap: F.when(F.size("keys") > gap * (depth - 1), F.transform(F.sequence(F.lit(0), F.size("keys") - gap * (depth - 1) - 1), lambda i: take(i, gap))).otherwise(F.array().cast("array<long>"))
-    return listed.select("doc_id", F.explode(F.array_distinct(F.concat(*[made(gap) for gap in ((1, 2) if depth == 2 else (1,))]))).alias("key"))
+    return listed.select("doc_id", "component", F.explode(F.array_distinct(F.concat(*[made(gap) for gap in ((1, 2) if depth == 2 else (1,))]))).alias("key"))
 
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -262,18 +270,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     new = materialize(confirm(more, sets, percent), "confirmed")
     if not new.isEmpty():
         found = put_together(found, new)
+    changed = True
     for depth in range(2, DEPTH + 1):
-        crowded = materialize(mixed(crowded, found), "mixed")
+        if changed:
+            crowded = materialize(mixed(crowded.drop("component"), found), "mixed")
         if crowded.isEmpty():
             break
         more, _ = bucket_candidates(deeper(crowded, depth), 1)
-        more = materialize(apart(more, found).join(tested, ["a", "b"], "left_anti"), "candidates")
+        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "candidates")
         tested = tested.union(more)
         new = materialize(confirm(thin(more, reps, percent), sets, percent), "confirmed")
-        if not new.isEmpty():
+        changed = not new.isEmpty()
+        if changed:
             found = put_together(found, new)
-    crowded = mixed(crowded, found).select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rest = materialize(crowded.select("doc_id", F.coalesce("component", "doc_id").alias("component")), "rest")
+    crowded = mixed(crowded.drop("component"), found) if changed else crowded
+    rest = materialize(crowded.select("doc_id", "component").distinct(), "rest")
     if not rest.isEmpty():
         more = materialize(prefix_candidates(sets, rest, percent).join(tested, ["a", "b"], "left_anti"), "candidates")
         new = materialize(confirm(thin(more, reps, percent), sets, percent), "confirmed")
