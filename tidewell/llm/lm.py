@@ -1,4 +1,5 @@
-"""Language-model scoring: a causal self-attention model on subword ids, trained and run in numpy.
+"""Language-model scoring: a causal self-attention model on subword ids, trained and run in numpy, or by compiled graphs
+with the same results where ``onnxruntime`` is installed.
 
 A text is its words (A-Z lower-cased), then an end. Each word is all the byte-level BPE ids of a space and the word,
 so a text is one stream of ids, of which some begin a word. The network gives P(id | ids before) as
@@ -28,7 +29,7 @@ scored alike and counted each; without training documents counts are 0; further
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -40,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .compiled import Graph, available
 from .shared import materialize
 from .tokens import default_vocabulary, encoder
 
@@ -290,17 +292,79 @@ def gradients(w: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.
     return loss, [d_embed, e.reshape(-1, WIDTH).T @ flat_p, d_bias.astype(kind), d_out]
 
 
+def gradient_graph():
+    """``gradients`` of windows of two blocks, all of whose places have targets or padding, as a compiled graph.
+
+    Its results are sums over the targets: by input place, by ``qkv``, by query and key, and by ``out``.
+    """
+    g, scale = Graph(), 1 / WIDTH**0.5
+    embed, qkv, bias, out = (g.input(name, "float32", 2) for name in ("embed", "qkv", "bias", "out"))
+    x, begun = g.input("x", "int32", 2), g.input("begun", "float32", 2)
+    order, back_to, split = (g.input(name, "int64", 1) for name in ("order", "back_to", "split"))
+    targets, less = [g.input(f"target{i}", "int64", 2) for i in range(2)], [g.input(f"less{i}", "float32", 2) for i in range(2)]
+
+    e = g("Gather", embed, x)
+    q, k, v = (g("Gather", t, x) for t in g("Split", g("MatMul", embed, qkv), g.shape(WIDTH, WIDTH, WIDTH), outputs=3, axis=1))
+    a = g("Softmax", g("Add", g.product(q, k, 0, 1, scale), bias), axis=-1)
+    o = g.product(a, v)
+    h = g("Gather", g("Reshape", g("Concat", e, o, axis=-1), g.shape(-1, 2 * WIDTH)), order)
+    tree = g.shape(STARTS, CONTS, 1)
+    weights, added = (g("Split", part, tree, outputs=3, axis=1) for part in g("Split", out, g.shape(2 * WIDTH, 1), outputs=2, axis=0))
+
+    error = g("Sub", g("Sigmoid", g("Gemm", h, weights[2], added[2])), begun)
+    errors, own = [], g("Split", h, split, outputs=2, axis=0)
+    for part, w, b, t, n in zip(own, weights[:2], added[:2], targets, less, strict=True):
+        errors.append(g("ScatterElements", g("Softmax", g("Gemm", part, w, b), axis=-1), t, n, axis=1, reduction="add"))
+    d_weights = g("Concat", *(g.product(part, d, 1, 0) for part, d in zip([*own, h], [*errors, error], strict=True)), axis=1)
+    d_added = g("Concat", *(g("ReduceSum", d, g.shape(0), keepdims=1) for d in [*errors, error]), axis=1)
+    d_out = g("Concat", d_weights, d_added, axis=0)
+    dh = g("Concat", *(g.product(d, w, 0, 1) for d, w in zip(errors, weights[:2], strict=True)), axis=0)
+    dh = g("Add", dh, g("Mul", error, g("Transpose", weights[2], perm=[1, 0])))
+
+    back = g("Gather", g("Concat", dh, g.constant(np.zeros((1, 2 * WIDTH), np.float32)), axis=0), back_to)
+    de, do = g("Split", back, g.shape(WIDTH, WIDTH), outputs=2, axis=1)
+    do = g("Reshape", do, g.shape(-1, 2 * BLOCK, WIDTH))
+    ds = g("Mul", a, g("Sub", g.product(do, v, 0, 1), g("ReduceSum", g("Mul", do, o), g.shape(2), keepdims=1)))
+    dp = g("Concat", g.product(ds, k, 0, 0, scale), g.product(ds, q, 1, 0, scale), g.product(a, do, 1, 0), axis=2)
+    dp = g("Reshape", dp, g.shape(-1, 3 * WIDTH))
+    g.output(g("Add", g.product(dp, qkv, 0, 1), de), g.product(g("Reshape", e, g.shape(-1, WIDTH)), dp, 1, 0))
+    g.output(g("ReduceSum", ds, g.shape(0), keepdims=0), d_out)
+    return g.session()
+
+
+def compiled_gradients(run: Callable, parts: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """The gradients that ``gradients`` gives, by ``run`` of ``gradient_graph``."""
+    embed, qkv, bias, out = parts
+    flat, kinds = y.ravel(), groups(y)
+    order = np.concatenate([rows for rows, _ in kinds])
+    back_to = np.full(len(flat), len(order))
+    back_to[order] = np.arange(len(order))
+    begun = np.zeros((len(order), 1), np.float32)
+    begun[: len(kinds[0][0])] = 1
+    ins = {"split": np.array([len(rows) for rows, _ in kinds]), "order": order, "back_to": back_to, "begun": begun}
+    for i, (rows, cut) in enumerate(kinds):
+        ins |= {f"target{i}": flat[rows, None].astype(np.int64) - cut.start, f"less{i}": np.full((len(rows), 1), -1, np.float32)}
+    de, d_qkv, ds, d_out = run(embed=embed, qkv=qkv, bias=attention_bias(bias, 2 * BLOCK), out=out, x=x.astype(np.int32), **ins)
+    d_bias = np.bincount(np.maximum(_FAR, 0).ravel(), weights=(ds * _SEEN).ravel(), minlength=2 * BLOCK)
+    times = np.bincount(x.ravel(), minlength=len(embed))
+    seen, d_embed = np.flatnonzero(times), np.zeros_like(embed)
+    by_class = np.argsort(x.ravel(), kind="stable")
+    d_embed[seen] = np.add.reduceat(de.take(by_class, axis=0), (np.cumsum(times) - times)[seen], axis=0)
+    return [d * np.float32(1 / max(1, len(order))) for d in (d_embed, d_qkv, d_bias.astype(np.float32), d_out)]
+
+
 class Adam:
     """Weights that are trained batch by batch; the rate falls to a tenth over ``steps``."""
 
     def __init__(self, w: Weights, steps: int, rate: float) -> None:
+        self.run = gradient_graph() if available() else None
         self.parts = [p.copy() for p in w.parts]
         self.m, self.v = [np.zeros_like(p) for p in self.parts], [np.zeros_like(p) for p in self.parts]
         self.t, self.steps, self.rate = 0, max(1, steps), rate
 
     def step(self, x: np.ndarray, y: np.ndarray) -> None:
         self.t += 1
-        _, grads = gradients(Weights(self.parts), x, y)
+        grads = compiled_gradients(self.run, self.parts, x, y) if self.run else gradients(Weights(self.parts), x, y)[1]
         now = self.rate * (1 - 0.9 * min(1, self.t / self.steps))
         for p, g, a, b in zip(self.parts, grads, self.m, self.v, strict=True):
             a += np.float32(0.1) * (g - a)
@@ -341,6 +405,51 @@ def block_log_probs(w: Weights, x: np.ndarray, y: np.ndarray, first: np.ndarray)
     return chosen.reshape(n, BLOCK), starts.reshape(n, BLOCK)
 
 
+def score_graph(w: Weights):
+    """ln P(class | context) of targets that begin words, of the others, and the logits that a word begins, compiled.
+
+    Inputs are blocks, those with the blocks before them, and rows and classes of the targets of each kind.
+    """
+    embed, qkv, bias, out = w.parts
+    g, table = Graph(), embed @ qkv
+    x, both = g.input("x", "int32", 2), g.input("both", "int32", 2)
+    scaled = table[:, :WIDTH] * np.float32(1 / np.sqrt(WIDTH))
+    q, k, v = (g("Gather", g.constant(t), at) for t, at in ((scaled, x), (table[:, WIDTH : 2 * WIDTH], both), (table[:, 2 * WIDTH :], both)))
+    a = g("Softmax", g("Add", g.product(q, k, 0, 1), g.constant(attention_bias(bias))), axis=-1)
+    h = g("Reshape", g("Concat", g("Gather", g.constant(embed), x), g.product(a, v), axis=-1), g.shape(-1, 2 * WIDTH))
+    for i, cut in enumerate((slice(0, STARTS), slice(STARTS, CLASSES))):
+        own = g("Gather", h, g.input(f"rows{i}", "int64", 1))
+        logits = g("Gemm", own, g.constant(out[:-1, cut]), g.constant(out[-1, cut]))
+        g.output(g("GatherElements", g("LogSoftmax", logits, axis=-1), g.input(f"target{i}", "int64", 2), axis=1))
+    g.output(g("Gemm", h, g.constant(out[:-1, -1:]), g.constant(out[-1, -1:])))
+    return g.session()
+
+
+def scorer(w: Weights) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """``block_log_probs`` of the weights, compiled if the library is there."""
+    if not available():
+        return lambda x, y, first: block_log_probs(w, x, y, first)
+    run = score_graph(w)
+
+    def score(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = np.empty((len(x), 2 * BLOCK), np.int32)
+        both[:, BLOCK:] = x
+        both[1:, :BLOCK] = x[:-1]
+        both[first, :BLOCK] = CLASSES
+        flat, kinds, ins = y.ravel(), groups(y), {}
+        for i, (rows, cut) in enumerate(kinds):
+            ins |= {f"rows{i}": rows, f"target{i}": flat[rows, None].astype(np.int64) - cut.start}
+        *found, begins = run(x=x.astype(np.int32), both=both, **ins)
+        begins = np.clip(begins[:, 0], -60, 60)
+        starts = -np.log1p(np.exp(-begins))
+        chosen = np.zeros(len(flat), np.float32)
+        for (rows, _), part, chance in zip(kinds, found, (starts, starts - begins), strict=True):
+            chosen[rows] = part[:, 0] + chance[rows]
+        return chosen.reshape(x.shape), starts.reshape(x.shape)
+
+    return score
+
+
 @dataclass
 class Classes:
     """Class of each id, ln of an id's share of its class, and ln of a class's share of all ids."""
@@ -350,26 +459,30 @@ class Classes:
     share: np.ndarray
 
 
-def id_log_probs(w: Weights, classes: Classes, flat: np.ndarray, sizes: np.ndarray, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """For the ids of some texts (``sizes`` each): ln P(id | context), and ln P(a word begins | context) at each place."""
+def id_log_probs(w: Weights, classes: Classes, flat: np.ndarray, sizes: np.ndarray, at_once: int = 512, score: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For the ids of some texts (``sizes`` each): ln P(id | context), and ln P(a word begins | context) at each place.
+
+    ``score`` is the scorer of the weights, for callers with many texts.
+    """
+    score = score or scorer(w)
     kinds = classes.of[flat]
     x, y, first, place = blocks_of(kinds, sizes)
     chosen, starts = np.empty(x.shape, np.float32), np.empty(x.shape, np.float32)
     for a in range(0, len(x), at_once):
         lo = max(0, a - 1)  # the block before is context; a text's first block needs none
         begins = first[lo : a + at_once] | (np.arange(lo, min(len(x), a + at_once)) == lo)
-        part = block_log_probs(w, x[lo : a + at_once], y[lo : a + at_once], begins)
+        part = score(x[lo : a + at_once], y[lo : a + at_once], begins)
         chosen[a : a + at_once], starts[a : a + at_once] = part[0][a - lo :], part[1][a - lo :]
     return chosen.ravel()[place] + classes.within[flat], starts.ravel()[place]
 
 
-def word_log_probs(w: Weights, classes: Classes, flat: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_log_probs(w: Weights, classes: Classes, flat: np.ndarray, sizes: np.ndarray, begins: np.ndarray, score: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each word and end of some texts, whose ids begin at ``begins`` in flat: ln P(its ids) and ln P(class of its first id).
 
     Both are given what stands before and that a word begins at their place; after the ids a word must begin, unless
     the text is over.
     """
-    log_probs, starts = id_log_probs(w, classes, flat, sizes)
+    log_probs, starts = id_log_probs(w, classes, flat, sizes, score=score)
     after = np.append(starts[begins[1:]], 0)
     after[np.searchsorted(begins, np.cumsum(sizes)) - 1] = 0
     whole = np.add.reduceat(log_probs.astype(np.float64), begins) - starts[begins] + after
@@ -604,6 +717,7 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, frequent: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
         keys, known, w, kinds, shares = table
+        score = scorer(w)
         words, row = Words(path), TaskContext.get().partitionId() << 33
         place, hits = np.zeros(0, np.int64), np.zeros(0, bool)  # of the words' counts in the table, by their numbers
         for whole in batches:
@@ -619,7 +733,7 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, frequent: in
                 every, begins = words.stream(numbers)
                 sizes = np.array([len(x) for x in lists])
                 texts = np.append(0, np.cumsum(sizes))
-                net, gain = word_log_probs(w, kinds, every, np.diff(np.append(begins, len(every))[texts]), begins)
+                net, gain = word_log_probs(w, kinds, every, np.diff(np.append(begins, len(every))[texts]), begins, score)
                 net, gain = net + np.log(trust), gain - shares[np.minimum(kinds.of[every[begins]], STARTS - 1)]
                 hit, text = hits[numbers], np.repeat(np.arange(len(lists)), sizes)
                 count = known[place[numbers[hit]]]
