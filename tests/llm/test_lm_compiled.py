@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewell.llm import compiled, lm
+from tidewell.llm import compiled, lm, tokens
 
 from .test_lm import dialects
 from .test_operators import frame
@@ -56,3 +56,10 @@ def test_documents_score_the_same_without_the_library(spark, monkeypatch):
     assert with_it.keys() == without.keys() and len(without) == 62
     for key, r in with_it.items():
         assert r[:-1] == without[key][:-1] and math.isclose(r.score, without[key].score, abs_tol=2e-2 * r.n_tokens)
+
+
+def test_vocabulary_is_that_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_vocabulary()
+    assert tokens.vocabulary_of(path) == Tokenizer.from_file(path).get_vocab()

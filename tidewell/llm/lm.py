@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .compiled import Graph, available
 from .shared import materialize
-from .tokens import default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder, vocabulary_of
 
 BLOCK, WIDTH = 16, 16
 #: Classes of ids that begin words, of which so many are of one id, and of those that go on with one.
@@ -78,13 +78,10 @@ def hashes_of(words) -> np.ndarray:
 # ---------------------------------------------------------------- subwords
 
 
-def begins_word(path: str) -> np.ndarray:
+def begins_word(path: str, vocabulary: dict[str, int] | None = None) -> np.ndarray:
     """For each id whether its first byte is a space; the end begins a word of its own."""
-    from tokenizers import Tokenizer
-
-    vocabulary = Tokenizer.from_file(path).get_vocab()
     out = np.zeros(VOCABULARY, bool)
-    out[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+    out[[i for token, i in (vocabulary or vocabulary_of(path)).items() if token.startswith("Ġ")]] = True
     out[END] = True
     return out
 
@@ -97,7 +94,8 @@ class Words(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        self.encode, self.begins = encoder(path, arrays=True), begins_word(path)
+        vocabulary = vocabulary_of(path)
+        self.encode, self.begins = encoder(path, arrays=True, vocabulary=vocabulary), begins_word(path, vocabulary)
         self.reset()
 
     def reset(self) -> None:
@@ -295,11 +293,11 @@ def gradients(w: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.
 def gradient_graph():
     """``gradients`` of windows of two blocks, all of whose places have targets or padding, as a compiled graph.
 
-    Its results are sums over the targets: by input place, by ``qkv``, by query and key, and by ``out``.
+    Its results are sums over the targets: by ``embed``, by ``qkv``, by query and key, and by ``out``.
     """
     g, scale = Graph(), 1 / WIDTH**0.5
     embed, qkv, bias, out = (g.input(name, "float32", 2) for name in ("embed", "qkv", "bias", "out"))
-    x, begun = g.input("x", "int32", 2), g.input("begun", "float32", 2)
+    x, begun = g.input("x", "int64", 2), g.input("begun", "float32", 2)
     order, back_to, split = (g.input(name, "int64", 1) for name in ("order", "back_to", "split"))
     targets, less = [g.input(f"target{i}", "int64", 2) for i in range(2)], [g.input(f"less{i}", "float32", 2) for i in range(2)]
 
@@ -327,7 +325,9 @@ def gradient_graph():
     ds = g("Mul", a, g("Sub", g.product(do, v, 0, 1), g("ReduceSum", g("Mul", do, o), g.shape(2), keepdims=1)))
     dp = g("Concat", g.product(ds, k, 0, 0, scale), g.product(ds, q, 1, 0, scale), g.product(a, do, 1, 0), axis=2)
     dp = g("Reshape", dp, g.shape(-1, 3 * WIDTH))
-    g.output(g("Add", g.product(dp, qkv, 0, 1), de), g.product(g("Reshape", e, g.shape(-1, WIDTH)), dp, 1, 0))
+    zero = g.constant(np.zeros((CLASSES + 1, WIDTH), np.float32))
+    d_embed = g("ScatterND", zero, g("Reshape", x, g.shape(-1, 1)), g("Add", g.product(dp, qkv, 0, 1), de), reduction="add")
+    g.output(d_embed, g.product(g("Reshape", e, g.shape(-1, WIDTH)), dp, 1, 0))
     g.output(g("ReduceSum", ds, g.shape(0), keepdims=0), d_out)
     return g.session()
 
@@ -344,12 +344,8 @@ def compiled_gradients(run: Callable, parts: list[np.ndarray], x: np.ndarray, y:
     ins = {"split": np.array([len(rows) for rows, _ in kinds]), "order": order, "back_to": back_to, "begun": begun}
     for i, (rows, cut) in enumerate(kinds):
         ins |= {f"target{i}": flat[rows, None].astype(np.int64) - cut.start, f"less{i}": np.full((len(rows), 1), -1, np.float32)}
-    de, d_qkv, ds, d_out = run(embed=embed, qkv=qkv, bias=attention_bias(bias, 2 * BLOCK), out=out, x=x.astype(np.int32), **ins)
+    d_embed, d_qkv, ds, d_out = run(embed=embed, qkv=qkv, bias=attention_bias(bias, 2 * BLOCK), out=out, x=x.astype(np.int64), **ins)
     d_bias = np.bincount(np.maximum(_FAR, 0).ravel(), weights=(ds * _SEEN).ravel(), minlength=2 * BLOCK)
-    times = np.bincount(x.ravel(), minlength=len(embed))
-    seen, d_embed = np.flatnonzero(times), np.zeros_like(embed)
-    by_class = np.argsort(x.ravel(), kind="stable")
-    d_embed[seen] = np.add.reduceat(de.take(by_class, axis=0), (np.cumsum(times) - times)[seen], axis=0)
     return [d * np.float32(1 / max(1, len(order))) for d in (d_embed, d_qkv, d_bias.astype(np.float32), d_out)]
 
 
@@ -358,18 +354,20 @@ class Adam:
 
     def __init__(self, w: Weights, steps: int, rate: float) -> None:
         self.run = gradient_graph() if available() else None
-        self.parts = [p.copy() for p in w.parts]
-        self.m, self.v = [np.zeros_like(p) for p in self.parts], [np.zeros_like(p) for p in self.parts]
+        self.flat = np.concatenate([p.ravel() for p in w.parts])
+        ends = np.cumsum([p.size for p in w.parts])
+        self.parts = [part.reshape(p.shape) for part, p in zip(np.split(self.flat, ends[:-1]), w.parts, strict=True)]
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.t, self.steps, self.rate = 0, max(1, steps), rate
 
     def step(self, x: np.ndarray, y: np.ndarray) -> None:
         self.t += 1
         grads = compiled_gradients(self.run, self.parts, x, y) if self.run else gradients(Weights(self.parts), x, y)[1]
         now = self.rate * (1 - 0.9 * min(1, self.t / self.steps))
-        for p, g, a, b in zip(self.parts, grads, self.m, self.v, strict=True):
-            a += np.float32(0.1) * (g - a)
-            b += np.float32(0.01) * (g * g - b)
-            p -= np.float32(now / (1 - 0.9**self.t)) * a / (np.sqrt(b / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
+        g, a, b = np.concatenate([part.ravel() for part in grads]), self.m, self.v
+        a += np.float32(0.1) * (g - a)
+        b += np.float32(0.01) * (g * g - b)
+        self.flat -= np.float32(now / (1 - 0.9**self.t)) * a / (np.sqrt(b / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
 
 
 def block_log_probs(w: Weights, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -496,6 +494,7 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
     """Rows with a word's hash, first id and count, and rows with the streams of ids of some texts and their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         words = Words(path)
         counts = np.zeros(0, np.int64)
 

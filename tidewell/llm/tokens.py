@@ -8,6 +8,8 @@ itself, whose merging stays near linear there. Tests hold the two against each o
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import os
 import re
 
@@ -23,13 +25,20 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str, arrays: bool = False):
+def vocabulary_of(path: str) -> dict[str, int]:
+    """Ids of all tokens of the file, read without building the library's tokenizer, which takes much longer."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    return found["model"]["vocab"] | {t["content"]: t["id"] for t in found.get("added_tokens", [])}
+
+
+def encoder(path: str, arrays: bool = False, vocabulary: dict[str, int] | None = None):
     """A function from a text to its list (or array) of ids, without added special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    listed = lambda text: slow.encode(text, add_special_tokens=False).ids
+    slow = functools.cache(lambda: Tokenizer.from_file(path))  # only texts with long runs need it, where ranks are there
+    listed = lambda text: slow().encode(text, add_special_tokens=False).ids
     plain = (lambda text: np.array(listed(text), np.uint32)) if arrays else listed
     ranks_path = os.path.splitext(path)[0] + ".tiktoken"
     if not os.path.exists(ranks_path):
@@ -39,7 +48,7 @@ def encoder(path: str, arrays: bool = False):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: slow.token_to_id(END)})
+    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: (vocabulary or vocabulary_of(path))[END]})
 
     run = fast.encode_to_numpy if arrays else fast.encode
 
